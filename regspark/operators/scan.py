@@ -130,7 +130,7 @@ def decode_pass(frags: DataFrame, rounds: int = 3) -> DataFrame:
         readable = F.filter(plain, lambda t: t.isNotNull() & t.rlike(_PRINTABLE))
         return F.concat_ws("\n", readable)
 
-    level = frags.withColumn("round", F.lit(0))
+    level = frags.withColumn("fragment_hash", fragment_hash(F.col("raw"))).withColumn("round", F.lit(0))
     levels = [level]
     for r in range(1, rounds + 1):
         level = level.withColumn("raw", decoded(F.col("raw"))).filter(F.col("raw") != "").withColumn(

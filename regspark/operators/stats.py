@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,42 +114,43 @@ def ks_2samp(a: DataFrame, b: DataFrame, c: str, c_b: str | None = None) -> Data
     return found.withColumn("pvalue", kolmogorov_sf(scale * F.col("statistic")))
 
 
-def _gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma: series below a+1, else continued
-    fraction."""
-    if math.isinf(x):
-        return 0.0
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1.0 - front * total)
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-@F.pandas_udf("double")
-def _chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Chi-squared tail of one-row results; Spark has no such SQL function."""
-    return pd.Series([
-        None if pd.isna(s) or pd.isna(d) or d < 1 else _gamma_q(d / 2.0, s / 2.0)
-        for s, d in zip(stat, dof)])
+def _erfc(z: Column, terms: int = 150) -> Column:
+    """Complementary error function from the all-positive series of erf."""
+    def step(acc: Column, n: Column) -> Column:
+        term = acc["term"] * 2.0 * z * z / (2.0 * n + 1.0)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)),
+                        F.struct(z.alias("term"), z.alias("total")), step, lambda acc: acc["total"])
+    erf = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-z * z) * total
+    return F.when(z > 6, F.lit(0.0)).otherwise(F.greatest(1.0 - erf, F.lit(0.0)))
+
+
+def chi2_sf(stat: Column, dof: Column) -> Column:
+    """Upper tail of the chi-squared distribution for whole degrees of freedom,
+    by its finite sum, added up from logarithms."""
+    h = stat / 2.0
+    m = F.floor(dof / 2).cast("int")
+    odd = F.pmod(dof.cast("int"), F.lit(2)) == 1
+
+    def tail(first: Column, shift: float, count: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            log_term = acc["log"] + F.ln(h) - F.ln(i - F.lit(shift))
+            return F.struct(log_term.alias("log"), (acc["total"] + F.exp(log_term)).alias("total"))
+
+        more = F.when(count > 1, F.sequence(F.lit(1) + F.lit(1 if shift else 0), count - 1 + F.lit(1 if shift else 0)))
+        start = F.struct(first.alias("log"), F.exp(first).alias("total"))
+        return F.when(count < 1, F.lit(0.0)).otherwise(F.aggregate(
+            F.coalesce(more, F.array().cast("array<int>")), start, step, lambda acc: acc["total"]))
+
+    even_tail = tail(-h, 0.0, m)
+    odd_tail = _erfc(F.sqrt(h)) + tail(-h + 0.5 * F.ln(h) - F.lit(math.lgamma(1.5)), 0.5, m)
+    value = F.when(odd, odd_tail).otherwise(even_tail)
+    return (
+        F.when(stat.isNull() | F.isnan(stat) | (dof < 1), F.lit(None).cast("double"))
+        .when(stat <= 0, F.lit(1.0)).when(stat == F.lit(INF), F.lit(0.0))
+        .otherwise(F.least(value, F.lit(1.0)))
+    )
 
 
 def chi2_statistic(full: DataFrame, sample: DataFrame, key: str = "key") -> DataFrame:
@@ -173,7 +173,7 @@ def chi2_statistic(full: DataFrame, sample: DataFrame, key: str = "key") -> Data
 
 def chi2_gof(full: DataFrame, sample: DataFrame, key: str = "key") -> DataFrame:
     found = chi2_statistic(full, sample, key)
-    return found.withColumn("pvalue", _chi2_sf(F.col("statistic"), F.col("dof").cast("double")))
+    return found.withColumn("pvalue", chi2_sf(F.col("statistic"), F.col("dof")))
 
 
 def _finite(c: Column) -> Column:

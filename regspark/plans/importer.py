@@ -8,6 +8,8 @@ column giving input order. Every result is a lazy DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def clean_selection(selection: DataFrame) -> DataFrame:
     a repeated digest keeps its last line."""
     trimmed = selection.withColumn("digest", F.trim("digest")).filter(F.col("digest") != "")
     last = U.latest(trimmed, "digest", "seq")
-    named = F.filter(F.transform(F.coalesce("repos", F.array().cast("array<string>")), F.trim),
+    named = F.filter(F.transform(F.coalesce("repos", F.array().cast("array<string>")), lambda r: F.trim(r)),
                      lambda r: r.isNotNull() & (r != ""))
     return last.select("digest", "size", F.array_distinct(named).alias("repos"))
 
@@ -98,11 +100,18 @@ def import_secrets(selection: DataFrame, layers: DataFrame, records: DataFrame,
 
 
 def import_all(selection: DataFrame, repos: DataFrame, tags: DataFrame, layers: DataFrame,
-               secrets: DataFrame) -> dict[str, DataFrame]:
-    """All six tables in dependency order, and the unresolved links."""
-    chosen = clean_selection(selection)
-    names = chosen.select(F.explode("repos").alias("repo")).distinct()
-    repositories = import_repositories(names, repos)
+               secrets: DataFrame,
+               keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All six tables in dependency order, and the unresolved links.
+
+    The selection, its names and the repositories feed several later steps.
+    ``keep`` is applied to these three; pass ``session.cut_lineage``, or a
+    function that writes the frame as a table and reads it back, so that each
+    is computed once.
+    """
+    chosen = keep(clean_selection(selection))
+    names = keep(chosen.select(F.explode("repos").alias("repo")).distinct())
+    repositories = keep(import_repositories(names, repos))
     links, unresolved = import_links(chosen, repositories)
     secret_rows, occurrences = import_secrets(chosen, layers, secrets)
     return {
