@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("columns", "keyed", "counts", "scanning")
+MODULES = ("columns", "keyed", "counts", "scanning", "ordered", "statistics")
 
 
 def _load() -> None:
