@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regspark.functions import scalars as P
 from regspark.operators.joins import frag_weight_merge, spread_join
 from regspark.operators.running import quantiles_of_counts, value_counts
+from regspark.session import cut_lineage
 
 
 def value_histogram(df: DataFrame, c: str | Column, fill: bool = True) -> DataFrame:
@@ -138,7 +139,7 @@ def filetype_frequency(occ: DataFrame) -> DataFrame:
 
 
 def _median(counts: DataFrame, n: str = "n") -> Column:
-    return quantiles_of_counts(counts, [0.5], n=n).select("value").scalar()
+    return quantiles_of_counts(cut_lineage(counts), [0.5], n=n).select("value").scalar()
 
 
 def file_size_stats(occ: DataFrame) -> DataFrame:

@@ -14,24 +14,26 @@ from pyspark.sql import functions as F
 from regspark.functions.textmatch import FEATURES
 from regspark.operators.running import positions, running, running_sum
 from regspark.operators.windows import min_group_filter
+from regspark.session import cut_lineage
 
 
-def average_ranks(df: DataFrame, by: str, value: Column, out: str) -> DataFrame:
-    """Rank of each value within its group, ties sharing the mean rank."""
-    valued = df.withColumn("_val", value)
-    counts = valued.groupBy(by, "_val").agg(F.count(F.lit(1)).alias("_n"))
-    before = running(counts, [by], F.col("_val"), {"_b": running_sum(F.col("_n"), inclusive=False)})
-    ranks = before.select(by, "_val", (F.col("_b") + (F.col("_n") + 1) / 2.0).alias(out))
-    return valued.join(ranks, [by, "_val"]).drop("_val")
+def average_ranks(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """(by, value, rank) for the distinct values of each group, ties sharing
+    the mean rank."""
+    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    before = running(counts, [by], F.col(value), {"_b": running_sum(F.col("_n"), inclusive=False)})
+    return before.select(by, value, (F.col("_b") + (F.col("_n") + 1) / 2.0).alias(out))
 
 
 def spearman_per_group(df: DataFrame, by: str, rank: str = "rank", score: str = "score",
                        min_rows: int = 5) -> DataFrame:
     """Spearman correlation of rank and falling score; groups that are too
-    small or have no defined correlation are left out."""
-    enough = min_group_filter(df.select(by, rank, score), by, min_rows)
-    ranked = average_ranks(enough, by, F.col(rank).cast("double"), "_rx")
-    ranked = average_ranks(ranked, by, -F.col(score).cast("double"), "_ry")
+    small or have no defined correlation are left out. The three columns are
+    stored once, since ranking each of two of them reads them again."""
+    slim = df.select(by, F.col(rank).cast("double").alias("_x"), (-F.col(score).cast("double")).alias("_y"))
+    rows = cut_lineage(min_group_filter(slim, by, min_rows))
+    ranked = rows.join(average_ranks(rows, by, "_x", "_rx"), [by, "_x"]).join(
+        average_ranks(rows, by, "_y", "_ry"), [by, "_y"])
     return ranked.groupBy(by).agg(F.corr("_rx", "_ry").alias("spearman")).filter(
         F.col("spearman").isNotNull() & ~F.isnan("spearman"))
 
@@ -51,8 +53,9 @@ def ndcg_per_group(df: DataFrame, by: str, label: str = "label", score: str = "s
                    tie: str = "rank") -> DataFrame:
     """NDCG over the whole list with linear gain; equal scores share gain.
     ``tie`` is any column that differs between the rows of a group."""
-    got = _gain_blocks(df, by, F.col(label), F.col(score), tie)
-    best = _gain_blocks(df, by, F.col(label), F.col(label), tie).withColumnRenamed("dcg", "ideal")
+    rows = cut_lineage(df.select(by, label, score, tie))
+    got = _gain_blocks(rows, by, F.col(label), F.col(score), tie)
+    best = _gain_blocks(rows, by, F.col(label), F.col(label), tie).withColumnRenamed("dcg", "ideal")
     return got.join(best, by).select(
         by, F.when(F.col("ideal") > 0, F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)))
         .otherwise(F.lit(0.0)).alias("ndcg"))
@@ -71,9 +74,11 @@ def same_score_share(df: DataFrame, by: str, score: str = "score",
 
 def ranking_quality(df: DataFrame, by: str, rank: str = "rank", label: str = "label",
                     score: str = "score", features: Sequence[str] = FEATURES) -> DataFrame:
-    """Means over the groups with a defined Spearman correlation."""
-    per_group = spearman_per_group(df, by, rank, score)
-    rest = df.join(per_group.select(by), by, "left_semi")
+    """Means over the groups with a defined Spearman correlation. The ranked
+    rows are stored once for the three measures."""
+    rows = cut_lineage(df.select(by, rank, label, score, *features))
+    per_group = cut_lineage(spearman_per_group(rows, by, rank, score))
+    rest = rows.join(per_group.select(by), by, "left_semi")
     return per_group.join(ndcg_per_group(rest, by, label, score, rank), by).join(
         same_score_share(rest, by, score, features), by).agg(
         F.count(F.lit(1)).alias("queries"), F.avg("spearman").alias("spearman"),
@@ -92,7 +97,7 @@ def dummy_rank_rule(df: DataFrame, by: str, rank: str = "rank", score: str = "sc
     dummies = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("_r"), F.max(dummy_score).cast("double").alias("_s")
     ).withColumn("_dummy", F.lit(1))
-    placed = positions(real.unionByName(dummies), [by], -F.col("_s"), F.col("_r"), "_p")
+    placed = positions(cut_lineage(real.unionByName(dummies)), [by], -F.col("_s"), F.col("_r"), "_p")
     at = F.col("_p") - 1
     gap = (F.col("_r") - at).cast("double")
     summed = placed.groupBy(by).agg(

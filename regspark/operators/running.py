@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regspark.session import cut_lineage
+
 # percentile_approx with its default accuracy resolves 1/10000 of the rows.
 MAX_CHUNKS = 2048
 
@@ -106,8 +108,10 @@ def running(df: DataFrame, by: Sequence[str], order: Column,
 
     ``order`` is numeric; group keys and order must not be null. Chunks are
     balanced as long as no single order value holds a large share of the rows:
-    aggregate to distinct values first, or use ``positions``. A caller that
-    already knows an even, order-preserving chunk number passes ``chunk``.
+    aggregate to distinct values first, or use ``positions``. The input is read
+    three times (edges, totals, rows), so store it first (``cut_lineage``) where
+    it is more than a scan. A caller that already knows an even,
+    order-preserving chunk number passes ``chunk``.
     """
     by = list(by)
     base = df.withColumn("_order", order)
@@ -157,7 +161,8 @@ def value_counts(df: DataFrame, value: Column) -> DataFrame:
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], value: str = "value",
                         n: str = "n") -> DataFrame:
     """Exact linearly interpolated quantiles of a (value, n) histogram as
-    ``(quantile, value)`` rows. Only distinct values are ordered."""
+    ``(quantile, value)`` rows. Only distinct values are ordered. The histogram
+    is read several times, so callers pass a stored one."""
     v, c = F.col(value), F.col(n)
     total = counts.agg(F.sum(c)).scalar()
     run = running(counts.select(v.alias("_v"), c.alias("_n")), [], F.col("_v"),
@@ -189,4 +194,4 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], value: str =
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float]) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, value), probs)
+    return quantiles_of_counts(cut_lineage(value_counts(df, value)), probs)

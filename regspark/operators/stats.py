@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from regspark.functions import scalars as P
 from regspark.operators.aggregates import FULL_UNIQUE_SHARE, contingency, union_all
 from regspark.operators.joins import bin_weight, has_secret, key_union, map_weight, one_random_tag
-from regspark.operators.running import bin_index, exact_quantiles, running, running_sum, value_counts
+from regspark.operators.running import (
+    bin_index,
+    exact_quantiles,
+    quantiles_of_counts,
+    running,
+    running_sum,
+    value_counts,
+)
+from regspark.session import cut_lineage
 
 INF = float("inf")
 
@@ -42,13 +50,12 @@ def bias_bins(full: DataFrame, sample: DataFrame, c: str, nbins: int = 20) -> Da
     bins where fewer than three edges differ). Sample values outside the edges
     are left out, also from the shares."""
     probs = [i / nbins for i in range(nbins + 1)]
-    counts = value_counts(full, F.col(c))
-    quantiles = exact_quantiles(full, F.col(c), probs)
-    q = quantiles.agg(F.array_sort(F.collect_set("value")).alias("q"))
+    counts = cut_lineage(value_counts(full, F.col(c)))
+    q = quantiles_of_counts(counts, probs).agg(F.array_sort(F.collect_set("value")).alias("q"))
     lo, hi = F.get("q", F.lit(0)), F.try_element_at("q", F.lit(-1))
     even = F.transform(F.sequence(F.lit(0), F.lit(nbins)), lambda i: lo + (hi - lo) * i / F.lit(float(nbins)))
-    edges = q.filter(F.size("q") > 0).select(
-        F.when(F.size("q") >= 3, F.col("q")).otherwise(even).alias("e"))
+    edges = cut_lineage(q.filter(F.size("q") > 0).select(
+        F.when(F.size("q") >= 3, F.col("q")).otherwise(even).alias("e")))
     both = union_all(
         counts.select("value", F.col("n").alias("f"), F.lit(0).cast("long").alias("s")),
         value_counts(sample, F.col(c)).select("value", F.lit(0).cast("long").alias("f"), F.col("n").alias("s")))
@@ -102,6 +109,7 @@ def ks_2samp(a: DataFrame, b: DataFrame, c: str, c_b: str | None = None) -> Data
         value_counts(a, F.col(c)).select("value", F.col("n").alias("na"), zero.alias("nb")),
         value_counts(b, F.col(c_b or c)).select("value", zero.alias("na"), F.col("n").alias("nb")),
     ).groupBy("value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    counts = cut_lineage(counts)
     total_a, total_b = counts.agg(F.sum("na")).scalar(), counts.agg(F.sum("nb")).scalar()
     run = running(counts, [], F.col("value"),
                   {"ca": running_sum(F.col("na")), "cb": running_sum(F.col("nb"))})

@@ -110,11 +110,12 @@ def joint_ccdf(df: DataFrame, a: str = "repo_count", b: str = "layer_count") ->
     the x values it covers.
     """
     av, bv = F.coalesce(F.col(a), F.lit(0)).cast("long"), F.coalesce(F.col(b), F.lit(0)).cast("long")
-    hist = df.groupBy(F.least(av, bv).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    facts = df.agg(F.least(F.max(av), F.max(bv)).alias("top"), F.count(F.lit(1)).alias("rows"))
+    hist = cut_lineage(df.groupBy(F.least(av, bv).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(av).alias("a"), F.max(bv).alias("b")))
+    facts = hist.agg(F.least(F.max("a"), F.max("b")).alias("top"), F.sum("n").alias("rows"))
     top, rows = facts.select("top").scalar(), facts.select("rows").scalar()
     # A closing step of zero rows covers x beyond the largest smaller value.
-    steps = hist.filter(F.col("v") >= 1).unionByName(
+    steps = hist.select("v", "n").filter(F.col("v") >= 1).unionByName(
         facts.filter(F.col("top") >= 1).select(F.col("top").alias("v"), F.lit(0).cast("long").alias("n"))
     ).groupBy("v").agg(F.sum("n").alias("n"))
     below = hist.filter(F.col("v") < 1).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()

@@ -50,9 +50,10 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
 
 
 def read_chunks(spark: SparkSession, glob: str, schema: T.StructType, key: str | None = None) -> DataFrame:
-    """Numbered chunk files as one stream, with the number in ``chunk_no``."""
+    """Numbered chunks ``<prefix>_<n>.jsonl`` (files, or folders of them) as one
+    stream, with the number in ``chunk_no``."""
     raw = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"_([0-9]+)[.]jsonl", 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"_([0-9]+)[.]jsonl", 1)
     return _typed(raw.select("*", number.try_cast("int").alias("chunk_no")), schema, key, ("chunk_no",))
 
 

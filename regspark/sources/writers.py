@@ -12,6 +12,29 @@ def write_jsonl(df: DataFrame, path: str, max_records: int = 1_000_000) -> None:
         "maxRecordsPerFile", max_records).json(path)
 
 
+def write_list(df: DataFrame, c: str, path: str, field: str) -> None:
+    """The column as JSON documents ``{field: [...]}``, one document per output
+    file; rows stream through, nothing is gathered."""
+    literal = F.to_json(F.array(F.col(c)))
+    items = df.filter(F.col(c).isNotNull()).select(
+        F.substr(literal, F.lit(2), F.length(literal) - 2).alias("value"))
+    opening = '{"' + field + '": ['
+
+    def wrap(batches):
+        import pandas as pd
+
+        lead = opening
+        for batch in batches:
+            for text in batch["value"].iloc[:1]:
+                batch["value"] = "," + batch["value"]
+                batch.loc[batch.index[0], "value"] = lead + text
+                lead = ","
+            yield batch
+        yield pd.DataFrame({"value": [opening + "]}" if lead == opening else "]}"]})
+
+    items.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
