@@ -48,9 +48,13 @@ def expand_aliases(c: Column) -> Column:
     )
 
 
-def other_alias(c: Column) -> Column:
-    """The second name of ``expand_aliases``, null where there is none."""
-    return F.try_element_at(expand_aliases(c), F.lit(2))
+def aliased_by(c: Column) -> Column:
+    """The normalised names whose alias is ``c``: the reverse direction of
+    ``expand_aliases``, so that a lookup by name or alias is one join."""
+    rest = F.substr(c, F.lit(len(LIBRARY) + 1))
+    short = F.startswith(c, F.lit(LIBRARY)) & ~F.contains(rest, F.lit("/"))
+    longer = F.concat(F.lit(LIBRARY), c)
+    return F.when(short, F.array(longer, rest)).otherwise(F.array(longer))
 
 
 def null_if_empty(c: Column) -> Column:

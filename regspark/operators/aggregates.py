@@ -79,23 +79,23 @@ def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(a, b).distinct()
 
 
-def _reached_repos(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame,
-                   salts: int) -> DataFrame:
+def _reached_repos(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame) -> DataFrame:
     """(fragment_hash, repo_count, layer_count) over layers that some
     repository has. A secret in one layer only takes that layer's repository
     count; only secrets spread over several layers need their (secret, repo)
-    pairs, and those joins are split by repository."""
-    links = distinct_pairs(repo_layers, "layer_id", "repo_id")
+    pairs, and hot layers in that join are split by repository. Both pair sets
+    are stored once, as three steps read them."""
+    links = cut_lineage(distinct_pairs(repo_layers, "layer_id", "repo_id"))
     per_layer = links.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_repos"))
-    holds = occ.select("secret_id", "layer_id").join(
+    holds = cut_lineage(occ.select("secret_id", "layer_id").distinct().join(
         secrets.select("secret_id", "fragment_hash"), "secret_id").select(
-        "fragment_hash", "layer_id").distinct()
+        "fragment_hash", "layer_id").distinct())
     reachable = holds.join(per_layer, "layer_id")
     per_secret = reachable.groupBy("fragment_hash").agg(
         F.count(F.lit(1)).alias("layer_count"), F.max("_repos").alias("_repos"))
     many = per_secret.filter(F.col("layer_count") > 1).select("fragment_hash")
     scattered = holds.join(many, "fragment_hash", "left_semi")
-    counted = spread_join(links, scattered, ["layer_id"], "repo_id", salts).select(
+    counted = spread_join(links, scattered, ["layer_id"], "repo_id").select(
         "fragment_hash", "repo_id").distinct().groupBy("fragment_hash").agg(
         F.count(F.lit(1)).alias("_counted"))
     return per_secret.join(counted, "fragment_hash", "left").select(
@@ -107,14 +107,14 @@ def _filtered(secrets: DataFrame, where: Column | None) -> DataFrame:
 
 
 def repos_per_secret(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame,
-                     where: Column | None = None, salts: int = 8) -> DataFrame:
-    return _reached_repos(occ, repo_layers, _filtered(secrets, where), salts).select(
+                     where: Column | None = None) -> DataFrame:
+    return _reached_repos(occ, repo_layers, _filtered(secrets, where)).select(
         "fragment_hash", "repo_count")
 
 
 def secret_repo_layer_counts(secrets: DataFrame, occ: DataFrame, repo_layers: DataFrame,
-                             where: Column | None = None, salts: int = 8) -> DataFrame:
-    return _reached_repos(occ, repo_layers, _filtered(secrets, where), salts)
+                             where: Column | None = None) -> DataFrame:
+    return _reached_repos(occ, repo_layers, _filtered(secrets, where))
 
 
 def count_distribution(df: DataFrame, c: str = "repo_count", out: str = "secret_count") -> DataFrame:
@@ -219,13 +219,15 @@ def category_rollup(df: DataFrame, origin: str = "origin", n: str = "n") -> Data
         F.sum(n).alias("n")).orderBy(F.col("n").desc(), "category")
 
 
-def contingency(df: DataFrame, cat: str, flag: str = "has_secret", weight: str = "weight") -> DataFrame:
-    """Weight per category with and without the flag; empty cells are 0."""
+def contingency(df: DataFrame, cat: str, flag: str = "has_secret", weight: str = "weight",
+                *more: Column) -> DataFrame:
+    """Weight per category with and without the flag; empty cells are 0.
+    ``more`` aggregates are added."""
     def cell(value: bool) -> Column:
         return F.sum(F.when(F.col(flag) == F.lit(value), F.col(weight)).otherwise(F.lit(0.0)))
 
     return df.groupBy(cat).agg(
-        cell(False).alias(f"{flag}=False"), cell(True).alias(f"{flag}=True"))
+        cell(False).alias(f"{flag}=False"), cell(True).alias(f"{flag}=True"), *more)
 
 
 def first_seen_curve(df: DataFrame, key: str, batch: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Joins of the import and of the study.
 
-No side is broadcast by hint: the optimizer broadcasts what its statistics
-show to be small, and adaptive execution splits skewed shuffle partitions.
-Where both sides can repeat a key, ``spread_join`` splits each key further.
+A side is broadcast by hint only after its rows were counted; otherwise the
+optimizer decides by its statistics, and adaptive execution splits skewed
+shuffle partitions. Where both sides can repeat a key, ``spread_join`` counts
+the keys and splits the hot ones itself.
 """
 
 from __future__ import annotations
@@ -13,17 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
+from regspark.operators.running import one_row
 from regspark.operators.sampling import one_per_group
+from regspark.session import cut_lineage
+
+
+# A side of at most this many short rows may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
-                salts: int = 8, how: str = "inner") -> DataFrame:
-    """Equi-join whose keys are split ``salts`` ways by a second column of the
-    left side, so that one hot key becomes that many tasks. The right side is
-    repeated once per salt. ``spread`` must vary within a hot key."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+                how: str = "inner", rows_per_task: int = 1_000_000) -> DataFrame:
+    """Equi-join that splits the hot keys of the left side.
+
+    Rows per key are counted. Without a key beyond ``rows_per_task`` this is a
+    plain join. Otherwise each hot key gets as many salts as it fills tasks;
+    its left rows are dealt out by ``spread``, which must vary within a key,
+    and only its right rows are repeated, once per salt.
+    """
+    on = list(on)
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    # No more than BROADCAST_ROWS keys can hold more than total / BROADCAST_ROWS.
+    bound = max(rows_per_task, (total or 0) // BROADCAST_ROWS)
+    if (most or 0) <= bound:
+        return left.join(right, on, how)
+    hot = F.broadcast(cut_lineage(counts.filter(F.col("_n") > bound).select(
+        *on, F.ceil(F.col("_n") / bound).cast("int").alias("_salts"))))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    copies = right.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def selection_join(layers: DataFrame, selection: DataFrame, on: str = "digest") -> DataFrame:
@@ -32,38 +54,30 @@ def selection_join(layers: DataFrame, selection: DataFrame, on: str = "digest")
     return layers.drop("compressed_size").join(sizes, on, "inner")
 
 
-def alias_whitelist(names: DataFrame, name: str) -> DataFrame:
-    return names.select(F.explode(P.expand_aliases(F.col(name))).alias("_alias")).distinct()
+def alias_keys(names: DataFrame, name: str) -> DataFrame:
+    """Every normalised name that itself, or whose alias, is among the listed
+    names and their aliases."""
+    listed = names.select(F.explode(P.expand_aliases(F.col(name))).alias("_n")).distinct()
+    return listed.select(F.explode(F.array_append(P.aliased_by(F.col("_n")), F.col("_n"))).alias("_n")).distinct()
 
 
 def alias_semi(df: DataFrame, name: str, whitelist: DataFrame, listed: str) -> DataFrame:
     """Rows whose name, or its official-image alias, is covered by the aliases
-    of the listed names."""
-    allowed = alias_whitelist(whitelist, listed)
-    n = F.col(name)
-    first = allowed.select(F.col("_alias").alias("_a0"), F.lit(True).alias("_hit0"))
-    second = allowed.select(F.col("_alias").alias("_a1"), F.lit(True).alias("_hit1"))
-    return (
-        df.withColumn("_a0", P.norm_name(n)).withColumn("_a1", P.other_alias(n))
-        .join(first, "_a0", "left").join(second, "_a1", "left")
-        .filter(F.col("_hit0") | F.col("_hit1"))
-        .select(*df.columns)
-    )
+    of the listed names. The list is expanded, the rows are joined once."""
+    keyed = df.withColumn("_n", P.norm_name(F.col(name)))
+    return keyed.join(alias_keys(whitelist, listed), "_n", "left_semi").select(*df.columns)
 
 
 def alias_lookup(df: DataFrame, name: str, ids: DataFrame, id_name: str, id_col: str,
                  out: str = "resolved_id") -> DataFrame:
     """Resolve an id by exact normalised name first, then by the alias. Where
-    names repeat after normalisation, the largest id stands for all of them."""
-    known = ids.groupBy(P.norm_name(F.col(id_name)).alias("_n")).agg(F.max(id_col).alias("_id"))
-    exact = known.select(F.col("_n").alias("_n0"), F.col("_id").alias("_id0"))
-    alias = known.select(F.col("_n").alias("_n1"), F.col("_id").alias("_id1"))
-    return (
-        df.withColumn("_n0", P.norm_name(F.col(name)))
-        .withColumn("_n1", P.other_alias(F.col(name)))
-        .join(exact, "_n0", "left").join(alias, "_n1", "left")
-        .select(*df.columns, F.coalesce("_id0", "_id1").alias(out))
-    )
+    names repeat after normalisation, the largest id stands for all of them.
+    The known names are expanded, the rows are joined once."""
+    known = ids.select(P.norm_name(F.col(id_name)).alias("_n"), F.col(id_col).alias("_id"))
+    entries = known.select("_n", "_id", F.lit(1).alias("_exact")).unionByName(known.select(
+        F.explode(P.aliased_by(F.col("_n"))).alias("_n"), "_id", F.lit(0).alias("_exact")))
+    best = entries.groupBy("_n").agg(F.max_by("_id", F.struct("_exact", "_id")).alias(out))
+    return df.withColumn("_n", P.norm_name(F.col(name))).join(best, "_n", "left").select(*df.columns, out)
 
 
 def ensure_missing(target: DataFrame, required: DataFrame, key: str) -> DataFrame:
@@ -97,12 +111,12 @@ def fragment_layers(layers: DataFrame, selection: DataFrame | None = None) -> Da
     return chosen.select(F.explode("secrets").alias("fragment_hash"), "layer_id").distinct()
 
 
-def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame, salts: int = 8) -> DataFrame:
+def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame) -> DataFrame:
     """Secret records times the layers holding their fragment. A fragment in
-    very many layers is split over ``salts`` tasks by layer."""
+    very many layers is split over tasks by layer."""
     records = secrets.withColumn("fragment_hash", F.trim("fragment_hash")).filter(
         F.col("fragment_hash") != "")
-    return spread_join(frag_layers, records, ["fragment_hash"], "layer_id", salts)
+    return spread_join(frag_layers, records, ["fragment_hash"], "layer_id")
 
 
 def secret_repos(repo_layers: DataFrame, occ: DataFrame) -> DataFrame:
@@ -153,9 +167,11 @@ def bin_weight(df: DataFrame, c: str, bins: DataFrame, out: str = "weight") -> D
 
 def map_weight(df: DataFrame, c: str, map_df: DataFrame, default: float = 1.0,
                out: str = "weight") -> DataFrame:
-    """Weight of a category from a (key, bias_full_over_sample) table."""
-    table = map_df.select(F.col("key").alias(c), F.col("bias_full_over_sample").alias("_w"))
-    return df.join(table, c, "left").select(
+    """Weight of a category from a (key, bias_full_over_sample) table. The
+    table is stored and counted; only a short one is broadcast."""
+    table = cut_lineage(map_df.select(F.col("key").alias(c), F.col("bias_full_over_sample").alias("_w")))
+    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return df.join(side, c, "left").select(
         *df.columns, F.coalesce(F.nanvl("_w", F.lit(default)), F.lit(default)).alias(out))
 
 
@@ -189,12 +205,11 @@ def frag_weight_merge(counts: DataFrame, pairs: DataFrame, uniq: DataFrame,
     """Sum the layer weights of each fragment's layers onto its counts.
     ``weights`` is one row ``w_unique, w_nonunique``; a layer without a
     uniqueness row counts as not unique."""
-    w_unique = weights.select("w_unique").scalar()
-    w_other = weights.select("w_nonunique").scalar()
+    w = one_row(weights.select("w_unique", "w_nonunique"))
     weighted = pairs.select("fragment_hash", "layer_id").distinct().join(
         uniq, "layer_id", "left").groupBy("fragment_hash").agg(
         F.count_if(F.col("is_unique") == 1).alias("_u"), F.count(F.lit(1)).alias("_n"))
     return counts.join(weighted, "fragment_hash", "left").select(
         *counts.columns,
-        (F.coalesce("_u", F.lit(0)) * w_unique
-         + F.coalesce(F.col("_n") - F.col("_u"), F.lit(1)) * w_other).alias("weighted_layer_count"))
+        (F.coalesce("_u", F.lit(0)) * w["w_unique"]
+         + F.coalesce(F.col("_n") - F.col("_u"), F.lit(1)) * w["w_nonunique"]).alias("weighted_layer_count"))

@@ -23,6 +23,12 @@ from regspark.session import cut_lineage
 MAX_CHUNKS = 2048
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct value, computed once however many of its
+    fields are used."""
+    return df.select(F.struct(*df.columns).alias("row")).scalar()
+
+
 def chunk_count(spark: SparkSession) -> int:
     """As many chunks as shuffle partitions: one fair share of rows each."""
     return max(2, min(MAX_CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -100,20 +100,20 @@ def secret_findings(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         (F.col("start_line") + finding_line(F.col("raw"), F.col("_h.secret")) - 1).alias("start_line"))
 
 
-def scan_distinct(frags: DataFrame, rules: Sequence[Rule], salts: int = 8) -> DataFrame:
+def scan_distinct(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings for every layer holding the fragment, from one scan of each
     distinct fragment. A fragment held by very many layers is split by layer."""
     found = secret_findings(frags, rules)
     places = frags.select("fragment_hash", "layer").distinct()
-    return spread_join(places, found, ["fragment_hash"], "layer", salts)
+    return spread_join(places, found, ["fragment_hash"], "layer")
 
 
-def layer_secret_list(hits: DataFrame, frags: DataFrame, salts: int = 8) -> DataFrame:
+def layer_secret_list(hits: DataFrame, frags: DataFrame) -> DataFrame:
     """Distinct (layer, fragment_hash) of fragments with a finding, in rows
     rather than one array per layer, which could grow without bound."""
     known = hits.select("fragment_hash").distinct()
     places = frags.select("fragment_hash", "layer").distinct()
-    return spread_join(places, known, ["fragment_hash"], "layer", salts).select("layer", "fragment_hash")
+    return spread_join(places, known, ["fragment_hash"], "layer").select("layer", "fragment_hash")
 
 
 _BASE64_TOKEN = r"([A-Za-z0-9+/]{16,}={0,2})"

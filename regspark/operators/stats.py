@@ -12,7 +12,7 @@ from regspark.operators.aggregates import FULL_UNIQUE_SHARE, contingency, union_
 from regspark.operators.joins import bin_weight, has_secret, key_union, map_weight, one_random_tag
 from regspark.operators.running import (
     bin_index,
-    exact_quantiles,
+    one_row,
     quantiles_of_counts,
     running,
     running_sum,
@@ -31,12 +31,11 @@ def _ratio(p_full: Column, p_sample: Column) -> Column:
 
 
 def _with_shares(counts: DataFrame) -> DataFrame:
-    n_full = counts.agg(F.sum("count_full")).scalar()
-    n_sample = counts.agg(F.sum("count_sample")).scalar()
+    n = one_row(counts.agg(F.sum("count_full").alias("full"), F.sum("count_sample").alias("sample")))
     shares = counts.select(
         "*",
-        F.coalesce(F.try_divide("count_full", n_full), F.lit(0.0)).alias("p_full"),
-        F.coalesce(F.try_divide("count_sample", n_sample), F.lit(0.0)).alias("p_sample"))
+        F.coalesce(F.try_divide("count_full", n["full"]), F.lit(0.0)).alias("p_full"),
+        F.coalesce(F.try_divide("count_sample", n["sample"]), F.lit(0.0)).alias("p_sample"))
     return shares.withColumn("bias_full_over_sample", _ratio(F.col("p_full"), F.col("p_sample")))
 
 
@@ -45,20 +44,17 @@ def bias_table(full: DataFrame, sample: DataFrame, key: str = "key") -> DataFram
     return _with_shares(key_union(full, sample, key))
 
 
-def bias_bins(full: DataFrame, sample: DataFrame, c: str, nbins: int = 20) -> DataFrame:
-    """Bias over bins between exact quantiles of the population (equal-width
-    bins where fewer than three edges differ). Sample values outside the edges
-    are left out, also from the shares."""
+def bias_bins_of_counts(full: DataFrame, sample: DataFrame, nbins: int = 20) -> DataFrame:
+    """``bias_bins`` from stored (value, n) histograms."""
     probs = [i / nbins for i in range(nbins + 1)]
-    counts = cut_lineage(value_counts(full, F.col(c)))
-    q = quantiles_of_counts(counts, probs).agg(F.array_sort(F.collect_set("value")).alias("q"))
+    q = quantiles_of_counts(full, probs).agg(F.array_sort(F.collect_set("value")).alias("q"))
     lo, hi = F.get("q", F.lit(0)), F.try_element_at("q", F.lit(-1))
     even = F.transform(F.sequence(F.lit(0), F.lit(nbins)), lambda i: lo + (hi - lo) * i / F.lit(float(nbins)))
     edges = cut_lineage(q.filter(F.size("q") > 0).select(
         F.when(F.size("q") >= 3, F.col("q")).otherwise(even).alias("e")))
-    both = union_all(
-        counts.select("value", F.col("n").alias("f"), F.lit(0).cast("long").alias("s")),
-        value_counts(sample, F.col(c)).select("value", F.lit(0).cast("long").alias("f"), F.col("n").alias("s")))
+    zero = F.lit(0).cast("long")
+    both = union_all(full.select("value", F.col("n").alias("f"), zero.alias("s")),
+                     sample.select("value", zero.alias("f"), F.col("n").alias("s")))
     last = F.size("e") - 1
     placed = both.withColumn("e", edges.scalar()).filter(
         (F.col("value") >= F.col("e")[0]) & (F.col("value") <= F.col("e")[last])
@@ -68,16 +64,28 @@ def bias_bins(full: DataFrame, sample: DataFrame, c: str, nbins: int = 20) -> Da
         F.slice("e", F.lit(1), F.size("e") - 1).alias("l"),
         F.slice("e", F.lit(2), F.size("e") - 1).alias("r"))).alias("_i", "b")).select(
         "_i", F.col("b.l").alias("bin_left"), F.col("b.r").alias("bin_right"))
-    counted = frame.join(binned, "_i", "left").select(
+    counted = cut_lineage(frame.join(binned, "_i", "left").select(
         "bin_left", "bin_right", F.coalesce("count_full", F.lit(0)).alias("count_full"),
-        F.coalesce("count_sample", F.lit(0)).alias("count_sample"))
-    some = value_counts(sample, F.col(c)).agg(F.count(F.lit(1))).scalar()
+        F.coalesce("count_sample", F.lit(0)).alias("count_sample")))
+    some = sample.agg(F.count(F.lit(1))).scalar()
     return _with_shares(counted.filter(some > 0))
 
 
-def quantile_series(df: DataFrame, c: str, name: str, n: int = 21) -> DataFrame:
+def bias_bins(full: DataFrame, sample: DataFrame, c: str, nbins: int = 20) -> DataFrame:
+    """Bias over bins between exact quantiles of the population (equal-width
+    bins where fewer than three edges differ). Sample values outside the edges
+    are left out, also from the shares."""
+    return bias_bins_of_counts(cut_lineage(value_counts(full, F.col(c))),
+                               cut_lineage(value_counts(sample, F.col(c))), nbins)
+
+
+def quantile_series_of_counts(counts: DataFrame, name: str, n: int = 21) -> DataFrame:
     probs = [i / (n - 1) for i in range(n)]
-    return exact_quantiles(df, F.col(c), probs).select("quantile", "value", F.lit(name).alias("series"))
+    return quantiles_of_counts(counts, probs).select("quantile", "value", F.lit(name).alias("series"))
+
+
+def quantile_series(df: DataFrame, c: str, name: str, n: int = 21) -> DataFrame:
+    return quantile_series_of_counts(cut_lineage(value_counts(df, F.col(c))), name, n)
 
 
 def unique_bias_weights(share: DataFrame, full: float = FULL_UNIQUE_SHARE) -> DataFrame:
@@ -101,27 +109,30 @@ def kolmogorov_sf(x: Column, terms: int = 60) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_2samp(a: DataFrame, b: DataFrame, c: str, c_b: str | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic with its asymptotic p-value.
-    Values are counted first; only distinct values are ordered, in chunks."""
+def ks_of_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``ks_2samp`` from (value, n) histograms."""
     zero = F.lit(0).cast("long")
-    counts = union_all(
-        value_counts(a, F.col(c)).select("value", F.col("n").alias("na"), zero.alias("nb")),
-        value_counts(b, F.col(c_b or c)).select("value", zero.alias("na"), F.col("n").alias("nb")),
-    ).groupBy("value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    counts = cut_lineage(counts)
-    total_a, total_b = counts.agg(F.sum("na")).scalar(), counts.agg(F.sum("nb")).scalar()
+    counts = cut_lineage(union_all(
+        a.select("value", F.col("n").alias("na"), zero.alias("nb")),
+        b.select("value", zero.alias("na"), F.col("n").alias("nb")),
+    ).groupBy("value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")))
+    totals = one_row(counts.agg(F.sum("na").alias("a"), F.sum("nb").alias("b")))
     run = running(counts, [], F.col("value"),
                   {"ca": running_sum(F.col("na")), "cb": running_sum(F.col("nb"))})
-    gaps = run.withColumn("ta", total_a).withColumn("tb", total_b).filter(
-        (F.col("ta") > 0) & (F.col("tb") > 0))
+    gaps = run.withColumn("t", totals).filter((F.col("t.a") > 0) & (F.col("t.b") > 0))
     found = gaps.agg(
-        F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("statistic"),
-        F.max("ta").alias("n_full"), F.max("tb").alias("n_sample"))
+        F.max(F.abs(F.col("ca") / F.col("t.a") - F.col("cb") / F.col("t.b"))).alias("statistic"),
+        F.max("t.a").alias("n_full"), F.max("t.b").alias("n_sample"))
     scale = F.sqrt(F.col("n_full").cast("double") * F.col("n_sample") / (F.col("n_full") + F.col("n_sample")))
     return found.withColumn("pvalue", kolmogorov_sf(scale * F.col("statistic")))
 
 
+def ks_2samp(a: DataFrame, b: DataFrame, c: str, c_b: str | None = None) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic with its asymptotic p-value.
+    Values are counted first; only distinct values are ordered, in chunks."""
+    return ks_of_counts(value_counts(a, F.col(c)), value_counts(b, F.col(c_b or c)))
+
+
 def _erfc(z: Column, terms: int = 150) -> Column:
     """Complementary error function from the all-positive series of erf."""
     def step(acc: Column, n: Column) -> Column:
@@ -166,9 +177,8 @@ def chi2_statistic(full: DataFrame, sample: DataFrame, key: str = "key") -> Data
     the union of keys. Keys empty on both sides add nothing; a key seen only in
     the sample makes the statistic infinite; null without any expectation."""
     cells = key_union(full, sample, key)
-    n_full = cells.agg(F.sum("count_full")).scalar()
-    n_sample = cells.agg(F.sum("count_sample")).scalar()
-    expected = F.try_divide(F.col("count_full").cast("double"), n_full) * n_sample
+    n = one_row(cells.agg(F.sum("count_full").alias("full"), F.sum("count_sample").alias("sample")))
+    expected = F.try_divide(F.col("count_full").cast("double"), n["full"]) * n["sample"]
     o = F.col("count_sample").cast("double")
     part = (
         F.when(F.col("e") > 0, (o - F.col("e")) * (o - F.col("e")) / F.nullif(F.col("e"), F.lit(0.0)))
@@ -188,49 +198,65 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(INF))
 
 
+def weighted_corrs(df: DataFrame, xs: dict[str, Column], y: Column, w: Column) -> DataFrame:
+    """Weighted Pearson correlation of several columns with ``y`` as rows
+    (variable, value), null where undefined. All weighted means come from one
+    pass and the squares around them from a second one."""
+    names = list(xs)
+    rows = df.select(*(xs[n].cast("double").alias(f"x_{n}") for n in names),
+                     y.cast("double").alias("y"), w.cast("double").alias("w"))
+    usable = _finite(F.col("y")) & _finite(F.col("w")) & (F.col("w") > 0)
+    rows = rows.filter(usable)
+
+    def weight(n: str) -> Column:
+        return F.when(_finite(F.col(f"x_{n}")), F.col("w"))
+
+    means = one_row(rows.agg(*(part for n in names for part in (
+        F.try_divide(F.sum(weight(n) * F.col(f"x_{n}")), F.sum(weight(n))).alias(f"mx_{n}"),
+        F.try_divide(F.sum(weight(n) * F.col("y")), F.sum(weight(n))).alias(f"my_{n}")))))
+    centred = rows.withColumn("m", means)
+
+    def sums(n: str) -> list[Column]:
+        dx, dy = F.col(f"x_{n}") - F.col(f"m.mx_{n}"), F.col("y") - F.col(f"m.my_{n}")
+        return [F.count(weight(n)).alias(f"n_{n}"), F.sum(weight(n) * dx * dx).alias(f"vx_{n}"),
+                F.sum(weight(n) * dy * dy).alias(f"vy_{n}"), F.sum(weight(n) * dx * dy).alias(f"c_{n}")]
+
+    def value(n: str) -> Column:
+        defined = (F.col(f"n_{n}") > 1) & (F.col(f"vx_{n}") > 0) & (F.col(f"vy_{n}") > 0)
+        return F.when(defined, F.col(f"c_{n}") / F.sqrt(F.when(defined, F.col(f"vx_{n}") * F.col(f"vy_{n}"))))
+
+    summed = centred.agg(*(c for n in names for c in sums(n)))
+    return summed.select(F.inline(F.array(*(
+        F.struct(F.lit(n).alias("variable"), value(n).alias("value")) for n in names))))
+
+
 def weighted_corr(df: DataFrame, x: str | Column, y: str | Column, w: str | Column) -> DataFrame:
-    """Weighted Pearson correlation in one row, null where undefined. Values
-    are centred by the weighted means before squares are summed."""
-    def as_double(c):
-        return (F.col(c) if isinstance(c, str) else c).cast("double")
-
-    rows = df.select(as_double(x).alias("x"), as_double(y).alias("y"), as_double(w).alias("w")).filter(
-        _finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("w")) & (F.col("w") > 0))
-    means = rows.agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"),
-                     (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))
-    dx = F.col("x") - means.select("mx").scalar()
-    dy = F.col("y") - means.select("my").scalar()
-    centred = rows.select("w", dx.alias("dx"), dy.alias("dy"))
-    sums = centred.agg(
-        F.sum("w").alias("m"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("w") * F.col("dx") * F.col("dx")).alias("vx"),
-        F.sum(F.col("w") * F.col("dy") * F.col("dy")).alias("vy"),
-        F.sum(F.col("w") * F.col("dx") * F.col("dy")).alias("cov"))
-    defined = (F.col("n") > 1) & (F.col("m") > 0) & (F.col("vx") > 0) & (F.col("vy") > 0)
-    return sums.select(F.when(
-        defined, F.col("cov") / F.sqrt(F.when(defined, F.col("vx") * F.col("vy")))).alias("value"))
+    """Weighted Pearson correlation in one row, null where undefined."""
+    x, y, w = (F.col(c) if isinstance(c, str) else c for c in (x, y, w))
+    return weighted_corrs(df, {"x": x}, y, w).select("value")
 
 
 def weighted_cramers_v(df: DataFrame, cat: str, flag: str = "has_secret", w: str = "weight") -> DataFrame:
     """Cramer's V of a weighted category-by-flag table in one row. The flag has
-    two columns, so empty cells are explicit and no marginals are crossed."""
-    table = contingency(df, cat, flag, w).select(
-        F.col(f"{flag}=False").alias("w0"), F.col(f"{flag}=True").alias("w1"))
-    totals = table.agg(F.sum("w0").alias("c0"), F.sum("w1").alias("c1"), F.count(F.lit(1)).alias("r"))
-    present = df.agg(F.countDistinct(flag)).scalar()
-    c0, c1 = totals.select("c0").scalar(), totals.select("c1").scalar()
+    two columns, so empty cells are explicit and no marginals are crossed. The
+    table, one row per category, is stored."""
+    held = F.col(flag)
+    table = cut_lineage(contingency(df, cat, flag, w, F.count_if(~held).alias("n0"), F.count_if(held).alias("n1"))
+                        .withColumnsRenamed({f"{flag}=False": "w0", f"{flag}=True": "w1"}))
+    totals = one_row(table.agg(F.sum("w0").alias("c0"), F.sum("w1").alias("c1")))
 
     def part(cell: str, column: str) -> Column:
-        e = (F.col("w0") + F.col("w1")) * F.col(column) / F.nullif(F.col("c0") + F.col("c1"), F.lit(0.0))
+        all_weight = F.nullif(F.col("t.c0") + F.col("t.c1"), F.lit(0.0))
+        e = (F.col("w0") + F.col("w1")) * F.col(f"t.{column}") / all_weight
         gap = F.col(cell) - e
         return F.when(e != 0, gap * gap / F.nullif(e, F.lit(0.0))).otherwise(F.lit(0.0))
 
-    chi2 = table.withColumn("c0", c0).withColumn("c1", c1).agg(
-        F.sum(part("w0", "c0") + part("w1", "c1")).alias("chi2"),
-        F.count(F.lit(1)).alias("r"), F.max(F.col("c0") + F.col("c1")).alias("n"))
+    chi2 = table.withColumn("t", totals).agg(
+        F.sum(part("w0", "c0") + part("w1", "c1")).alias("chi2"), F.count(F.lit(1)).alias("r"),
+        F.max(F.col("t.c0") + F.col("t.c1")).alias("n"),
+        ((F.sum("n0") > 0).cast("int") + (F.sum("n1") > 0).cast("int")).alias("c"))
     denom = F.col("n") * (F.least(F.col("r"), F.col("c")) - 1)
-    return chi2.withColumn("c", present).select(
-        F.when(denom > 0, F.sqrt(F.col("chi2") / F.nullif(denom, F.lit(0.0)))).alias("value"))
+    return chi2.select(F.when(denom > 0, F.sqrt(F.col("chi2") / F.nullif(denom, F.lit(0.0)))).alias("value"))
 
 
 def repo_study_frame(repositories: DataFrame, tags: DataFrame, repo_layers: DataFrame,
@@ -262,19 +288,14 @@ def repo_study_frame(repositories: DataFrame, tags: DataFrame, repo_layers: Data
 
 def association_metrics(study: DataFrame) -> DataFrame:
     """Weighted correlation of three numbers and Cramer's V of three categories
-    with having a secret."""
-    y = F.col("has_secret").cast("double")
+    with having a secret. ``study`` is read five times; store it first."""
     numbers = {
         "pull_count": F.col("pull_count"), "star_count": F.col("star_count"),
         "last_pushed_epoch": P.epoch_seconds(F.col("last_pushed"), whole=False),
     }
-    rows = [
-        weighted_corr(study, c, y, "weight").select(
-            F.lit(name).alias("variable"), F.lit("numeric_corr_weighted").alias("type"), "value")
-        for name, c in numbers.items()
-    ] + [
+    correlations = weighted_corrs(study, numbers, F.col("has_secret").cast("double"), F.col("weight")).select(
+        "variable", F.lit("numeric_corr_weighted").alias("type"), "value")
+    return union_all(correlations, *(
         weighted_cramers_v(study, cat).select(
             F.lit(cat).alias("variable"), F.lit("categorical_cramers_v_weighted").alias("type"), "value")
-        for cat in ("status_cat", "is_official_cat", "is_automated_cat")
-    ]
-    return union_all(*rows)
+        for cat in ("status_cat", "is_official_cat", "is_automated_cat")))

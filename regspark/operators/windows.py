@@ -113,16 +113,15 @@ def joint_ccdf(df: DataFrame, a: str = "repo_count", b: str = "layer_count") ->
     hist = cut_lineage(df.groupBy(F.least(av, bv).alias("v")).agg(
         F.count(F.lit(1)).alias("n"), F.max(av).alias("a"), F.max(bv).alias("b")))
     facts = hist.agg(F.least(F.max("a"), F.max("b")).alias("top"), F.sum("n").alias("rows"))
-    top, rows = facts.select("top").scalar(), facts.select("rows").scalar()
+    below = hist.agg(F.sum(F.when(F.col("v") < 1, F.col("n")).otherwise(F.lit(0))).alias("below"))
     # A closing step of zero rows covers x beyond the largest smaller value.
     steps = hist.select("v", "n").filter(F.col("v") >= 1).unionByName(
         facts.filter(F.col("top") >= 1).select(F.col("top").alias("v"), F.lit(0).cast("long").alias("n"))
     ).groupBy("v").agg(F.sum("n").alias("n"))
-    below = hist.filter(F.col("v") < 1).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     run = running(steps, [], F.col("v"), {
         "_less": running_sum(F.col("n"), inclusive=False),
         "_prev": running_max(F.col("v"), inclusive=False)})
-    sized = run.withColumn("_rows", rows).withColumn("_below", below).withColumn("_top", top)
+    sized = run.withColumn("_rows", facts.select("rows").scalar()).withColumn("_below", below.scalar())
     return sized.select(
         F.explode(F.sequence(F.coalesce("_prev", F.lit(0).cast("long")) + 1, F.col("v"))).alias("x"),
         ((F.col("_rows") - F.col("_below") - F.col("_less")) / F.col("_rows")).alias("ccdf"))

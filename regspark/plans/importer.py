@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from regspark.functions import scalars as P
 from regspark.operators import joins as J
 from regspark.operators import merge as U
+from regspark.session import cut_lineage
 
 
 def clean_selection(selection: DataFrame) -> DataFrame:
@@ -44,9 +45,13 @@ def import_repositories(selected_names: DataFrame, repos: DataFrame, old: DataFr
 
 
 def import_layers(selection: DataFrame, layers: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    facts = J.selection_join(layers.drop("secrets"), selection)
-    start = _no_rows(facts) if old is None else old
-    merged = U.upsert_coalesce(start, facts, "digest", "seq")
+    """Facts of selected layers, last known value per column. Lines are merged
+    by digest before the join, so a layer with very many lines stays cheap."""
+    lines = layers.drop("secrets")
+    facts = U.upsert_coalesce(_no_rows(lines), lines, "digest", "seq")
+    chosen = J.selection_join(facts, selection)
+    merged = chosen if old is None else U.upsert_coalesce(
+        old, chosen.withColumn("seq", F.lit(0)), "digest", "seq")
     minimal = selection.select("digest", F.col("size").alias("compressed_size"))
     return J.ensure_missing(merged, minimal, "digest")
 
@@ -82,32 +87,32 @@ def import_tags(selected_names: DataFrame, tags: DataFrame, repositories: DataFr
 
 def import_secrets(selection: DataFrame, layers: DataFrame, records: DataFrame,
                    old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Secrets by fragment hash and their occurrences in selected layers."""
+    """Secrets by fragment hash and their occurrences in selected layers.
+    Records are made distinct before they meet the layers of their fragment."""
     held = layers.select("digest", "secrets", F.col("digest").alias("layer_id"), "seq")
     last = U.latest(held.filter(F.size("secrets") > 0), "digest", "seq")
     reach = J.fragment_layers(last, selection)
-    flat = records.select("fragment_hash", "seq", *(
+    flat = records.select(F.trim("fragment_hash").alias("fragment_hash"), "seq", *(
         P.strip_nul(F.col(f"secrets.{c}")).alias(c) for c in ("origin", "secret", "file", "file_type")),
         F.col("secrets.file_size").alias("file_size"), F.col("secrets.start_line").alias("start_line"))
-    found = J.secret_occurrences(flat, reach)
-    fresh = found.groupBy("fragment_hash").agg(
+    known = reach.select("fragment_hash").distinct()
+    fresh = flat.groupBy("fragment_hash").agg(
         F.max_by("origin", "seq").alias("origin"), F.max_by("secret", "seq").alias("secret"),
-        F.max("seq").alias("seq"))
+        F.max("seq").alias("seq")).join(known, "fragment_hash", "left_semi")
     secrets = U.upsert_secret(_no_rows(fresh) if old is None else old, fresh)
-    occurrences = found.select(F.col("layer_id").alias("digest"), "fragment_hash", "file", "file_type",
-                               "file_size", "start_line").distinct()
+    places = flat.drop("seq", "origin", "secret").distinct()
+    occurrences = J.secret_occurrences(places, reach).withColumnRenamed("layer_id", "digest")
     return secrets, occurrences
 
 
 def import_all(selection: DataFrame, repos: DataFrame, tags: DataFrame, layers: DataFrame,
                secrets: DataFrame,
-               keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+               keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> dict[str, DataFrame]:
     """All six tables in dependency order, and the unresolved links.
 
     The selection, its names and the repositories feed several later steps.
-    ``keep`` is applied to these three; pass ``session.cut_lineage``, or a
-    function that writes the frame as a table and reads it back, so that each
-    is computed once.
+    ``keep`` stores these three, so that each is computed once: a checkpoint by
+    default, or a function that writes a table and reads it back.
     """
     chosen = keep(clean_selection(selection))
     names = keep(chosen.select(F.explode("repos").alias("repo")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +12,22 @@ from regspark.operators import aggregates as A
 from regspark.operators import stats as B
 from regspark.operators import windows as W
 from regspark.operators.joins import frag_weight_merge
+from regspark.session import cut_lineage
 
 
 def run_study(tables: dict[str, DataFrame], biases: dict[str, DataFrame] | None = None,
               unique_share: DataFrame | None = None, where: Column | None = None,
-              seed: str | int = 42) -> dict[str, DataFrame]:
+              seed: str | int = 42,
+              keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> dict[str, DataFrame]:
     """``tables``: repositories, tags, layers, repo_layers, secrets,
-    occurrences. ``where`` selects the secrets that count (default all). The
-    returned frames are lazy; persist ``study`` before writing several."""
+    occurrences. ``where`` selects the secrets that count (default all).
+    ``keep`` stores the study frame and the counts per secret, which feed
+    several results; all results are lazy."""
     t = tables
     chosen = t["secrets"] if where is None else t["secrets"].filter(where)
-    study = B.repo_study_frame(t["repositories"], t["tags"], t["repo_layers"], t["occurrences"],
-                               biases, seed)
-    counts = A.secret_repo_layer_counts(chosen, t["occurrences"], t["repo_layers"])
+    study = keep(B.repo_study_frame(t["repositories"], t["tags"], t["repo_layers"], t["occurrences"],
+                                    biases, seed))
+    counts = keep(A.secret_repo_layer_counts(chosen, t["occurrences"], t["repo_layers"]))
     per_secret = counts.select("fragment_hash", "repo_count")
     pairs = t["occurrences"].join(chosen.select("secret_id", "fragment_hash"), "secret_id").select(
         "fragment_hash", "layer_id").distinct()

@@ -11,7 +11,6 @@ from regspark.operators import merge as U
 from regspark.operators import sampling as M
 from regspark.operators import stats as B
 from regspark.plans import importer as I
-from regspark.session import cut_lineage
 from workload import views as V
 from workload.registry import query
 
@@ -376,7 +375,7 @@ _LAST_LAYERS_SQL = """
         WHERE o_orderpriority <> '1-URGENT'
     UNION ALL {_SECRET_ROWS_SQL}""")
 def import_pipeline(spark, d):
-    return _long_form(I.import_all(*_import(spark, d), keep=cut_lineage))
+    return _long_form(I.import_all(*_import(spark, d)))
 
 
 @query("import_secrets_only", f"""
