@@ -34,8 +34,10 @@ def spearman_per_group(df: DataFrame, by: str, rank: str = "rank", score: str =
     rows = cut_lineage(min_group_filter(slim, by, min_rows))
     ranked = rows.join(average_ranks(rows, by, "_x", "_rx"), [by, "_x"]).join(
         average_ranks(rows, by, "_y", "_ry"), [by, "_y"])
-    return ranked.groupBy(by).agg(F.corr("_rx", "_ry").alias("spearman")).filter(
-        F.col("spearman").isNotNull() & ~F.isnan("spearman"))
+    spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
+    return ranked.groupBy(by).agg(
+        (F.covar_pop("_rx", "_ry") / F.nullif(spread, F.lit(0.0))).alias("spearman")
+    ).filter(F.col("spearman").isNotNull())
 
 
 def _gain_blocks(df: DataFrame, by: str, gain: Column, order: Column, tie: str) -> DataFrame:
