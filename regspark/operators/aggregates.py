@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
-from regspark.operators.joins import frag_weight_merge, spread_join
+from regspark.operators.joins import frag_weight_merge, lookup_join, spread_join
 from regspark.operators.running import quantiles_of_counts, value_counts
 from regspark.session import cut_lineage
 
@@ -87,8 +87,9 @@ def _reached_repos(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame) -
     are stored once, as three steps read them."""
     links = cut_lineage(distinct_pairs(repo_layers, "layer_id", "repo_id"))
     per_layer = links.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_repos"))
-    holds = cut_lineage(occ.select("secret_id", "layer_id").distinct().join(
-        secrets.select("secret_id", "fragment_hash"), "secret_id").select(
+    held = occ.select("secret_id", "layer_id").distinct()
+    holds = cut_lineage(lookup_join(
+        held, secrets.select("secret_id", "fragment_hash"), ["secret_id"], "layer_id").select(
         "fragment_hash", "layer_id").distinct())
     reachable = holds.join(per_layer, "layer_id")
     per_secret = reachable.groupBy("fragment_hash").agg(

@@ -48,6 +48,20 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: st
     return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+def is_short(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most ``rows`` rows; stops reading once it has more."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
+                how: str = "inner") -> DataFrame:
+    """Join to a table of distinct keys: broadcast if it was found short, else
+    shuffled with the hot keys of the left side split by ``spread``."""
+    if is_short(right):
+        return left.join(F.broadcast(right), list(on), how)
+    return spread_join(left, right, on, spread, how)
+
+
 def selection_join(layers: DataFrame, selection: DataFrame, on: str = "digest") -> DataFrame:
     """Selected layers only, with the compressed size taken from the selection."""
     sizes = selection.select(on, F.col("size").alias("compressed_size"))
@@ -116,7 +130,7 @@ def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame) -> DataFrame:
     very many layers is split over tasks by layer."""
     records = secrets.withColumn("fragment_hash", F.trim("fragment_hash")).filter(
         F.col("fragment_hash") != "")
-    return spread_join(frag_layers, records, ["fragment_hash"], "layer_id")
+    return spread_join(cut_lineage(frag_layers), records, ["fragment_hash"], "layer_id")
 
 
 def secret_repos(repo_layers: DataFrame, occ: DataFrame) -> DataFrame:
@@ -167,11 +181,11 @@ def bin_weight(df: DataFrame, c: str, bins: DataFrame, out: str = "weight") -> D
 
 def map_weight(df: DataFrame, c: str, map_df: DataFrame, default: float = 1.0,
                out: str = "weight") -> DataFrame:
-    """Weight of a category from a (key, bias_full_over_sample) table. The
-    table is stored and counted; only a short one is broadcast."""
+    """Weight of a category from a (key, bias_full_over_sample) table, which
+    is stored and broadcast if short. Beyond that, adaptive execution splits
+    the rows of a hot category."""
     table = cut_lineage(map_df.select(F.col("key").alias(c), F.col("bias_full_over_sample").alias("_w")))
-    side = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    return df.join(side, c, "left").select(
+    return df.join(F.broadcast(table) if is_short(table) else table, c, "left").select(
         *df.columns, F.coalesce(F.nanvl("_w", F.lit(default)), F.lit(default)).alias(out))
 
 
@@ -189,7 +203,9 @@ def month_merge(df: DataFrame, month: str = "month_key", repo: str = "repo_id",
 
 
 def secret_layer_join(secrets: DataFrame, occ: DataFrame, layers: DataFrame) -> DataFrame:
-    return occ.join(secrets, "secret_id").join(layers, "layer_id")
+    """Occurrences with their secret and layer; a secret in very many layers,
+    or a layer with very many secrets, is split over tasks."""
+    return lookup_join(lookup_join(occ, secrets, ["secret_id"], "layer_id"), layers, ["layer_id"], "secret_id")
 
 
 def key_union(full: DataFrame, sample: DataFrame, key: str = "key", count: str = "count") -> DataFrame:

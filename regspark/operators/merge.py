@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regspark.session import cut_lineage
+
 _HEX_PREFIX = 4  # 65,536 ranges of the key hash
 
 
@@ -61,7 +63,7 @@ def surrogate_ids(df: DataFrame, key: str, out: str = "id", dense: bool = True)
     keyed = df.select(key).distinct() if df.columns != [key] else df.distinct()
     if not dense:
         return keyed.withColumn(out, F.xxhash64(key))
-    hashed = keyed.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn(
+    hashed = cut_lineage(keyed).withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn(
         "_p", F.left(F.col("_h"), F.lit(_HEX_PREFIX)))
     ranges = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
+from regspark.session import cut_lineage
 
 # Fixed value: bytes a layer sample aims at.
 TARGET_BYTES = 150 * 1_000_000_000_000
@@ -19,14 +20,20 @@ TARGET_BYTES = 150 * 1_000_000_000_000
 
 def reservoir(df: DataFrame, c: str, k: int, seed: str | int, key: str, prefix: int = 4) -> DataFrame:
     """At most k uniform rows among those with a value that is not null and not
-    negative. Counts per hash range find how far the k smallest hashes reach;
-    only those rows are sorted."""
-    rows = df.filter(F.col(c) >= 0).withColumn("_h", P.hash_hex(seed, F.col(key)))
-    p = F.left(F.col("_h"), F.lit(prefix))
-    cells = rows.groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    negative: the k smallest hashes. Counts per hash range tell which ranges
+    are taken whole; rows are ordered only in the one range where k is reached."""
+    rows = df.filter(F.col(c) >= 0).withColumn("_h", P.hash_hex(seed, F.col(key))).withColumn(
+        "_p", F.left(F.col("_h"), F.lit(prefix)))
+    cells = cut_lineage(rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = cells.withColumn("_b", before).filter(F.col("_b") < k).agg(F.max("_p")).scalar()
-    return rows.filter(p <= edge).orderBy("_h", key).limit(k).drop("_h")
+    reached = cells.withColumn("_b", before).filter(F.col("_b") < k).agg(
+        F.max(F.struct("_p", F.col("_b").alias("b"))).alias("edge")).scalar()
+    edged = rows.withColumn("_e", reached)
+    whole = edged.filter(F.col("_p") < F.col("_e._p"))
+    rank = F.row_number().over(W.partitionBy("_p").orderBy("_h", key))
+    cut = edged.filter(F.col("_p") == F.col("_e._p")).withColumn("_rank", rank).filter(
+        F.col("_rank") <= F.lit(k) - F.col("_e.b"))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def stratified_bytes(df: DataFrame, size: str, key: str, target: int = TARGET_BYTES,
@@ -44,7 +51,7 @@ def stratified_bytes(df: DataFrame, size: str, key: str, target: int = TARGET_BY
         .withColumn("_h", P.hash_hex(seed, F.col(key)))
         .withColumn("_p", F.left(F.col("_h"), F.lit(3)))
     )
-    cells = rows.groupBy("_bucket", "_p").agg(F.sum(size).alias("_bytes"))
+    cells = cut_lineage(rows.groupBy("_bucket", "_p").agg(F.sum(size).alias("_bytes")))
     total = cells.agg(F.sum("_bytes")).scalar()
     in_class = W.partitionBy("_bucket").orderBy("_p")
     planned = cells.select(

@@ -1,8 +1,8 @@
-"""Secret scanning over extracted layer files, each distinct fragment once.
+"""Secret scanning over extracted layer files, one finding per distinct fragment.
 
-Rules are a short list the caller supplies. A fragment's text is scanned once
-however many layers, files or copies hold it; findings return to the layers
-through the fragment hash.
+Rules are a short list the caller supplies. However many layers, files or
+copies hold a fragment, its findings are reported once and return to the
+layers through the fragment hash.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
-from regspark.operators.joins import spread_join
+from regspark.operators.joins import is_short, spread_join
+from regspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -81,39 +82,52 @@ def _rule_hits(text: Column, rule: Rule) -> Column:
     return F.when(keyed, named).otherwise(F.array().cast("array<struct<origin:string,secret:string>>"))
 
 
-def distinct_fragments(frags: DataFrame) -> DataFrame:
-    """Each fragment once, at its first place by (layer, file, number)."""
+def _matched(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    hits = F.concat(*(_rule_hits(F.col("raw"), r) for r in rules))
+    return frags.withColumn("_hits", hits).filter(F.size("_hits") > 0)
+
+
+def _described(matched: DataFrame) -> DataFrame:
+    """Findings of each distinct fragment, at its first place by (layer, file,
+    number)."""
     place = F.struct("layer", "file", "fragment_no")
-    return frags.groupBy("fragment_hash").agg(
-        F.min_by(F.struct("raw", "file", "file_size", "start_line"), place).alias("_f")
+    first = matched.groupBy("fragment_hash").agg(
+        F.min_by(F.struct("raw", "file", "file_size", "start_line", "_hits"), place).alias("_f")
     ).select("fragment_hash", "_f.*")
+    return first.select("*", F.explode("_hits").alias("_h")).select(
+        "fragment_hash", "file", P.file_ext(F.col("file")).alias("file_type"), "file_size",
+        F.col("_h.origin").alias("origin"), F.col("_h.secret").alias("secret"),
+        (F.col("start_line") + finding_line(F.col("raw"), F.col("_h.secret")) - 1).alias("start_line"))
 
 
 def secret_findings(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule match in each distinct fragment, described at the
-    place the fragment was first seen."""
-    hits = F.concat(*(_rule_hits(F.col("raw"), r) for r in rules))
-    matched = distinct_fragments(frags).withColumn("_hits", hits).filter(F.size("_hits") > 0)
-    return matched.select("*", F.explode("_hits").alias("_h")).select(
-        "fragment_hash", "file", P.file_ext(F.col("file")).alias("file_type"), "file_size",
-        F.col("_h.origin").alias("origin"), F.col("_h.secret").alias("secret"),
-        (F.col("start_line") + finding_line(F.col("raw"), F.col("_h.secret")) - 1).alias("start_line"))
+    place the fragment was first seen.
+
+    Rules run where the text is read, and only fragments with a match are
+    shuffled to be made distinct: moving every fragment to find the copies
+    first would cost far more than matching a copy again.
+    """
+    return _described(_matched(frags, rules))
 
 
 def scan_distinct(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Findings for every layer holding the fragment, from one scan of each
-    distinct fragment. A fragment held by very many layers is split by layer."""
-    found = secret_findings(frags, rules)
-    places = frags.select("fragment_hash", "layer").distinct()
-    return spread_join(places, found, ["fragment_hash"], "layer")
+    """Findings for every layer holding the fragment. Every copy of a matching
+    fragment matches, so its layers are known without joining all fragments;
+    a fragment held by very many layers is split by layer."""
+    matched = cut_lineage(_matched(frags, rules))
+    places = cut_lineage(matched.select("fragment_hash", "layer").distinct())
+    return spread_join(places, _described(matched), ["fragment_hash"], "layer")
 
 
 def layer_secret_list(hits: DataFrame, frags: DataFrame) -> DataFrame:
     """Distinct (layer, fragment_hash) of fragments with a finding, in rows
-    rather than one array per layer, which could grow without bound."""
-    known = hits.select("fragment_hash").distinct()
-    places = frags.select("fragment_hash", "layer").distinct()
-    return spread_join(places, known, ["fragment_hash"], "layer").select("layer", "fragment_hash")
+    rather than one array per layer, which could grow without bound. The known
+    fragments filter before anything is shuffled if they are few."""
+    known = cut_lineage(hits.select("fragment_hash").distinct())
+    side = F.broadcast(known) if is_short(known) else known
+    return frags.select("layer", "fragment_hash").join(side, "fragment_hash", "left_semi").select(
+        "layer", "fragment_hash").distinct()
 
 
 _BASE64_TOKEN = r"([A-Za-z0-9+/]{16,}={0,2})"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regspark.operators.joins import lookup_join
 from regspark.operators.running import (
     running,
     running_count,
@@ -53,8 +54,9 @@ def rank_in_query(df: DataFrame, by: Sequence[str], order: Column, tie: Sequence
 
 def rank_label(df: DataFrame, by: str, rank: str = "rank", out: str = "label") -> DataFrame:
     """Relevance: the last rank of the query gets 1, the first the most."""
-    longest = df.groupBy(by).agg(F.max(rank).alias("_max"))
-    return df.join(longest, by).select(*df.columns, (F.col("_max") - F.col(rank) + 1).alias(out))
+    rows = cut_lineage(df)
+    longest = rows.groupBy(by).agg(F.max(rank).alias("_max"))
+    return lookup_join(rows, longest, [by], rank).select(*df.columns, (F.col("_max") - F.col(rank) + 1).alias(out))
 
 
 def min_group_filter(df: DataFrame, by: str, n: int = 5) -> DataFrame:
