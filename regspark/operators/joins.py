@@ -14,17 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
-from regspark.operators.running import one_row
+from regspark.operators.running import BROADCAST_ROWS, TASK_ROWS, hot_keys, one_row
 from regspark.operators.sampling import one_per_group
 from regspark.session import cut_lineage
 
 
-# A side of at most this many short rows may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
-                how: str = "inner", rows_per_task: int = 1_000_000) -> DataFrame:
+                how: str = "inner", rows_per_task: int = TASK_ROWS) -> DataFrame:
     """Equi-join that splits the hot keys of the left side.
 
     Rows per key are counted. Without a key beyond ``rows_per_task`` this is a
@@ -33,14 +29,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: st
     and only its right rows are repeated, once per salt.
     """
     on = list(on)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
-    # No more than BROADCAST_ROWS keys can hold more than total / BROADCAST_ROWS.
-    bound = max(rows_per_task, (total or 0) // BROADCAST_ROWS)
-    if (most or 0) <= bound:
+    found = hot_keys(left, on, rows_per_task)
+    if found is None:
         return left.join(right, on, how)
-    hot = F.broadcast(cut_lineage(counts.filter(F.col("_n") > bound).select(
-        *on, F.ceil(F.col("_n") / bound).cast("int").alias("_salts"))))
+    keys, bound = found
+    hot = F.broadcast(keys.select(*on, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     copies = right.join(hot, on, "left").withColumn(

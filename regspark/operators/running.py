@@ -1,12 +1,14 @@
-"""Running aggregates and exact quantiles that never hold a group in one task.
+"""Running aggregates and exact quantiles that never hold a large group in one
+task.
 
 A plain window puts each of its groups into a single task, and a window
-without groups puts the whole table there. Here rows are first cut into chunks
-of about equal size along the order column (edges from one approximate
-percentile pass, read as a scalar subquery). The few totals per (group, chunk)
-are turned into carried-in values, and the row-level window runs inside
-(group, chunk) only, so even a group holding most of the rows is spread over
-as many tasks as there are chunks.
+without groups puts the whole table there. Rows per group are therefore counted
+first. Groups up to ``TASK_ROWS`` get the plain window. The rows of larger ones
+are cut into chunks of about equal size along the order column (edges from one
+approximate percentile pass); the few totals per (group, chunk) are turned into
+carried-in values, and the row-level window runs inside (group, chunk) only, so
+even a group holding most of the rows is spread over as many tasks as there are
+chunks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,25 @@ from regspark.session import cut_lineage
 # percentile_approx with its default accuracy resolves 1/10000 of the rows.
 MAX_CHUNKS = 2048
 
+# Rows of one group (or of an ungrouped frame) a single task may order.
+TASK_ROWS = 1_000_000
+
+# A side of at most this many short rows may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], rows: int) -> tuple[DataFrame, int] | None:
+    """The keys with more than ``rows`` rows, with their counts ``_n`` and the
+    bound actually used, or None if there are none. At most BROADCAST_ROWS keys
+    can exceed total / BROADCAST_ROWS rows, so the bound is raised to that and
+    the result is always short enough to broadcast."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    bound = max(rows, (total or 0) // BROADCAST_ROWS)
+    if (most or 0) <= bound:
+        return None
+    return cut_lineage(counts.filter(F.col("_n") > bound)), bound
+
 
 def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct value, computed once however many of its
@@ -34,9 +55,10 @@ def chunk_count(spark: SparkSession) -> int:
     return max(2, min(MAX_CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def bin_index(x: Column, edges: Column) -> Column:
-    """Number of edges at or below ``x`` in a sorted array, by binary search."""
-    steps = [1 << k for k in range(MAX_CHUNKS.bit_length() - 1, -1, -1)]
+def bin_index(x: Column, edges: Column, most: int = MAX_CHUNKS) -> Column:
+    """Number of edges at or below ``x`` in a sorted array of at most ``most``
+    edges, by binary search."""
+    steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
     return F.aggregate(
         F.array(*(F.lit(s) for s in steps)),
         F.lit(0),
@@ -47,15 +69,16 @@ def bin_index(x: Column, edges: Column) -> Column:
 
 
 def with_chunk(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Add each row's chunk number along a non-null numeric column."""
+    """Add each row's chunk number along a non-null numeric column. The edges,
+    one number per chunk, come to the driver and go into the plan as one
+    literal, so that no row carries them."""
     n = chunk_count(df.sparkSession)
     probs = [i / n for i in range(1, n)]
-    edges = df.agg(F.percentile_approx(order, probs).alias("edges")).scalar()
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn(out, bin_index(F.col(order), F.col("_edges")))
-        .drop("_edges")
-    )
+    edges = df.agg(F.percentile_approx(order, probs)).first()[0] or []
+    kind = df.schema[order].dataType
+    literal = F.array(*(F.lit(e).cast(kind) for e in edges)) if edges else F.array().cast(
+        f"array<{kind.simpleString()}>")
+    return df.withColumn(out, bin_index(F.col(order), literal, n))
 
 
 _BEFORE = (W.unboundedPreceding, -1)
@@ -108,54 +131,83 @@ def running_last(value: Column, inclusive: bool = True) -> Running:
 
 
 def running(df: DataFrame, by: Sequence[str], order: Column,
-            aggs: dict[str, Running], tie: Sequence[str] = (),
-            chunk: Column | None = None) -> DataFrame:
+            aggs: dict[str, Running], tie: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """Append running aggregates along ``order`` (then ``tie``) within ``by``.
 
-    ``order`` is numeric; group keys and order must not be null. Chunks are
-    balanced as long as no single order value holds a large share of the rows:
-    aggregate to distinct values first, or use ``positions``. The input is read
-    three times (edges, totals, rows), so store it first (``cut_lineage``) where
-    it is more than a scan. A caller that already knows an even,
-    order-preserving chunk number passes ``chunk``.
+    ``order`` is numeric and not null. Chunks of a large group are balanced as
+    long as no single order value holds a large share of its rows: aggregate to
+    distinct values first, or use ``positions``. The input is read up to four
+    times (sizes, edges, totals, rows); store it first (``cut_lineage``) where
+    it is more than a scan.
     """
     by = list(by)
     base = df.withColumn("_order", order)
-    numbered = (with_chunk(base, "_order", "_chunk") if chunk is None
-                else base.withColumn("_chunk", chunk))
-    o = F.col("_order")
+    small, large = _by_size(base, by, task_rows)
+    parts = ([_plain(small, by, aggs, tie)] if small is not None else []) + (
+        [_chunked(large, by, aggs, tie)] if large is not None else [])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select(*df.columns, *aggs)
+
+
+def _by_size(df: DataFrame, by: list[str], rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of groups one task can order, and the rows of larger groups."""
+    if not by:
+        return (df, None) if df.limit(rows + 1).count() <= rows else (None, df)
+    found = hot_keys(df, by, rows)
+    if found is None:
+        return df, None
+    hot = F.broadcast(found[0].select(*by))
+    return df.join(hot, by, "left_anti"), df.join(hot, by, "left_semi")
 
+
+def _frame(window, agg: Running):
+    return window.rowsBetween(*(_UP_TO if agg.inclusive else _BEFORE))
+
+
+def _plain(df: DataFrame, by: list[str], aggs: dict[str, Running], tie: Sequence[str]) -> DataFrame:
+    window = W.partitionBy(*by).orderBy("_order", *tie)
+    return df.select("*", *(a.over(a.value, _frame(window, a)).alias(name) for name, a in aggs.items()))
+
+
+def _chunked(df: DataFrame, by: list[str], aggs: dict[str, Running], tie: Sequence[str]) -> DataFrame:
+    numbered = with_chunk(df, "_order", "_chunk")
+    o = F.col("_order")
     totals = numbered.groupBy(*by, "_chunk").agg(
         *(a.total(F.struct(o, *tie)).alias(f"_t_{name}") for name, a in aggs.items()))
     across = W.partitionBy(*by).orderBy("_chunk").rowsBetween(*_BEFORE)
     carried = totals.select(*by, "_chunk", *(
         a.over(F.col(f"_t_{name}"), across).alias(f"_c_{name}") for name, a in aggs.items()))
-
     within = W.partitionBy(*by, "_chunk").orderBy(o, *tie)
     joined = numbered.join(carried, [*by, "_chunk"], "inner")
-    outs = [
-        a.merge(F.col(f"_c_{name}"),
-                a.over(a.value, within.rowsBetween(*(_UP_TO if a.inclusive else _BEFORE)))).alias(name)
-        for name, a in aggs.items()
-    ]
-    return joined.select(*df.columns, *outs)
+    return joined.select(*df.columns, *(
+        a.merge(F.col(f"_c_{name}"), a.over(a.value, _frame(within, a))).alias(name)
+        for name, a in aggs.items()))
 
 
 def positions(df: DataFrame, by: Sequence[str], order: Column, tie: Column,
-              out: str = "position") -> DataFrame:
-    """1-based position along (``order``, ``tie``) within ``by``, safe for long
-    runs of equal ``order``: a run is cut into cells along ``tie`` (numeric),
-    the cells are counted and carried, and rows are numbered inside a cell."""
+              out: str = "position", task_rows: int = TASK_ROWS) -> DataFrame:
+    """1-based position along (``order``, ``tie``) within ``by``. In groups too
+    large for one task, a long run of equal ``order`` is cut into cells along
+    ``tie`` (numeric); the cells are counted and carried, and rows are numbered
+    inside a cell."""
     by = list(by)
     base = df.withColumn("_order2", order).withColumn("_tie2", tie)
-    cut = with_chunk(base, "_tie2", "_cell")
-    keys = [*by, "_order2", "_cell"]
-    cells = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = running(cells, by, F.col("_order2"), {"_before": running_sum(F.col("_n"), False)},
-                     tie=["_cell"]).drop("_n")
-    inside = W.partitionBy(*keys).orderBy("_tie2")
-    return cut.join(before, keys, "inner").select(
-        *df.columns, (F.col("_before") + F.row_number().over(inside)).cast("long").alias(out))
+    small, large = _by_size(base, by, task_rows)
+    number = F.row_number()
+    parts = []
+    if small is not None:
+        window = W.partitionBy(*by).orderBy("_order2", "_tie2")
+        parts.append(small.select(*df.columns, number.over(window).cast("long").alias(out)))
+    if large is not None:
+        cut = with_chunk(large, "_tie2", "_cell")
+        keys = [*by, "_order2", "_cell"]
+        cells = cut_lineage(cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        before = running(cells, by, F.col("_order2"), {"_before": running_sum(F.col("_n"), False)},
+                         tie=["_cell"], task_rows=task_rows).drop("_n")
+        inside = W.partitionBy(*keys).orderBy("_tie2")
+        parts.append(cut.join(before, keys, "inner").select(
+            *df.columns, (F.col("_before") + number.over(inside)).cast("long").alias(out)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def value_counts(df: DataFrame, value: Column) -> DataFrame:
@@ -165,14 +217,14 @@ def value_counts(df: DataFrame, value: Column) -> DataFrame:
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], value: str = "value",
-                        n: str = "n") -> DataFrame:
+                        n: str = "n", task_rows: int = TASK_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles of a (value, n) histogram as
     ``(quantile, value)`` rows. Only distinct values are ordered. The histogram
     is read several times, so callers pass a stored one."""
     v, c = F.col(value), F.col(n)
     total = counts.agg(F.sum(c)).scalar()
     run = running(counts.select(v.alias("_v"), c.alias("_n")), [], F.col("_v"),
-                  {"_upto": running_sum(F.col("_n"))})
+                  {"_upto": running_sum(F.col("_n"))}, task_rows=task_rows)
 
     run = run.withColumn("_total", total)
 
@@ -199,5 +251,6 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], value: str =
     )
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float]) -> DataFrame:
-    return quantiles_of_counts(cut_lineage(value_counts(df, value)), probs)
+def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float],
+                    task_rows: int = TASK_ROWS) -> DataFrame:
+    return quantiles_of_counts(cut_lineage(value_counts(df, value)), probs, task_rows=task_rows)

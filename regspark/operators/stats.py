@@ -58,7 +58,7 @@ def bias_bins_of_counts(full: DataFrame, sample: DataFrame, nbins: int = 20) ->
     last = F.size("e") - 1
     placed = both.withColumn("e", edges.scalar()).filter(
         (F.col("value") >= F.col("e")[0]) & (F.col("value") <= F.col("e")[last])
-    ).withColumn("_i", F.least(bin_index(F.col("value"), F.col("e")), last) - 1)
+    ).withColumn("_i", F.least(bin_index(F.col("value"), F.col("e"), nbins + 1), last) - 1)
     binned = placed.groupBy("_i").agg(F.sum("f").alias("count_full"), F.sum("s").alias("count_sample"))
     frame = edges.select(F.posexplode(F.arrays_zip(
         F.slice("e", F.lit(1), F.size("e") - 1).alias("l"),

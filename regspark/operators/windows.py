@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from regspark.operators.joins import lookup_join
 from regspark.operators.running import (
+    TASK_ROWS,
     running,
     running_count,
     running_last,
@@ -26,11 +27,12 @@ FOLD_LIMIT = 10_000
 
 
 def sentinel_fill(df: DataFrame, is_marker: Column, value: Column, order: Column,
-                  by: Sequence[str] = (), tie: Sequence[str] = (), out: str = "query") -> DataFrame:
+                  by: Sequence[str] = (), tie: Sequence[str] = (), out: str = "query",
+                  task_rows: int = TASK_ROWS) -> DataFrame:
     """Give every row the value of the last marker row before it, then remove
     the marker rows. ``order`` is numeric and increases along the stream."""
     marked = df.withColumn("_m", is_marker)
-    filled = running(marked, by, order, {out: running_last(F.when(F.col("_m"), value))}, tie)
+    filled = running(marked, by, order, {out: running_last(F.when(F.col("_m"), value))}, tie, task_rows)
     return filled.filter(~F.col("_m")).drop("_m")
 
 
@@ -169,13 +171,14 @@ def _thin_by_fold(instants: DataFrame, by: str, tie: str, gap: int) -> DataFrame
     return grouped.select(by, F.explode(folded).alias("_k")).select(by, "_k._t", f"_k.{tie}")
 
 
-def _thin_by_pointers(instants: DataFrame, by: str, tie: str, gap: int) -> DataFrame:
+def _thin_by_pointers(instants: DataFrame, by: str, tie: str, gap: int,
+                      task_rows: int = TASK_ROWS) -> DataFrame:
     data = instants.select(by, F.col("_t").alias("_at"), F.col("_t").alias("_data"),
                            F.lit(None).cast("long").alias("_from"), F.lit(0).alias("_probe"))
     probes = instants.select(by, (F.col("_t") - gap).alias("_at"), F.lit(None).cast("long").alias("_data"),
                              F.col("_t").alias("_from"), F.lit(1).alias("_probe"))
     looked_up = running(data.unionByName(probes), [by], F.col("_at"),
-                        {"_next": running_max(F.col("_data"))}, tie=["_probe"])
+                        {"_next": running_max(F.col("_data"))}, tie=["_probe"], task_rows=task_rows)
     jump = cut_lineage(looked_up.filter((F.col("_probe") == 1) & F.col("_next").isNotNull()).select(
         by, F.col("_from").alias("_t"), "_next"))
     reached = instants.groupBy(by).agg(F.max("_t").alias("_t"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regspark.operators import joins as J
+from regspark.operators import windows as W
 from regspark.operators.running import (
     exact_quantiles,
     positions,
@@ -28,11 +29,12 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, seq long, v long, m long")
 
 
-def test_running_matches_brute_force(skewed):
+@pytest.mark.parametrize("task_rows", [10, 100, 10_000])
+def test_running_matches_brute_force(skewed, task_rows):
     rows, df = skewed
     out = running(df, ["g"], F.col("seq"), {
         "n": running_count(), "s": running_sum(F.col("v")), "before": running_sum(F.col("v"), inclusive=False),
-        "top": running_max(F.col("v")), "fill": running_last(F.col("m"))})
+        "top": running_max(F.col("v")), "fill": running_last(F.col("m"))}, task_rows=task_rows)
     got = {r["seq"]: (r["n"], r["s"], r["before"], r["top"], r["fill"]) for r in out.collect()}
     state, want = {}, {}
     for g, seq, v, m in sorted(rows, key=lambda r: r[1]):
@@ -42,18 +44,22 @@ def test_running_matches_brute_force(skewed):
     assert got == want
 
 
-def test_running_without_groups(skewed):
+@pytest.mark.parametrize("task_rows", [10, 10_000])
+def test_running_without_groups(skewed, task_rows):
     rows, df = skewed
-    got = {r["seq"]: r["s"] for r in running(df, [], F.col("seq"), {"s": running_sum(F.col("v"))}).collect()}
+    out = running(df, [], F.col("seq"), {"s": running_sum(F.col("v"))}, task_rows=task_rows)
+    got = {r["seq"]: r["s"] for r in out.collect()}
     total = 0
     for _, seq, v, _ in sorted(rows, key=lambda r: r[1]):
         total += v
         assert got[seq] == total
 
 
-def test_positions_with_long_ties(skewed):
+@pytest.mark.parametrize("task_rows", [10, 100, 10_000])
+def test_positions_with_long_ties(skewed, task_rows):
     rows, df = skewed
-    got = {r["seq"]: r["position"] for r in positions(df, ["g"], F.col("v") % 2, F.col("seq")).collect()}
+    out = positions(df, ["g"], F.col("v") % 2, F.col("seq"), task_rows=task_rows)
+    got = {r["seq"]: r["position"] for r in out.collect()}
     for g in {r[0] for r in rows}:
         ordered = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] % 2, r[1]))
         assert [got[r[1]] for r in ordered] == list(range(1, len(ordered) + 1))
@@ -61,14 +67,28 @@ def test_positions_with_long_ties(skewed):
 
 @pytest.mark.parametrize("values", [
     [1.0], [3.0, 1.0], [5.0] * 100 + [1.0, 9.0], [float(i * i % 101) for i in range(500)], [-1.5, None, 2.5, float("nan")]])
-def test_exact_quantiles_equal_numpy(spark, values):
+@pytest.mark.parametrize("task_rows", [3, 10_000])
+def test_exact_quantiles_equal_numpy(spark, values, task_rows):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     probs = [i / 20 for i in range(21)]
-    got = [r["value"] for r in exact_quantiles(df, F.col("v"), probs).orderBy("quantile").collect()]
+    got = [r["value"] for r in exact_quantiles(df, F.col("v"), probs, task_rows).orderBy("quantile").collect()]
     clean = [v for v in values if v is not None and v == v]
     assert got == pytest.approx(list(np.quantile(clean, probs)))
 
 
+def test_sentinel_fill_of_a_large_stream(skewed):
+    rows, df = skewed
+    out = W.sentinel_fill(df, F.col("v") == 0, F.col("seq"), F.col("seq"), task_rows=10, out="q")
+    got = {r["seq"]: r["q"] for r in out.collect()}
+    last, want = None, {}
+    for _, seq, v, _ in sorted(rows, key=lambda r: r[1]):
+        if v == 0:
+            last = seq
+        else:
+            want[seq] = last
+    assert got == want
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join_equals_join(spark, skewed, how):
     _, df = skewed

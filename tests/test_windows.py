@@ -33,6 +33,19 @@ def test_gap_thinning(spark, fold_limit):
     assert sorted(r.id for r in out.collect()) == thinned(rows, 7)
 
 
+def test_pointers_across_chunks(spark):
+    rng = random.Random(8)
+    rows = sorted({("r", rng.randrange(10**6)) for _ in range(500)})
+    df = spark.createDataFrame([(r, t, i) for i, (r, t) in enumerate(rows)], "repo string, _t long, id long")
+    got = sorted(r["_t"] for r in W._thin_by_pointers(df, "repo", "id", 7000, task_rows=20).collect())
+    want, last = [], None
+    for _, t in reversed(rows):
+        if last is None or last - t >= 7000:
+            want.append(t)
+            last = t
+    assert got == sorted(want)
+
+
 def test_gap_is_measured_from_the_last_kept(spark):
     days = [20, 15, 12, 5]
     rows = [("r", datetime.datetime(2024, 1, d), d) for d in days]
