@@ -143,8 +143,8 @@ def gap_thinning(df: DataFrame, by: str, ts: str, tie: str, min_gap_micros: int
     from the newest instant is complete.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    instants = df.filter(F.col(ts).isNotNull()).groupBy(by, micros.alias("_t")).agg(
-        F.min(tie).alias(tie))
+    instants = cut_lineage(df.filter(F.col(ts).isNotNull()).groupBy(by, micros.alias("_t")).agg(
+        F.min(tie).alias(tie)))
     sizes = instants.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > fold_limit).select(by)
     if large.isEmpty():
