@@ -139,35 +139,38 @@ def filetype_frequency(occ: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "file_type")
 
 
-def _median(counts: DataFrame, n: str = "n") -> Column:
-    return quantiles_of_counts(cut_lineage(counts), [0.5], n=n).select("value").scalar()
+def _mean(counts: DataFrame) -> Column:
+    return counts.agg(F.sum(F.col("value") * F.col("n")) / F.sum("n")).scalar()
+
+
+def _median(counts: DataFrame) -> Column:
+    return quantiles_of_counts(counts, [0.5]).select("value").scalar()
+
+
+def _one_row_frame(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1).select()
 
 
 def file_size_stats(occ: DataFrame) -> DataFrame:
-    """Mean and exact median of the known file sizes."""
-    sized = occ.filter(F.col("file_size").isNotNull())
-    return sized.agg(F.avg("file_size").alias("avg_file_size")).withColumn(
-        "median_file_size", _median(value_counts(sized, F.col("file_size"))))
+    """Mean and exact median of the known file sizes, both from one pass that
+    counts the distinct sizes."""
+    counts = cut_lineage(value_counts(occ, F.col("file_size")))
+    return _one_row_frame(occ).select(
+        _mean(counts).alias("avg_file_size"), _median(counts).alias("median_file_size"))
 
 
 def layer_stats(occ: DataFrame, layers: DataFrame,
                 columns: Sequence[str] = ("max_depth", "file_count", "uncompressed_size")) -> DataFrame:
     """Mean and exact median of layer facts, once per occurrence. Occurrences
     are counted per layer, and the counts act as weights."""
-    weighted = occ.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_n")).join(
-        layers.select("layer_id", *columns), "layer_id")
-
-    def mean(c: str) -> Column:
-        known = F.col(c).isNotNull()
-        return (F.sum(F.col(c).cast("double") * F.col("_n"))
-                / F.sum(F.when(known, F.col("_n")))).alias(f"avg_{c}")
-
-    out = weighted.agg(*(mean(c) for c in columns))
+    weighted = cut_lineage(occ.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_n")).join(
+        layers.select("layer_id", *columns), "layer_id"))
+    out = []
     for c in columns:
-        counts = weighted.filter(F.col(c).isNotNull()).groupBy(
-            F.col(c).cast("double").alias("value")).agg(F.sum("_n").alias("n"))
-        out = out.withColumn(f"median_{c}", _median(counts))
-    return out
+        counts = cut_lineage(weighted.filter(F.col(c).isNotNull()).groupBy(
+            F.col(c).cast("double").alias("value")).agg(F.sum("_n").alias("n")))
+        out += [_mean(counts).alias(f"avg_{c}"), _median(counts).alias(f"median_{c}")]
+    return _one_row_frame(occ).select(*out)
 
 
 # Fixed value: share of layers found in one repository only, full population.

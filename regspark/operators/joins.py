@@ -68,23 +68,27 @@ def alias_keys(names: DataFrame, name: str) -> DataFrame:
     return listed.select(F.explode(F.array_append(P.aliased_by(F.col("_n")), F.col("_n"))).alias("_n")).distinct()
 
 
-def alias_semi(df: DataFrame, name: str, whitelist: DataFrame, listed: str) -> DataFrame:
+def alias_semi(df: DataFrame, name: str, whitelist: DataFrame, listed: str, spread: str) -> DataFrame:
     """Rows whose name, or its official-image alias, is covered by the aliases
-    of the listed names. The list is expanded, the rows are joined once."""
+    of the listed names. The list is expanded, the rows are joined once;
+    ``spread`` is a column that varies between the rows of one name."""
     keyed = df.withColumn("_n", P.norm_name(F.col(name)))
-    return keyed.join(alias_keys(whitelist, listed), "_n", "left_semi").select(*df.columns)
+    return lookup_join(keyed, cut_lineage(alias_keys(whitelist, listed)), ["_n"], spread, "left_semi").select(
+        *df.columns)
 
 
-def alias_lookup(df: DataFrame, name: str, ids: DataFrame, id_name: str, id_col: str,
+def alias_lookup(df: DataFrame, name: str, ids: DataFrame, id_name: str, id_col: str, spread: str,
                  out: str = "resolved_id") -> DataFrame:
     """Resolve an id by exact normalised name first, then by the alias. Where
     names repeat after normalisation, the largest id stands for all of them.
-    The known names are expanded, the rows are joined once."""
+    The known names are expanded, the rows are joined once; ``spread`` is a
+    column that varies between the rows of one name."""
     known = ids.select(P.norm_name(F.col(id_name)).alias("_n"), F.col(id_col).alias("_id"))
     entries = known.select("_n", "_id", F.lit(1).alias("_exact")).unionByName(known.select(
         F.explode(P.aliased_by(F.col("_n"))).alias("_n"), "_id", F.lit(0).alias("_exact")))
-    best = entries.groupBy("_n").agg(F.max_by("_id", F.struct("_exact", "_id")).alias(out))
-    return df.withColumn("_n", P.norm_name(F.col(name))).join(best, "_n", "left").select(*df.columns, out)
+    best = cut_lineage(entries.groupBy("_n").agg(F.max_by("_id", F.struct("_exact", "_id")).alias(out)))
+    keyed = df.withColumn("_n", P.norm_name(F.col(name)))
+    return lookup_join(keyed, best, ["_n"], spread, "left").select(*df.columns, out)
 
 
 def ensure_missing(target: DataFrame, required: DataFrame, key: str) -> DataFrame:
@@ -105,7 +109,7 @@ def link_pairs(selection: DataFrame, repos: DataFrame, layers: DataFrame) -> tup
     pairs = selection.select("digest", F.explode("repos").alias("repo")).select(
         "digest", F.trim("repo").alias("repo")).filter(F.col("repo") != "").distinct()
     with_layer = pairs.join(layers.select("digest", "layer_id"), "digest", "left")
-    resolved = alias_lookup(with_layer, "repo", repos, "repo_name", "repo_id", "repo_id")
+    resolved = alias_lookup(with_layer, "repo", repos, "repo_name", "repo_id", "digest", "repo_id")
     complete = F.col("repo_id").isNotNull() & F.col("layer_id").isNotNull()
     links = resolved.filter(complete).select("repo_id", "layer_id").distinct()
     return links, resolved.filter(~complete).select("digest", "repo")
@@ -128,8 +132,8 @@ def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame) -> DataFrame:
 
 def secret_repos(repo_layers: DataFrame, occ: DataFrame) -> DataFrame:
     """Distinct repositories reaching at least one secret through a layer."""
-    leaking = occ.select("layer_id").distinct()
-    return repo_layers.join(leaking, "layer_id", "left_semi").select("repo_id").distinct()
+    leaking = cut_lineage(occ.select("layer_id").distinct())
+    return lookup_join(repo_layers, leaking, ["layer_id"], "repo_id", "left_semi").select("repo_id").distinct()
 
 
 def has_secret(repos: DataFrame, repo_layers: DataFrame, occ: DataFrame) -> DataFrame:

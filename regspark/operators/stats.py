@@ -40,8 +40,9 @@ def _with_shares(counts: DataFrame) -> DataFrame:
 
 
 def bias_table(full: DataFrame, sample: DataFrame, key: str = "key") -> DataFrame:
-    """Per key: counts and shares in population and sample, and their ratio."""
-    return _with_shares(key_union(full, sample, key))
+    """Per key: counts and shares in population and sample, and their ratio.
+    The joined counts are stored, so that the totals do not count again."""
+    return _with_shares(cut_lineage(key_union(full, sample, key)))
 
 
 def bias_bins_of_counts(full: DataFrame, sample: DataFrame, nbins: int = 20) -> DataFrame:
@@ -176,7 +177,7 @@ def chi2_statistic(full: DataFrame, sample: DataFrame, key: str = "key") -> Data
     """Goodness of fit of the sample counts to the population's shares, over
     the union of keys. Keys empty on both sides add nothing; a key seen only in
     the sample makes the statistic infinite; null without any expectation."""
-    cells = key_union(full, sample, key)
+    cells = cut_lineage(key_union(full, sample, key))
     n = one_row(cells.agg(F.sum("count_full").alias("full"), F.sum("count_sample").alias("sample")))
     expected = F.try_divide(F.col("count_full").cast("double"), n["full"]) * n["sample"]
     o = F.col("count_sample").cast("double")

@@ -99,8 +99,9 @@ def cumulative_weighted(monthly: DataFrame) -> DataFrame:
 
 def ccdf(dist: DataFrame, x: str = "repo_count", n: str = "secret_count") -> DataFrame:
     """Share of items with at least x, from an (x, n) distribution."""
+    dist = cut_lineage(dist.select(x, n))
     total = dist.agg(F.sum(n)).scalar()
-    run = running(dist.select(x, n), [], F.col(x), {"_lower": running_sum(F.col(n), inclusive=False)})
+    run = running(dist, [], F.col(x), {"_lower": running_sum(F.col(n), inclusive=False)})
     return run.withColumn("_total", total).select(
         x, (F.col("_total") - F.col("_lower")).alias("cum_ge"),
         ((F.col("_total") - F.col("_lower")) / F.col("_total")).alias("ccdf"))

@@ -36,10 +36,10 @@ def _no_rows(df: DataFrame) -> DataFrame:
 def import_repositories(selected_names: DataFrame, repos: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """Whitelisted repositories, last line per name, plus minimal rows for
     selected names that neither name nor alias resolves."""
-    listed = J.alias_semi(repos.filter(F.col("repo_name") != ""), "repo_name", selected_names, "repo")
+    listed = J.alias_semi(repos.filter(F.col("repo_name") != ""), "repo_name", selected_names, "repo", "seq")
     merged = U.upsert_replace(_no_rows(repos) if old is None else old, listed, "repo_name", "seq")
     known = merged.select("repo_name")
-    found = J.alias_lookup(selected_names, "repo", known, "repo_name", "repo_name", "resolved")
+    found = J.alias_lookup(selected_names, "repo", known, "repo_name", "repo_name", "repo", "resolved")
     absent = found.filter(F.col("resolved").isNull()).select(F.col("repo").alias("repo_name"))
     return merged.unionByName(absent.distinct(), allowMissingColumns=True)
 
@@ -60,7 +60,7 @@ def import_links(selection: DataFrame, repositories: DataFrame) -> tuple[DataFra
     """Distinct (repo_name, digest) links, and selected pairs left unresolved
     (none once missing repositories were added)."""
     pairs = selection.select("digest", F.explode("repos").alias("repo"))
-    resolved = J.alias_lookup(pairs, "repo", repositories, "repo_name", "repo_name", "repo_name")
+    resolved = J.alias_lookup(pairs, "repo", repositories, "repo_name", "repo_name", "digest", "repo_name")
     missing = F.col("repo_name").isNull()
     return (resolved.filter(~missing).select("repo_name", "digest").distinct(),
             resolved.filter(missing).select("digest", "repo"))
@@ -70,10 +70,10 @@ def import_tags(selected_names: DataFrame, tags: DataFrame, repositories: DataFr
                 old: DataFrame | None = None) -> DataFrame:
     """Tags of whitelisted repositories with a valid digest, last line per
     digest, blank texts as null and times parsed."""
-    listed = J.alias_semi(tags.filter(F.col("repo_name") != ""), "repo_name", selected_names, "repo")
+    listed = J.alias_semi(tags.filter(F.col("repo_name") != ""), "repo_name", selected_names, "repo", "seq")
     valid = listed.withColumn("digest", F.lower(F.trim("digest"))).filter(P.valid_digest(F.col("digest")))
     known = repositories.select(F.col("repo_name").alias("_known"))
-    resolved = J.alias_lookup(valid, "repo_name", known, "_known", "_known", "_repo").filter(
+    resolved = J.alias_lookup(valid, "repo_name", known, "_known", "_known", "seq", "_repo").filter(
         F.col("_repo").isNotNull())
     rows = resolved.select(
         "digest", F.col("_repo").alias("repo_name"),

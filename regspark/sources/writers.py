@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regspark.session import cut_lineage
+
 
 def write_jsonl(df: DataFrame, path: str, max_records: int = 1_000_000) -> None:
     """Gzip JSON lines, a new file every ``max_records`` rows per task."""
@@ -49,6 +51,7 @@ def write_series(df: DataFrame, c: str, path: str) -> None:
 
 def distribution(hist: DataFrame) -> DataFrame:
     """Histogram with each key's share of all rows, by key."""
+    hist = cut_lineage(hist.select("key", "count"))
     total = hist.agg(F.sum("count")).scalar()
     share = F.coalesce(F.try_divide("count", total), F.lit(0.0))
     return hist.select("key", "count", share.alias("proportion")).orderBy("key")

@@ -45,14 +45,14 @@ def test_ensure_missing_adds_minimal_rows(spark):
 def test_alias_lookup_prefers_the_exact_name(spark):
     ids = spark.createDataFrame([("nginx", 1), ("library/nginx", 2), ("Redis", 3), ("o/x", 4)], "name string, id int")
     df = spark.createDataFrame([("NGINX ",), ("library/nginx",), ("library/redis",), ("x",), ("library/o/x",)], "n string")
-    assert rows(J.alias_lookup(df, "n", ids, "name", "id")) == rows(spark.createDataFrame(
+    assert rows(J.alias_lookup(df, "n", ids, "name", "id", "n")) == rows(spark.createDataFrame(
         [("NGINX ", 1), ("library/nginx", 2), ("library/redis", 3), ("x", None), ("library/o/x", 4)], "n string, i int"))
 
 
 def test_alias_semi(spark):
     listed = spark.createDataFrame([("Library/nginx",), ("o/x",)], "n string")
     df = spark.createDataFrame([("nginx",), ("library/nginx",), ("x",), ("library/o/x",), ("z",)], "n string")
-    assert rows(J.alias_semi(df, "n", listed, "n")) == [("library/nginx",), ("library/o/x",), ("nginx",)]
+    assert rows(J.alias_semi(df, "n", listed, "n", "n")) == [("library/nginx",), ("library/o/x",), ("nginx",)]
 
 
 def test_bin_weight_edges(spark):

@@ -253,5 +253,5 @@ def sort_unique(spark, d):
     SELECT DISTINCT 'Customer#' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS repo_name FROM lineitem
     WHERE 'Customer#' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') NOT IN (SELECT c_name FROM customer)""")
 def unique_repos(spark, d):
-    rows = V.table(spark, d, "lineitem").select(V._customer_name(F.col("l_partkey")).alias("repo_name"))
+    rows = V.table(spark, d, "lineitem").select(V.customer_name(F.col("l_partkey")).alias("repo_name"))
     return A.unique_repos(rows, V.repositories(spark, d))

@@ -35,9 +35,9 @@ def selection_join(spark, d):
 def alias_semi(spark, d):
     listed = V.table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_name")
     name = F.concat(F.when(F.col("o_orderstatus") == "F", F.lit("library/")).otherwise(F.lit("")),
-                    V._customer_name(F.col("o_custkey")))
+                    V.customer_name(F.col("o_custkey")))
     rows = V.table(spark, d, "orders").select("o_orderkey", name.alias("name"))
-    return J.alias_semi(rows, "name", listed, "c_name")
+    return J.alias_semi(rows, "name", listed, "c_name", "o_orderkey")
 
 
 @query("alias_lookup", """
@@ -48,7 +48,7 @@ def alias_semi(spark, d):
 def alias_lookup(spark, d):
     names = V.selection(spark, d).select("digest", F.explode("repos").alias("name"))
     names = names.withColumn("name", F.trim("name"))
-    return J.alias_lookup(names, "name", V.repositories(spark, d), "repo_name", "repo_id")
+    return J.alias_lookup(names, "name", V.repositories(spark, d), "repo_name", "repo_id", "digest")
 
 
 @query("ensure_missing", """
@@ -58,7 +58,7 @@ def alias_lookup(spark, d):
     WHERE name NOT IN (SELECT repo_name FROM repositories)""")
 def ensure_missing(spark, d):
     target = V.repositories(spark, d).select("repo_id", "repo_name", "pull_count")
-    wanted = V.table(spark, d, "lineitem").select(V._customer_name(F.col("l_partkey")).alias("repo_name"))
+    wanted = V.table(spark, d, "lineitem").select(V.customer_name(F.col("l_partkey")).alias("repo_name"))
     return J.ensure_missing(target, wanted, "repo_name")
 
 
@@ -357,7 +357,7 @@ _LAST_LAYERS_SQL = """
     SELECT digest, max_by(fragment, seq) AS fragment FROM layer_lines WHERE fragment IS NOT NULL GROUP BY digest"""
 
 
-@query("import_pipeline", f"""
+@query("import_all", f"""
     WITH names AS ({_NAMES_SQL}), last_layers AS ({_LAST_LAYERS_SQL}),
     absent AS (SELECT repo FROM names WHERE replace(lower(repo), 'library/', '') NOT IN
                    (SELECT lower(repo_name) FROM repositories)),
@@ -374,7 +374,7 @@ _LAST_LAYERS_SQL = """
         FROM orders JOIN order_layers ON o_orderkey = layer_id
         WHERE o_orderpriority <> '1-URGENT'
     UNION ALL {_SECRET_ROWS_SQL}""")
-def import_pipeline(spark, d):
+def import_all(spark, d):
     return _long_form(I.import_all(*_import(spark, d)))
 
 

@@ -268,7 +268,25 @@ def run_study(spark, d):
     return _long(S.run_study(tables, K.biases(spark, d), A.unique_layer_share(V.selection(spark, d))))
 
 
-@query("run_validation")
+def _bins_count(c: str, full: str) -> str:
+    return f"(SELECT count(*) FROM ({K.BINS_SQL.format(c=c + '::DOUBLE', probs=K.PROBS, full=full)}))"
+
+
+def _keys(view: str, side: str = "") -> str:
+    return f"(SELECT count(*) FROM {view}{f' WHERE {side} > 0' if side else ''})"
+
+
+VALIDATION_SQL = " UNION ALL ".join(
+    [f"SELECT 'bias_{n}' AS name, {_keys(v)} AS n UNION ALL SELECT 'dist_full_{n}', {_keys(v, 'count_full')}"
+     f" UNION ALL SELECT 'dist_sample_{n}', {_keys(v, 'count_sample')}"
+     for n, v in (("last_pushed_month", "bias_month"), ("status", "bias_status"), ("is_official", "bias_official"))]
+    + [f"SELECT 'bias_pull_count_bins', {_bins_count('pull_count', 'repositories')}",
+       f"SELECT 'bias_size_bins', {_bins_count('size', 'tags')}"]
+    + [f"SELECT 'quantiles_{n}', 42" for n in ("pull_count", "size", "last_pushed_epoch")]
+    + ["SELECT 'unique_layer_share', 1", "SELECT 'ks_tests', 3", "SELECT 'chi2_tests', 2"])
+
+
+@query("run_validation", VALIDATION_SQL)
 def run_validation(spark, d):
     """Row counts of the validation tables and tests."""
     return _long(D.run_validation(V.tags(spark, d), V.repositories(spark, d), V.sample_tags(spark, d),

@@ -149,7 +149,7 @@ def _digest(key) -> F.Column:
     return F.concat(F.lit("sha256:"), h, h)
 
 
-def _customer_name(key) -> F.Column:
+def customer_name(key) -> F.Column:
     return F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
 
 
@@ -160,8 +160,8 @@ def selection(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("seq"), _digest(F.col("o_orderkey")).alias("digest"),
         _long(F.col("o_totalprice")).alias("size"),
-        F.array(F.concat(F.lit(" "), _customer_name(k)),
-                F.concat(F.lit("library/"), F.lower(_customer_name(k + 1))), F.lit(" ")).alias("repos"),
+        F.array(F.concat(F.lit(" "), customer_name(k)),
+                F.concat(F.lit("library/"), F.lower(customer_name(k + 1))), F.lit(" ")).alias("repos"),
         F.when(F.col("o_orderpriority") != "5-LOW",
                F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(F.lit(2))).alias("repo_count"))
 
@@ -210,7 +210,7 @@ def tag_lines(spark, d) -> DataFrame:
     shown = (F.when(F.col("o_orderpriority") == "1-URGENT", F.left(dg, F.lit(40)))
              .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit(" "), F.upper(dg))).otherwise(dg))
     return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("seq"), F.lower(_customer_name(F.col("o_custkey"))).alias("repo_name"),
+        F.col("o_orderkey").alias("seq"), F.lower(customer_name(F.col("o_custkey"))).alias("repo_name"),
         shown.alias("digest"), F.lit("amd64").alias("architecture"), F.lit("").alias("os"),
         _long(F.col("o_totalprice")).alias("size"),
         F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderstatus")).alias("status"),
