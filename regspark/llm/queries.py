@@ -10,8 +10,9 @@ from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regspark.llm import packing
+from regspark.llm import fingerprint, langid, licenses, packing, toxicity, wumanber
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +55,56 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_packing")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    codes = langid.train(docs, usable=~held_out, order=F.col("doc_id"))
+    return langid.predict(docs, codes).withColumn("held_out", held_out)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+       FROM b, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS t(i) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM d, ks, unnest(range(1, len(w) + 1)) AS t(i) WHERE i + k - 1 <= len(w)),
+m AS (SELECT doc_id, item_id, i, dw.k FROM dw JOIN bw USING (k, s)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM m, unnest(range(i, i + k)) AS t(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+          sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+          FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return wumanber.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_licenses")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    machine = toxicity.train(docs, table(spark, folder, "labels"),
+                             usable=F.crc32(F.col("id").cast("string")) % 3 != 1)
+    return toxicity.score(docs, machine).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited(table(spark, folder, "documents"))
