@@ -75,19 +75,31 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, ASCII letters lower-cased.
-
-    Short words are hashed whole as integers; the rest by powers of a constant.
-    """
+    """64-bit hash of each word, ASCII letters lower-cased."""
     if len(starts) == 0:
         return np.empty(0, np.uint64)
+    value, at = _word_bytes(data, starts, ends)
+    return mix(np.add.reduceat(value, at) + (ends - starts).astype(np.uint64))
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int):
+    """Index of each word of more than ``size`` bytes, and the hash of its first ``size``.
+
+    A word of just these bytes has the same hash.
+    """
+    long = np.flatnonzero(ends - starts > size)
+    places = LOWER[data[starts[long, None] + np.arange(size)]]
+    powers = np.cumprod(np.full(size, _STEP, np.uint64))
+    return long, mix((_BYTE_VALUE[places] * powers).sum(1, dtype=np.uint64) + np.uint64(size))
+
+
+def _word_bytes(data, starts, ends):
     lengths = ends - starts
     at = np.cumsum(lengths) - lengths
     where = np.arange(int(lengths.sum())) + np.repeat(starts - at, lengths)
     place = where - np.repeat(starts, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))
-    value = _BYTE_VALUE[LOWER[data[where]]] * powers[place]
-    return mix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
+    return _BYTE_VALUE[LOWER[data[where]]] * powers[place], at
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import fingerprint, langid, licenses, packing, toxicity, wumanber
+from regspark.llm import chat, fingerprint, langid, licenses, packing, pii, toxicity, wumanber
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,3 +108,41 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited(table(spark, folder, "documents"))
+
+
+#: Said by both turns of the added conversation: text that looks like marks.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{MARKS}'), (-1, 1, 'assistant', '{MARKS}')),
+s AS (SELECT *, strlen('') + length('{chat.START}' || replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')
+             || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '{chat.END}' || chr(10)) AS chars FROM c),
+e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM s)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' THEN upto ELSE 0 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op9_chat_formatting", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    added = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    segments = chat.segments(turns)
+    return chat.digests(segments, chat.examples(segments))
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    spans = F.col("pii")
+    return found.select(
+        "doc_id", *[F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(pii.written(pii.of_kind(spans, *base)).cast("binary"), 256).alias("base_sha256"),
+        pii.written(spans).alias("spans"), F.transform(spans, lambda x: F.round(x["score"], 3)).alias("scores"))

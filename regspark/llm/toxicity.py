@@ -30,13 +30,28 @@ from regspark.llm import arrays
 from regspark.llm.fitting import fit
 
 BUCKETS = 1 << 20
+#: Bytes of the word beginnings that count as terms.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
-def term_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed terms of each row: (row, bucket), sorted."""
+def term_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms of each row, as often as they occur: (row, bucket).
+
+    Terms are words, and the beginnings of longer words, which many inflected or
+    compound words share.
+    """
     starts, ends, rows = arrays.words(data, off, arrays.ALNUM)
-    bucket = (arrays.word_hashes(data, starts, ends) >> np.uint64(44)).astype(np.int64)
     row = np.repeat(np.arange(len(off) - 1), np.diff(rows))
+    found = [(row, arrays.word_hashes(data, starts, ends))]
+    for size in BEGINNINGS:
+        long, hashes = arrays.prefix_hashes(data, starts, ends, size)
+        found.append((row[long], hashes))
+    row, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    return row, (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def term_sets(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, sorted."""
     pairs = np.unique(row * BUCKETS + bucket)
     return pairs // BUCKETS, pairs % BUCKETS
 
@@ -50,13 +65,15 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
+    def __post_init__(self):
+        self.known = np.zeros(BUCKETS, bool)
+        self.known[self.buckets] = True
+
     def scores(self, row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
-        if self.buckets.size:
-            at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-            known = self.buckets[at] == bucket
-            row, at = row[known], at[known]
-        else:
-            row, at = row[:0], bucket[:0]
+        """Scores of ``n`` rows from their terms, which may repeat."""
+        known = self.known[bucket]
+        row, bucket = term_sets(row[known], bucket[known])
+        at = np.searchsorted(self.buckets, bucket)
         return 1 / (1 + np.exp(-np.clip(self.margin(row, at, n)[0], -30, 30)))
 
     def margin(self, row, at, n):
@@ -67,23 +84,25 @@ class Machine:
         return self.bias + linear + 0.5 * ((summed * summed).sum(1) - squares), summed
 
 
-def learn(row, bucket, toxic, share: float, *, terms: int = 4096, rank: int = 4, epochs: int = 300,
-          rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
+def learn(row, bucket, toxic, share: float, *, terms: int = 4096, least_chi: float = 25.0, rank: int = 4,
+          epochs: int = 300, rate: float = 0.05, decay: float = 3e-4, keep: tuple[float, ...] = (1.0, 0.5, 0.2, 0.1),
+          seed: int = 11) -> Machine:
     """Fits the machine by Adam on all rows at once.
 
-    Only the ``terms`` buckets that tell the classes apart best (chi-squared)
-    have weights. Rows are weighted so that toxic ones make up ``share``.
+    Only the ``terms`` buckets that tell the classes apart best (chi-squared, at
+    least ``least_chi``) have weights. Rows are weighted so that toxic ones make up ``share``. In turn
+    a step sees all terms or a part of them (``keep``), so a text with a single
+    telling term is recognised as one with many is.
     """
     n = len(toxic)
     y = toxic.astype(float)
     n1, n0 = max(1.0, y.sum()), max(1.0, n - y.sum())
     pos = np.bincount(bucket, y[row], BUCKETS)
-    neg = np.bincount(bucket, 1 - y[row], BUCKETS)
-    both = pos + neg
+    both = np.bincount(bucket, minlength=BUCKETS)
     expected = both * n1 / (n1 + n0)
     chi = np.where(both > 0, (pos - expected) ** 2 / np.maximum(expected * (1 - n1 / (n1 + n0)), 1e-9), 0)
     chosen = np.sort(np.argsort(-chi, kind="stable")[:terms])
-    chosen = chosen[chi[chosen] > 6.6]
+    chosen = chosen[chi[chosen] > least_chi]
     at = np.full(BUCKETS, -1)
     at[chosen] = np.arange(len(chosen))
     col = at[bucket]
@@ -95,12 +114,14 @@ def learn(row, bucket, toxic, share: float, *, terms: int = 4096, rank: int = 4,
                       rng.normal(0, 0.01, (len(chosen), rank)))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1), machine.weights, machine.factors)]
     for step in range(1, epochs + 1):
-        margin, summed = machine.margin(row, col, n)
+        seen = rng.random(len(row)) < keep[step % len(keep)]
+        r, c = row[seen], col[seen]
+        margin, summed = machine.margin(r, c, n)
         slope = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        each = slope[row]
-        g_weights = np.bincount(col, each, len(chosen)) + decay * machine.weights
+        each = slope[r]
+        g_weights = np.bincount(c, each, len(chosen)) + decay * machine.weights
         v = machine.factors
-        g_factors = np.stack([np.bincount(col, each * (summed[row, f] - v[col, f]), len(chosen))
+        g_factors = np.stack([np.bincount(c, each * (summed[r, f] - v[c, f]), len(chosen))
                               for f in range(rank)], 1) + decay * v
         new = []
         for p, g, s in zip((np.array([machine.bias]), machine.weights, v),
@@ -108,16 +129,17 @@ def learn(row, bucket, toxic, share: float, *, terms: int = 4096, rank: int = 4,
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.999 * s[1] + 0.001 * g * g
             new.append(p - rate * s[0] / (1 - 0.9 ** step) / (np.sqrt(s[1] / (1 - 0.999 ** step)) + 1e-8))
-        machine = Machine(float(new[0][0]), chosen, new[1], new[2])
+        machine.bias, machine.weights, machine.factors = float(new[0][0]), new[1], new[2]
     return machine
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", usable: Column | None = None, per_class: int = 6000, **how) -> Machine | None:
+          label_col: str = "toxic", usable: Column | None = None, per_class: int = 4000, share: float = 0.1, **how) -> Machine | None:
     """The machine learned from the labelled documents for which ``usable`` holds.
 
     ``usable`` is a condition over the label's ``id``. At most ``per_class``
-    rows of either label are drawn, those of the smallest hash of their id.
+    rows of either label are drawn, those of the smallest hash of their id;
+    ``share`` is the weight of toxic rows among them.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")) \
         .where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
@@ -136,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             column, out = batch.column(2), []
             for _, data, off in arrays.blocks(batch.column(1)):
-                row, bucket = term_sets(data, off)
+                row, bucket = term_sets(*term_rows(data, off))
                 out += np.split(bucket.astype(np.int32), np.searchsorted(row, np.arange(1, len(off) - 1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out, pa.list_(pa.int32())), column], ["id", "terms", "toxic"])
@@ -148,10 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             toxic += batch.column(2).to_pylist()
         if len(set(toxic)) < 2:
             return None
-        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        row = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
         return learn(row, np.concatenate(terms), np.array(toxic), share, **how)
 
-    share = counts[True] / (counts[True] + counts[False])
     return fit(sample.mapInArrow(features, sample.select("id", F.array(F.lit(0)).alias("terms"), "toxic").schema),
                from_rows)
 
@@ -171,7 +192,7 @@ def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", t
             found = [np.zeros(0)]
             for _, data, off in arrays.blocks(batch.column(1)):
                 n = len(off) - 1
-                found.append(machine.scores(*term_sets(data, off), n) if machine else np.zeros(n))
+                found.append(machine.scores(*term_rows(data, off), n) if machine else np.zeros(n))
             score = np.concatenate(found)
             yield pa.RecordBatch.from_arrays(
                 [c for i, c in enumerate(batch.columns) if i != 1]
