@@ -12,7 +12,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import chat, fingerprint, langid, licenses, packing, pii, toxicity, wumanber
+from regspark.llm import chat, fingerprint, langid, licenses, mainhtml, packing, pii, toxicity, wumanber
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,3 +146,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(pii.written(pii.of_kind(spans, *base)).cast("binary"), 256).alias("base_sha256"),
         pii.written(spans).alias("spans"), F.transform(spans, lambda x: F.round(x["score"], 3)).alias("scores"))
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    field = mainhtml.train(mainhtml.labelled_pages())
+    return mainhtml.extract(table(spark, folder, "pages"), field)
