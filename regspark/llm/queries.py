@@ -12,7 +12,9 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import chat, fingerprint, langid, licenses, mainhtml, packing, pii, toxicity, wumanber
+from regspark.llm import (
+    chat, fingerprint, langid, licenses, mainhtml, ngramjoin, packing, pii, toxicity, wumanber,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,3 +154,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     field = mainhtml.train(mainhtml.labelled_pages())
     return mainhtml.extract(table(spark, folder, "pages"), field)
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (g)
+      WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+      WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r AS (WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+      SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
+"""
+
+
+@query("op5_ngram_jaccard_join", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.components(table(spark, folder, "documents"))
