@@ -103,7 +103,8 @@ def followed(docs: DataFrame, *, id_col: str, text_col: str, parts: int | None =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = rows.select(F.col("doc_id").cast("double").alias("place"))
-    cuts = sorted(set(place.approxQuantile("place", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    cuts = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(place.approxQuantile("place", cuts, 0.2 / parts))) if cuts else []
     buckets = Bucketizer(splits=[-np.inf, *cuts, np.inf], inputCol="place", outputCol="range", handleInvalid="keep") \
         if cuts else None
 

@@ -20,4 +20,5 @@ def fit(sample: DataFrame, learn: Callable):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(batches))], pa.binary())], ["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions(sample.columns[0])
-    return pickle.loads(ordered.mapInArrow(run, "model binary").first()[0])
+    row = ordered.mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else learn(iter(()))

@@ -8,8 +8,8 @@ costs less than verifying the candidates it spares: where its prefix holds
 frequent tokens. The passes are
 
 1. per document, the size and key of its set, and local counts of tokens; those
-   that make up at least 2^-20 of all tokens are the frequent ones (so there are
-   at most 2^20, which go to all tasks);
+   that make up at least 2^-22 of all tokens are the frequent ones (so there are
+   at most 2^22, which go to all tasks);
 2. prefix tokens, dealt by token; those of a single set go;
 3. pairs that meet under a token at places from which enough of both sets can
    still be shared. Under a token of many sets, all meet a few of them first;
@@ -45,16 +45,17 @@ SHINGLE = 5
 #: Similarity as a fraction.
 ABOVE, BELOW = 75, 100
 #: Share of all tokens that makes a token frequent, as a power of one half.
-FREQUENT_BITS = 20
+FREQUENT_BITS = 22
 #: A token is counted as frequent from this many sets on, in any corpus.
-LEAST_FREQUENT = 64
+LEAST_FREQUENT = 16
 #: Tokens counted together in a task, and the count from which they are reported.
-COUNTED, LEAST_COUNT = 1 << 22, 8
+COUNTED, LEAST_COUNT = 1 << 23, 2
 #: The longest extension of a prefix, in tokens.
 LONGEST = 8
-#: Sets under a token from which they don't all meet at once, and how many of
-#: them meet all others first.
-MANY, PIVOTS = 64, 2
+#: Sets under a token from which they don't all meet at once, and about how many
+#: of them meet all others first. Tokens of one of PIVOT_KINDS kinds prefer the
+#: same sets, so a group that shares many tokens has few of them.
+MANY, PIVOTS, PIVOT_KINDS = 16, 2, 8
 #: Ids sent to all tasks; more are joined by shuffling.
 SENT_IDS = 1 << 21
 
@@ -361,7 +362,7 @@ class _Join:
         return self.rooted(pairs, "a", "b").where("root_a <> root_b").select("a", "b")
 
     def run(self) -> None:
-        rank = F.pmod(F.xxhash64("token", "key"), F.lit(1 << 31)) * F.col("sets") / F.lit(1 << 31)
+        rank = F.pmod(F.xxhash64(F.pmod("token", F.lit(PIVOT_KINDS)), "key"), F.lit(1 << 31)) * F.col("sets") / F.lit(1 << 31)
         few, many = self.met.where(F.col("sets") <= MANY), self.met.where(F.col("sets") > MANY)
         first = self.pairs(few, few).unionAll(
             self.pairs(many, many.where(rank < PIVOTS), F.col("u.key") != F.col("v.key"))).distinct()

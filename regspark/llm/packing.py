@@ -22,6 +22,7 @@ import base64
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -136,19 +137,22 @@ class _Packer:
 def step_groups(sequences, tokens: int):
     """Group number of each (tier, pieces): equal tokens, attention cost dealt evenly.
 
-    Within a tier, windows sorted by the sum of squared piece lengths are dealt
-    forth and back over the groups.
+    Within a tier, the windows of highest cost (the sum of squared piece lengths)
+    go first, each to the group of least cost that has room.
     """
     group, first = [0] * len(sequences), 0
     by_tier = defaultdict(list)
-    for i, (tier, _) in enumerate(sequences):
-        by_tier[tier].append(i)
+    for i, (tier, pieces) in enumerate(sequences):
+        by_tier[tier].append((-sum(len(p[2]) ** 2 for p in pieces), i))
     for tier, members in sorted(by_tier.items()):
-        members.sort(key=lambda i: -sum(len(p[2]) ** 2 for p in sequences[i][1]))
         n = -(-len(members) * tier // tokens)
-        for k, i in enumerate(members):
-            turn, at = divmod(k, n)
-            group[i] = first + (n - 1 - at if turn % 2 else at)
+        room = -(-len(members) // n)
+        open_groups = [(0, k, 0) for k in range(n)]
+        for cost, i in sorted(members):
+            total, k, held = heappop(open_groups)
+            group[i] = first + k
+            if held + 1 < room:
+                heappush(open_groups, (total - cost, k, held + 1))
         first += n
     return group, first
 
