@@ -56,6 +56,8 @@ LONGEST = 8
 #: of them meet all others first. Tokens of one of PIVOT_KINDS kinds prefer the
 #: same sets, so a group that shares many tokens has few of them.
 MANY, PIVOTS, PIVOT_KINDS = 16, 2, 8
+#: Ranks from which, in turn, sets of other components meet the rest.
+MEETINGS = (PIVOTS, 16)
 #: Ids sent to all tasks; more are joined by shuffling.
 SENT_IDS = 1 << 21
 
@@ -372,13 +374,16 @@ class _Join:
         self.link(self.verified(nearest))
         self.link(self.verified(self.apart(possible.join(nearest, ["a", "b"], "left_anti"))))
 
-        many = self.rooted(many, "key")
-        of_root = many.groupBy("token", "root_key").agg(F.count("*").alias("n"))
-        main = of_root.groupBy("token").agg(F.max_by("root_key", F.struct("n", "root_key")).alias("main"),
-                                            F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        many = self.kept(many.join(main, "token"), "many")
-        rest = self.pairs(many.where("root_key <> main"), many, F.col("u.root_key") != F.col("v.root_key"))
-        self.link(self.verified(self.possible(rest)))
+        for low, high in zip(MEETINGS, (*MEETINGS[1:], None), strict=True):
+            rooted = self.rooted(many.withColumn("rank", rank), "key")
+            of_root = rooted.groupBy("token", "root_key").agg(F.count("*").alias("n"))
+            main = of_root.groupBy("token").agg(F.max_by("root_key", F.struct("n", "root_key")).alias("main"),
+                                                F.count("*").alias("roots")).where("roots > 1").drop("roots")
+            rooted = self.kept(rooted.join(main, "token"), "many")
+            others = F.col("rank") >= low if high is None else (F.col("rank") >= low) & (F.col("rank") < high)
+            rest = self.pairs(rooted.where("root_key <> main"), rooted.where(others),
+                              F.col("u.root_key") != F.col("v.root_key"))
+            self.link(self.verified(self.possible(rest)))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every document."""

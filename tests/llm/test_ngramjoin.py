@@ -65,7 +65,7 @@ def test_against_all_pairs(documents):
 
 
 def test_large_groups_and_frequent_tokens(documents, monkeypatch):
-    for name, value in {"MANY": 4, "PIVOTS": 1, "LEAST_FREQUENT": 3, "LEAST_COUNT": 1, "COUNTED": 500}.items():
+    for name, value in {"MANY": 4, "PIVOTS": 1, "LEAST_FREQUENT": 3, "LEAST_COUNT": 1, "COUNTED": 500, "MEETINGS": (1, 3)}.items():
         monkeypatch.setattr(ngramjoin, name, value)
     docs = copies(5, groups=10, size=30)
     assert rows_of(ngramjoin.components(documents(docs))) == brute(docs)
