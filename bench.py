@@ -22,6 +22,7 @@ HEADLINE = (
     "reservoir", "stratified_bytes", "bias_table", "bias_bins", "ks_2samp", "chi2_gof", "association_metrics",
     "feature_row", "spearman_per_group", "ndcg_per_group", "secret_findings", "scan_distinct",
     "jsonl_scan", "stream_dedup",
+    "run_study", "run_validation", "import_all", "ranking_quality", "layer_secret_list",
 )
 
 

@@ -63,16 +63,20 @@ def ordered_export(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(key)
 
 
-def top_origins(occ: DataFrame, secrets: DataFrame, k: int = 20, drop_blank: bool = False) -> DataFrame:
-    """Most frequent kinds of secret; occurrences are counted per secret first."""
+def origin_counts(occ: DataFrame, secrets: DataFrame, drop_blank: bool = False) -> DataFrame:
+    """Occurrences of every kind of secret; they are counted per secret first."""
     per_secret = occ.groupBy("secret_id").agg(F.count(F.lit(1)).alias("_n"))
     named = secrets
     if drop_blank:
         named = secrets.filter(F.col("origin").isNotNull() & (F.col("origin") != ""))
     origin = F.col("origin") if drop_blank else P.blank_to_unknown(F.col("origin"))
-    totals = per_secret.join(named.select("secret_id", "origin"), "secret_id").groupBy(
+    return per_secret.join(named.select("secret_id", "origin"), "secret_id").groupBy(
         origin.alias("origin")).agg(F.sum("_n").alias("n"))
-    return top_k(totals, "n", k, "origin")
+
+
+def top_origins(occ: DataFrame, secrets: DataFrame, k: int = 20, drop_blank: bool = False) -> DataFrame:
+    """The ``k`` most frequent kinds of secret."""
+    return top_k(origin_counts(occ, secrets, drop_blank), "n", k, "origin")
 
 
 def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -219,6 +223,7 @@ def collection_counters(df: DataFrame, file: str, is_marker: Column, key: str, o
 
 
 def category_rollup(df: DataFrame, origin: str = "origin", n: str = "n") -> DataFrame:
+    """Counts per category; ``df`` has the counts of all kinds (``origin_counts``)."""
     return df.groupBy(P.origin_category(F.col(origin)).alias("category")).agg(
         F.sum(n).alias("n")).orderBy(F.col("n").desc(), "category")
 

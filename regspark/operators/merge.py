@@ -56,13 +56,11 @@ def upsert_secret(old: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame
     return upsert_coalesce(old, new, "fragment_hash", seq)
 
 
-def surrogate_ids(df: DataFrame, key: str, out: str = "id", dense: bool = True) -> DataFrame:
-    """Stable ids for distinct keys: dense numbers along the key's md5, or the
-    64-bit hash itself. Dense ids come from counts per hash range, so numbering
-    is spread over the ranges instead of one sorted task."""
+def surrogate_ids(df: DataFrame, key: str, out: str = "id") -> DataFrame:
+    """Stable ids for distinct keys: dense numbers along the key's md5. They come
+    from counts per hash range, so numbering is spread over the ranges instead
+    of one sorted task."""
     keyed = df.select(key).distinct() if df.columns != [key] else df.distinct()
-    if not dense:
-        return keyed.withColumn(out, F.xxhash64(key))
     hashed = cut_lineage(keyed).withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn(
         "_p", F.left(F.col("_h"), F.lit(_HEX_PREFIX)))
     ranges = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.textmatch import FEATURES
-from regspark.operators.running import positions, running, running_sum
+from regspark.operators.running import TASK_ROWS, null_safe_join, positions, running, running_sum
 from regspark.operators.windows import min_group_filter
 from regspark.session import cut_lineage
 
@@ -40,25 +40,27 @@ def spearman_per_group(df: DataFrame, by: str, rank: str = "rank", score: str =
     ).filter(F.col("spearman").isNotNull())
 
 
-def _gain_blocks(df: DataFrame, by: str, gain: Column, order: Column, tie: str) -> DataFrame:
+def _gain_blocks(df: DataFrame, by: str, gain: Column, order: Column, tie: str,
+                 task_rows: int = TASK_ROWS) -> DataFrame:
     """DCG per group, tied rows sharing their mean gain. Positions inside a tie
     only serve to add up its discounts, so any order within it will do."""
     rows = df.select(by, gain.cast("double").alias("_g"), (-order.cast("double")).alias("_o"),
                      F.xxhash64(tie).alias("_tie"))
-    placed = positions(rows, [by], F.col("_o"), F.col("_tie"), "_pos")
+    placed = positions(rows, [by], F.col("_o"), F.col("_tie"), "_pos", task_rows)
     discount = F.lit(1.0) / F.log2(F.col("_pos") + 1.0)
     blocks = placed.groupBy(by, "_o").agg(F.sum(discount).alias("_d"), F.avg("_g").alias("_g"))
     return blocks.groupBy(by).agg(F.sum(F.col("_d") * F.col("_g")).alias("dcg"))
 
 
 def ndcg_per_group(df: DataFrame, by: str, label: str = "label", score: str = "score",
-                   tie: str = "rank") -> DataFrame:
+                   tie: str = "rank", task_rows: int = TASK_ROWS) -> DataFrame:
     """NDCG over the whole list with linear gain; equal scores share gain.
-    ``tie`` is any column that differs between the rows of a group."""
+    ``tie`` is any column that differs between the rows of a group. Rows without
+    score share the first places, as if they scored highest."""
     rows = cut_lineage(df.select(by, label, score, tie))
-    got = _gain_blocks(rows, by, F.col(label), F.col(score), tie)
-    best = _gain_blocks(rows, by, F.col(label), F.col(label), tie).withColumnRenamed("dcg", "ideal")
-    return got.join(best, by).select(
+    got = _gain_blocks(rows, by, F.col(label), F.col(score), tie, task_rows)
+    best = _gain_blocks(rows, by, F.col(label), F.col(label), tie, task_rows).withColumnRenamed("dcg", "ideal")
+    return null_safe_join(got, best, [by]).select(
         by, F.when(F.col("ideal") > 0, F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)))
         .otherwise(F.lit(0.0)).alias("ndcg"))
 
@@ -88,7 +90,7 @@ def ranking_quality(df: DataFrame, by: str, rank: str = "rank", label: str = "la
 
 
 def dummy_rank_rule(df: DataFrame, by: str, rank: str = "rank", score: str = "score",
-                    dummy_score: str = "dummy_score") -> DataFrame:
+                    dummy_score: str = "dummy_score", task_rows: int = TASK_ROWS) -> DataFrame:
     """Would a repository named exactly as the query already be inside the
     ranking? A dummy row joins each query at the end; with 0-based positions by
     falling score, the answer is ``dummy_position <= floor(rho * (n + 1))``,
@@ -99,7 +101,7 @@ def dummy_rank_rule(df: DataFrame, by: str, rank: str = "rank", score: str = "sc
     dummies = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("_r"), F.max(dummy_score).cast("double").alias("_s")
     ).withColumn("_dummy", F.lit(1))
-    placed = positions(cut_lineage(real.unionByName(dummies)), [by], -F.col("_s"), F.col("_r"), "_p")
+    placed = positions(cut_lineage(real.unionByName(dummies)), [by], -F.col("_s"), F.col("_r"), "_p", task_rows)
     at = F.col("_p") - 1
     gap = (F.col("_r") - at).cast("double")
     summed = placed.groupBy(by).agg(

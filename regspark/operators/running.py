@@ -44,6 +44,18 @@ def hot_keys(df: DataFrame, on: Sequence[str], rows: int) -> tuple[DataFrame, in
     return cut_lineage(counts.filter(F.col("_n") > bound)), bound
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal name, null matching null; the left side's are kept."""
+    on = list(on)
+    if not on:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    other = right.select(*(F.col(c).alias(f"_on_{c}") for c in on), *(c for c in right.columns if c not in on))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(other, same, how).drop(*(f"_on_{c}" for c in on))
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct value, computed once however many of its
     fields are used."""
@@ -69,7 +81,8 @@ def bin_index(x: Column, edges: Column, most: int = MAX_CHUNKS) -> Column:
 
 
 def with_chunk(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Add each row's chunk number along a non-null numeric column. The edges,
+    """Add each row's chunk number along a numeric column; null goes to the
+    first chunk. The edges,
     one number per chunk, come to the driver and go into the plan as one
     literal, so that no row carries them."""
     n = chunk_count(df.sparkSession)
@@ -134,7 +147,7 @@ def running(df: DataFrame, by: Sequence[str], order: Column,
             aggs: dict[str, Running], tie: Sequence[str] = (), task_rows: int = TASK_ROWS) -> DataFrame:
     """Append running aggregates along ``order`` (then ``tie``) within ``by``.
 
-    ``order`` is numeric and not null. Chunks of a large group are balanced as
+    ``order`` is numeric; null comes first, and null keys form a group. Chunks of a large group are balanced as
     long as no single order value holds a large share of its rows: aggregate to
     distinct values first, or use ``positions``. The input is read up to four
     times (sizes, edges, totals, rows); store it first (``cut_lineage``) where
@@ -157,7 +170,7 @@ def _by_size(df: DataFrame, by: list[str], rows: int) -> tuple[DataFrame | None,
     if found is None:
         return df, None
     hot = F.broadcast(found[0].select(*by))
-    return df.join(hot, by, "left_anti"), df.join(hot, by, "left_semi")
+    return null_safe_join(df, hot, by, "left_anti"), null_safe_join(df, hot, by, "left_semi")
 
 
 def _frame(window, agg: Running):
@@ -178,7 +191,7 @@ def _chunked(df: DataFrame, by: list[str], aggs: dict[str, Running], tie: Sequen
     carried = totals.select(*by, "_chunk", *(
         a.over(F.col(f"_t_{name}"), across).alias(f"_c_{name}") for name, a in aggs.items()))
     within = W.partitionBy(*by, "_chunk").orderBy(o, *tie)
-    joined = numbered.join(carried, [*by, "_chunk"], "inner")
+    joined = null_safe_join(numbered, carried, [*by, "_chunk"])
     return joined.select(*df.columns, *(
         a.merge(F.col(f"_c_{name}"), a.over(a.value, _frame(within, a))).alias(name)
         for name, a in aggs.items()))
@@ -186,7 +199,8 @@ def _chunked(df: DataFrame, by: list[str], aggs: dict[str, Running], tie: Sequen
 
 def positions(df: DataFrame, by: Sequence[str], order: Column, tie: Column,
               out: str = "position", task_rows: int = TASK_ROWS) -> DataFrame:
-    """1-based position along (``order``, ``tie``) within ``by``. In groups too
+    """1-based position along (``order``, ``tie``) within ``by``, nulls first in
+    either and null keys as a group, whatever the group's size. In groups too
     large for one task, a long run of equal ``order`` is cut into cells along
     ``tie`` (numeric); the cells are counted and carried, and rows are numbered
     inside a cell."""
@@ -205,7 +219,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Column, tie: Column,
         before = running(cells, by, F.col("_order2"), {"_before": running_sum(F.col("_n"), False)},
                          tie=["_cell"], task_rows=task_rows).drop("_n")
         inside = W.partitionBy(*keys).orderBy("_tie2")
-        parts.append(cut.join(before, keys, "inner").select(
+        parts.append(null_safe_join(cut, before, keys).select(
             *df.columns, (F.col("_before") + number.over(inside)).cast("long").alias(out)))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
-from regspark.operators.joins import is_short, spread_join
+from regspark.operators.joins import spread_join
 from regspark.session import cut_lineage
 
 
@@ -30,22 +30,41 @@ class Rule:
 
 
 def fragment_hash(c: Column) -> Column:
-    """First 16 hex digits of the content's md5."""
+    """First 16 hex digits of the content's md5, as shown in results. Fragments
+    are told apart by the whole digest."""
     return F.left(F.md5(c), F.lit(16))
 
 
 def fragments(df: DataFrame, layer: str = "layer", file: str = "file", text: str = "text",
-              size: str | None = None, unit: str = "line") -> DataFrame:
-    """Files to fragments in order: one per line, or the whole file
-    (``unit="file"``, for patterns that span lines). Empty ones are skipped."""
+              size: str | None = None, unit: str = "line", lines: int = 200, overlap: int = 40) -> DataFrame:
+    """Files to fragments in order; empty ones are skipped.
+
+    One per line, one per file (``unit="file"``), or chunks of ``lines`` lines
+    (``unit="chunk"``), each running ``overlap`` lines into the next, so that a
+    match of at most that many lines is whole in the chunk it begins in.
+    ``own_lines`` is the number of lines a chunk answers for (null: all).
+    """
     length = F.col(size) if size else F.octet_length(text)
-    body = F.split(F.col(text), "\n") if unit == "line" else F.array(F.col(text))
+    split = F.split(F.col(text), "\n")
+    step = lines - overlap
+    if unit == "line":
+        body = split
+    elif unit == "file":
+        body = F.array(F.col(text))
+    elif step > 0:
+        last = F.greatest(F.ceil((F.size(split) - overlap) / F.lit(step)) - 1, F.lit(0)).cast("int")
+        body = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(
+            F.slice(split, k * step + 1, F.lit(lines)), "\n"))
+    else:
+        raise ValueError("a chunk needs more lines than the overlap")
     cut = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(
         F.col(layer).alias("layer"), F.col(file).alias("file"), length.cast("long").alias("file_size"),
-        F.posexplode(body).alias("fragment_no", "raw"))
-    return cut.filter(F.col("raw") != "").withColumn(
-        "start_line", F.col("fragment_no") + 1 if unit == "line" else F.lit(1)
-    ).withColumn("fragment_hash", fragment_hash(F.col("raw")))
+        F.size(body).alias("_n"), F.posexplode(body).alias("fragment_no", "raw"))
+    first = {"line": F.col("fragment_no") + 1, "file": F.lit(1), "chunk": F.col("fragment_no") * step + 1}[unit]
+    own = F.when(F.col("fragment_no") < F.col("_n") - 1, step) if unit == "chunk" else F.lit(None)
+    return cut.filter(F.col("raw") != "").withColumns({
+        "start_line": first, "own_lines": own.cast("int"), "digest": F.md5("raw"),
+        "fragment_hash": fragment_hash(F.col("raw"))}).drop("_n")
 
 
 def finding_line(text: Column, secret: Column) -> Column:
@@ -68,36 +87,62 @@ def finding_entropy(c: Column) -> Column:
     return F.when(n > 0, bits).when(n == 0, F.lit(0.0))
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def _rule_hits(text: Column, rule: Rule) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1))
-    if rule.min_entropy is not None:
-        found = F.filter(found, lambda s: finding_entropy(s) >= F.lit(rule.min_entropy))
-    named = F.transform(found, lambda s: F.struct(F.lit(rule.rule_id).alias("origin"), s.alias("secret")))
+    """Matches with the 1-based line the secret begins on. The text between the
+    matches tells the place of each, so equal secrets keep lines of their own."""
+    pattern = F.lit(rule.regex)
+    gaps = F.split(text, rule.regex, -1)
+    secrets = F.regexp_extract_all(text, pattern, F.lit(1))
+
+    def place(whole: Column, i: Column) -> Column:
+        secret = F.get(secrets, i)
+        lead = F.substr(whole, F.lit(1), F.greatest(F.position(secret, whole) - 1, F.lit(0)))
+        return F.struct(_breaks(F.get(gaps, i)).alias("gap"), _breaks(whole).alias("inside"),
+                        _breaks(lead).alias("lead"), secret.alias("secret"))
+
+    placed = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), place)
+    start = F.struct(F.lit(1).alias("line"),
+                     F.array().cast("array<struct<origin:string,secret:string,line:int>>").alias("out"))
+    found = F.aggregate(placed, start, lambda s, m: F.struct(
+        (s["line"] + m["gap"] + m["inside"]).alias("line"),
+        F.concat(s["out"], F.array(F.struct(
+            F.lit(rule.rule_id).alias("origin"), m["secret"].alias("secret"),
+            (s["line"] + m["gap"] + m["lead"]).alias("line")))).alias("out")))["out"]
+    named = found if rule.min_entropy is None else F.filter(
+        found, lambda h: finding_entropy(h["secret"]) >= F.lit(rule.min_entropy))
     if not rule.keywords:
         return named
     low = F.lower(text)
     keyed = F.contains(low, F.lit(rule.keywords[0].lower()))
     for word in rule.keywords[1:]:
         keyed = keyed | F.contains(low, F.lit(word.lower()))
-    return F.when(keyed, named).otherwise(F.array().cast("array<struct<origin:string,secret:string>>"))
+    return F.when(keyed, named).otherwise(F.array().cast("array<struct<origin:string,secret:string,line:int>>"))
 
 
 def _matched(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Fragments with a match. A chunk's matches in lines it does not answer for
+    are the next chunk's; chunks of equal text but different ends stay apart."""
     hits = F.concat(*(_rule_hits(F.col("raw"), r) for r in rules))
-    return frags.withColumn("_hits", hits).filter(F.size("_hits") > 0)
+    own = F.coalesce("own_lines", F.lit(2**31 - 1))
+    return frags.withColumn("_hits", F.filter(hits, lambda h: h["line"] <= own)).filter(F.size("_hits") > 0).withColumn(
+        "digest", F.concat_ws("-", "digest", F.col("own_lines").cast("string")))
 
 
 def _described(matched: DataFrame) -> DataFrame:
     """Findings of each distinct fragment, at its first place by (layer, file,
     number)."""
     place = F.struct("layer", "file", "fragment_no")
-    first = matched.groupBy("fragment_hash").agg(
-        F.min_by(F.struct("raw", "file", "file_size", "start_line", "_hits"), place).alias("_f")
-    ).select("fragment_hash", "_f.*")
+    first = matched.groupBy("digest").agg(
+        F.min_by(F.struct("fragment_hash", "file", "file_size", "start_line", "_hits"), place).alias("_f")
+    ).select("digest", "_f.*")
     return first.select("*", F.explode("_hits").alias("_h")).select(
-        "fragment_hash", "file", P.file_ext(F.col("file")).alias("file_type"), "file_size",
+        "digest", "fragment_hash", "file", P.file_ext(F.col("file")).alias("file_type"), "file_size",
         F.col("_h.origin").alias("origin"), F.col("_h.secret").alias("secret"),
-        (F.col("start_line") + finding_line(F.col("raw"), F.col("_h.secret")) - 1).alias("start_line"))
+        (F.col("start_line") + F.col("_h.line") - 1).alias("start_line"))
 
 
 def secret_findings(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -108,7 +153,7 @@ def secret_findings(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     shuffled to be made distinct: moving every fragment to find the copies
     first would cost far more than matching a copy again.
     """
-    return _described(_matched(frags, rules))
+    return _described(_matched(frags, rules)).drop("digest")
 
 
 def scan_distinct(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -116,33 +161,33 @@ def scan_distinct(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     fragment matches, so its layers are known without joining all fragments;
     a fragment held by very many layers is split by layer."""
     matched = cut_lineage(_matched(frags, rules))
-    places = cut_lineage(matched.select("fragment_hash", "layer").distinct())
-    return spread_join(places, _described(matched), ["fragment_hash"], "layer")
+    places = cut_lineage(matched.select("digest", "layer").distinct())
+    return spread_join(places, _described(matched), ["digest"], "layer").drop("digest")
 
 
-def layer_secret_list(hits: DataFrame, frags: DataFrame) -> DataFrame:
-    """Distinct (layer, fragment_hash) of fragments with a finding, in rows
-    rather than one array per layer, which could grow without bound. The known
-    fragments filter before anything is shuffled if they are few."""
-    known = cut_lineage(hits.select("fragment_hash").distinct())
-    side = F.broadcast(known) if is_short(known) else known
-    return frags.select("layer", "fragment_hash").join(side, "fragment_hash", "left_semi").select(
-        "layer", "fragment_hash").distinct()
+def layer_secret_list(found: DataFrame) -> DataFrame:
+    """Distinct (layer, fragment_hash) of fragments with a finding, from the
+    result of ``scan_distinct``, in rows rather than one array per layer, which
+    could grow without bound."""
+    return found.select("layer", "fragment_hash").distinct()
 
 
-_BASE64_TOKEN = r"([A-Za-z0-9+/]{16,}={0,2})"
+# Decoded text counts only if it is readable.
 _PRINTABLE = r"^[\t\n\r -~]+$"
 
 
-def decode_pass(frags: DataFrame, rounds: int = 3) -> DataFrame:
+def decode_pass(frags: DataFrame, rounds: int = 3, least_token: int = 16, readable: str = _PRINTABLE) -> DataFrame:
     """Fragments plus what their base64 tokens decode to, up to ``rounds``
     levels deep; ``round`` 0 is the fragment itself. Decoded tokens of one
-    fragment form one new fragment, a token per line."""
+    fragment form one new fragment, a token per line. Tokens shorter than
+    ``least_token`` are not decoded; decoded text that does not match
+    ``readable`` is dropped."""
+    token = f"([A-Za-z0-9+/]{{{least_token},}}={{0,2}})"
+
     def decoded(text: Column) -> Column:
-        tokens = F.regexp_extract_all(text, F.lit(_BASE64_TOKEN), F.lit(1))
+        tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1))
         plain = F.transform(tokens, lambda t: F.try_to_binary(t, F.lit("base64")).cast("string"))
-        readable = F.filter(plain, lambda t: t.isNotNull() & t.rlike(_PRINTABLE))
-        return F.concat_ws("\n", readable)
+        return F.concat_ws("\n", F.filter(plain, lambda t: t.isNotNull() & t.rlike(readable)))
 
     level = frags.withColumn("fragment_hash", fragment_hash(F.col("raw"))).withColumn("round", F.lit(0))
     levels = [level]

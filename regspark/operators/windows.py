@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regspark.operators.joins import lookup_join
 from regspark.operators.running import (
     TASK_ROWS,
+    null_safe_join,
     running,
     running_count,
     running_last,
@@ -56,9 +56,8 @@ def rank_in_query(df: DataFrame, by: Sequence[str], order: Column, tie: Sequence
 
 def rank_label(df: DataFrame, by: str, rank: str = "rank", out: str = "label") -> DataFrame:
     """Relevance: the last rank of the query gets 1, the first the most."""
-    rows = cut_lineage(df)
-    longest = rows.groupBy(by).agg(F.max(rank).alias("_max"))
-    return lookup_join(rows, longest, [by], rank).select(*df.columns, (F.col("_max") - F.col(rank) + 1).alias(out))
+    longest = df.groupBy(by).agg(F.max(rank).alias("_max"))
+    return null_safe_join(df, longest, [by]).select(*df.columns, (F.col("_max") - F.col(rank) + 1).alias(out))
 
 
 def min_group_filter(df: DataFrame, by: str, n: int = 5) -> DataFrame:
@@ -137,7 +136,9 @@ def gap_thinning(df: DataFrame, by: str, ts: str, tie: str, min_gap_micros: int
     """Newest first per group, keep a row only if it is at least the gap older
     than the last kept one.
 
-    Only one row per instant can be kept, so instants are reduced first. Groups
+    Rows without a time are left out; null keys form a group. Of the rows of one
+    instant the least tie is kept (null only if all are), with the rows that
+    repeat it. Only one row per instant can be kept, so instants are reduced first. Groups
     of ordinary size are folded as one sorted array. Larger groups, whatever
     their size, follow next-kept pointers: each instant points at the newest
     instant at least one gap older, and pointers are doubled until the chain
@@ -151,9 +152,9 @@ def gap_thinning(df: DataFrame, by: str, ts: str, tie: str, min_gap_micros: int
     if large.isEmpty():
         kept = _thin_by_fold(instants, by, tie, min_gap_micros)
     else:
-        kept = _thin_by_fold(instants.join(large, by, "left_anti"), by, tie, min_gap_micros).unionByName(
-            _thin_by_pointers(instants.join(large, by, "left_semi"), by, tie, min_gap_micros))
-    return df.withColumn("_t", micros).join(kept, [by, "_t", tie], "left_semi").drop("_t")
+        kept = _thin_by_fold(null_safe_join(instants, large, [by], "left_anti"), by, tie, min_gap_micros).unionByName(
+            _thin_by_pointers(null_safe_join(instants, large, [by], "left_semi"), by, tie, min_gap_micros))
+    return null_safe_join(df.withColumn("_t", micros), kept, [by, "_t", tie], "left_semi").drop("_t")
 
 
 def _thin_by_fold(instants: DataFrame, by: str, tie: str, gap: int) -> DataFrame:
@@ -184,9 +185,9 @@ def _thin_by_pointers(instants: DataFrame, by: str, tie: str, gap: int,
         by, F.col("_from").alias("_t"), "_next"))
     reached = instants.groupBy(by).agg(F.max("_t").alias("_t"))
     while not jump.isEmpty():
-        onward = reached.join(jump, [by, "_t"]).select(by, F.col("_next").alias("_t"))
+        onward = null_safe_join(reached, jump, [by, "_t"]).select(by, F.col("_next").alias("_t"))
         reached = cut_lineage(reached.unionByName(onward).distinct())
         second = jump.select(by, F.col("_t").alias("_next"), F.col("_next").alias("_next2"))
-        jump = cut_lineage(jump.join(second, [by, "_next"]).select(
+        jump = cut_lineage(null_safe_join(jump, second, [by, "_next"]).select(
             by, "_t", F.col("_next2").alias("_next")))
-    return reached.join(instants, [by, "_t"]).select(by, "_t", tie)
+    return null_safe_join(reached, instants, [by, "_t"]).select(by, "_t", tie)

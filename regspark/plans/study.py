@@ -36,6 +36,7 @@ def run_study(tables: dict[str, DataFrame], biases: dict[str, DataFrame] | None
     weights = B.unique_bias_weights(share)
     out = {
         "repos_with_secret_per_month": A.repos_per_month(study).orderBy("month_key"),
+        "secret_origin_counts": A.origin_counts(t["occurrences"], chosen),
         "top20_secret_origin": A.top_origins(t["occurrences"], chosen),
         "secret_repo_counts_per_secret": per_secret,
         "secret_repo_counts_distribution": A.count_distribution(per_secret),
@@ -57,7 +58,7 @@ def plot_tables(results: dict[str, DataFrame], study: DataFrame) -> dict[str, Da
     return {
         "cumulative_weighted": W.cumulative_weighted(monthly),
         "cumulative_months": W.cumulative_months(study),
-        "origin_categories": A.category_rollup(results["top20_secret_origin"]),
+        "origin_categories": A.category_rollup(results["secret_origin_counts"]),
         "repo_count_ccdf": W.ccdf(results["secret_repo_counts_distribution"]),
         "repo_layer_joint_ccdf": W.joint_ccdf(results["secret_repo_layer_counts_weighted"]),
         "association_strengths": A.sort_abs(results["metadata_association_metrics"], "value"),

@@ -95,7 +95,7 @@ def test_scan_reports_each_fragment_once(spark):
     spread = C.scan_distinct(frags, RULES)
     assert sorted((r.layer, r.secret) for r in spread.collect()) == sorted(
         (layer, s) for layer in ("l1", "l2") for s in ("abc", "def", "1234"))
-    assert sorted(r.layer for r in C.layer_secret_list(found, frags).collect()) == ["l1", "l2"]
+    assert sorted(r.layer for r in C.layer_secret_list(spread).collect()) == ["l1", "l2"]
 
 
 def test_whole_file_fragments_find_the_line(spark):
@@ -104,6 +104,20 @@ def test_whole_file_fragments_find_the_line(spark):
     assert hit.start_line == 3
 
 
+def test_a_finding_has_the_line_of_its_own_match(spark):
+    text = "abc\nkey=abc1\nx\nkey=abc1 key=\nkey=abc1\n-----BEGIN\nab\ncd\nEND"
+    rules = [C.Rule("key", r"key=([a-z0-9]+)"), C.Rule("block", r"-----BEGIN\n([a-z\n]+)END")]
+    files = spark.createDataFrame([("l", "f", text), ("m", "g", text)], "layer string, file string, text string")
+    want = [("block", "ab\ncd\n", 7), ("key", "abc1", 2), ("key", "abc1", 4), ("key", "abc1", 5)]
+    whole = C.secret_findings(C.fragments(files, unit="file"), rules).select("origin", "secret", "start_line").collect()
+    assert sorted(map(tuple, whole)) == want
+    for lines, overlap in ((5, 4), (6, 4), (40, 5)):
+        cut = C.scan_distinct(C.fragments(files, unit="chunk", lines=lines, overlap=overlap), rules)
+        for layer in "lm":
+            mine = cut.where(F.col("layer") == layer).select("origin", "secret", "start_line").collect()
+            assert sorted(map(tuple, mine)) == want, (lines, overlap)
+
+
 @pytest.mark.parametrize("text, bits", [("", 0.0), ("aaaa", 0.0), ("abab", 1.0), ("abcd", 2.0)])
 def test_entropy(spark, text, bits):
     df = spark.createDataFrame([(text,)], "t string")

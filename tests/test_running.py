@@ -65,6 +65,33 @@ def test_positions_with_long_ties(skewed, task_rows):
         assert [got[r[1]] for r in ordered] == list(range(1, len(ordered) + 1))
 
 
+@pytest.mark.parametrize("task_rows", [1, 5, 10_000])
+def test_positions_with_nulls(spark, task_rows):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None]), rng.choice([None, 0.0, -0.0, 1.5, float("nan")]), rng.choice([None, i]), i)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, o double, tie long, id long")
+    out = positions(df, ["g"], F.col("o"), F.col("tie"), task_rows=task_rows).collect()
+    assert sorted(r["id"] for r in out) == list(range(120))
+    rank = lambda o: (0, 0) if o is None else (2, 0) if o != o else (1, o)
+    for g in ("a", None):
+        mine = sorted((r for r in out if r["g"] == g), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(1, len(mine) + 1))
+        keys = [(rank(r["o"]), -1 if r["tie"] is None else r["tie"]) for r in mine]
+        assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("task_rows", [5, 10_000])
+def test_running_with_null_keys_and_order(spark, task_rows):
+    rows = [(None if i % 2 else "a", None if i % 7 == 0 else i) for i in range(70)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    out = running(df, ["g"], F.col("o"), {"n": running_count()}, task_rows=task_rows).collect()
+    for g in ("a", None):
+        mine = [r for r in out if r["g"] == g and r["o"] is not None]
+        assert len(mine) == 30
+        assert [r["n"] for r in sorted(mine, key=lambda r: r["o"])] == list(range(6, 36))
+
+
 @pytest.mark.parametrize("values", [
     [1.0], [3.0, 1.0], [5.0] * 100 + [1.0, 9.0], [float(i * i % 101) for i in range(500)], [-1.5, None, 2.5, float("nan")]])
 @pytest.mark.parametrize("task_rows", [3, 10_000])

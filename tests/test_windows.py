@@ -33,6 +33,17 @@ def test_gap_thinning(spark, fold_limit):
     assert sorted(r.id for r in out.collect()) == thinned(rows, 7)
 
 
+@pytest.mark.parametrize("fold_limit", [10_000, 1])
+def test_gap_thinning_keeps_rows_with_null_tie_and_key(spark, fold_limit):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = [("r", day(20), None), ("r", day(18), 1), ("r", day(10), None), ("r", day(10), 4), (None, day(9), 7),
+            (None, day(1), None), (None, day(3), 8), ("r", None, 9)]
+    df = spark.createDataFrame(rows, "repo string, ts timestamp_ntz, id long")
+    out = W.gap_thinning(df, "repo", "ts", "id", 7 * DAY, fold_limit).collect()
+    want = [("r", day(20), None), ("r", day(10), 4), (None, day(9), 7), (None, day(1), None)]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
 def test_pointers_across_chunks(spark):
     rng = random.Random(8)
     rows = sorted({("r", rng.randrange(10**6)) for _ in range(500)})

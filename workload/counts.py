@@ -44,17 +44,17 @@ def repos_per_month(spark, d):
 
 TOP_SQL = """
     SELECT {origin} AS origin, count(*) AS n FROM occurrences o JOIN secrets s ON o.secret_id = s.secret_id
-    {where} GROUP BY 1 ORDER BY n DESC, origin LIMIT {k}"""
+    {where} GROUP BY 1 ORDER BY n DESC, origin {limit}"""
 UNKNOWN = "coalesce(nullif(trim(s.origin), ''), 'unknown')"
 
 
-@query("top_origins", TOP_SQL.format(origin=UNKNOWN, where="", k=20))
+@query("top_origins", TOP_SQL.format(origin=UNKNOWN, where="", limit="LIMIT 20"))
 def top_origins(spark, d):
     return A.top_origins(V.occurrences(spark, d), V.secrets(spark, d))
 
 
 @query("top_origins_named", TOP_SQL.format(
-    origin="s.origin", where="WHERE s.origin IS NOT NULL AND s.origin <> ''", k=20))
+    origin="s.origin", where="WHERE s.origin IS NOT NULL AND s.origin <> ''", limit="LIMIT 20"))
 def top_origins_named(spark, d):
     return A.top_origins(V.occurrences(spark, d), V.secrets(spark, d), drop_blank=True)
 
@@ -164,9 +164,9 @@ def collection_counters(spark, d):
 
 @query("category_rollup", f"""
     SELECT {CATEGORY_SQL.format(c='origin')} AS category, sum(n) AS n
-    FROM ({TOP_SQL.format(origin=UNKNOWN, where='', k=20)}) GROUP BY 1""")
+    FROM ({TOP_SQL.format(origin=UNKNOWN, where='', limit='')}) GROUP BY 1""")
 def category_rollup(spark, d):
-    return A.category_rollup(top_origins(spark, d))
+    return A.category_rollup(A.origin_counts(V.occurrences(spark, d), V.secrets(spark, d)))
 
 
 @query("contingency", """

@@ -63,6 +63,40 @@ def gap_thinning(spark, d):
     return W.gap_thinning(V.tags(spark, d), "repo_id", "last_pushed", "tag_id", 90 * DAY_MICROS).select("tag_id")
 
 
+_NULL_GAP_SQL = """
+    WITH RECURSIVE t AS (SELECT repo_id, last_pushed, min(tie) AS tie,
+               row_number() OVER (PARTITION BY repo_id ORDER BY last_pushed DESC) AS rn
+               FROM (SELECT CASE WHEN repo_id % 40 > 0 THEN repo_id END AS repo_id, last_pushed,
+                            CASE WHEN tag_id % 3 > 0 THEN tag_id END AS tie FROM tags)
+               WHERE last_pushed IS NOT NULL GROUP BY 1, 2),
+    w AS (SELECT repo_id, rn, last_pushed AS anchor, true AS kept, tie FROM t WHERE rn = 1
+          UNION ALL
+          SELECT t.repo_id, t.rn,
+                 CASE WHEN w.anchor - t.last_pushed >= INTERVAL 90 DAY THEN t.last_pushed ELSE w.anchor END,
+                 w.anchor - t.last_pushed >= INTERVAL 90 DAY, t.tie
+          FROM w JOIN t ON t.repo_id IS NOT DISTINCT FROM w.repo_id AND t.rn = w.rn + 1)
+    SELECT repo_id, strftime(anchor, '%Y-%m-%d %H:%M:%S') AS pushed, tie FROM w WHERE kept"""
+
+
+def _null_ties(spark, d, fold_limit):
+    rows = V.tags(spark, d).select(
+        F.when(F.col("repo_id") % 40 > 0, F.col("repo_id")).alias("repo_id"), "last_pushed",
+        F.when(F.col("tag_id") % 3 > 0, F.col("tag_id")).alias("tie"))
+    return W.gap_thinning(rows, "repo_id", "last_pushed", "tie", 90 * DAY_MICROS, fold_limit).select(
+        "repo_id", F.date_format("last_pushed", "yyyy-MM-dd HH:mm:ss").alias("pushed"), "tie").distinct()
+
+
+@query("gap_thinning_null_tie", _NULL_GAP_SQL)
+def gap_thinning_null_tie(spark, d):
+    """Null ties and null keys, in groups folded as one array."""
+    return _null_ties(spark, d, W.FOLD_LIMIT)
+
+
+@query("gap_thinning_null_tie_large_groups", _NULL_GAP_SQL)
+def gap_thinning_null_tie_large_groups(spark, d):
+    return _null_ties(spark, d, 3)
+
+
 @query("gap_thinning_large_groups", GAP_SQL.format(days=400))
 def gap_thinning_large_groups(spark, d):
     """The path for groups beyond the fold limit, taken here from 12 rows on."""

@@ -54,6 +54,29 @@ def secret_findings(spark, d):
     return C.secret_findings(frags(spark, d), RULES)
 
 
+CHUNKED = (*RULES, C.Rule("two-lines", r"([a-z]{4}[.])\n(?=[A-Z][a-z]{3})"))
+
+
+@query("secret_findings_chunked", r"""
+    WITH f AS (SELECT DISTINCT ON (text) text, file FROM files WHERE text <> '' ORDER BY text, layer, file),
+    l AS (SELECT file, text, string_split(text, chr(10)) AS l FROM f),
+    n AS (SELECT file, i, l[i] AS raw FROM l, unnest(range(1, len(l) + 1)) AS t(i))
+    SELECT file, i AS start_line, 'token-hex40' AS origin,
+           unnest(regexp_extract_all(raw, 'token = "([0-9a-f]{40})"', 1)) AS secret FROM n
+    UNION ALL
+    SELECT file, i, 'ipv4', unnest(regexp_extract_all(raw, '\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b', 1)) FROM n
+    UNION ALL
+    SELECT file, i, 'two-lines', regexp_extract(l[i], '([a-z]{4}[.])$', 1)
+    FROM l, unnest(range(1, len(l))) AS t(i)
+    WHERE regexp_matches(l[i], '[a-z]{4}[.]$') AND regexp_matches(l[i + 1], '^[A-Z][a-z]{3}')""")
+def secret_findings_chunked(spark, d):
+    """Matches within and across lines, each once and on its line, in distinct files cut into chunks."""
+    files = V.files(spark, d).groupBy("text").agg(F.min_by("file", F.struct("layer", "file")).alias("file"))
+    cut = C.fragments(files.withColumn("layer", F.col("file")), unit="chunk", lines=7, overlap=2)
+    named = cut.withColumn("digest", F.concat_ws("|", "digest", "file", F.col("fragment_no").cast("string")))
+    return C.secret_findings(named, CHUNKED).select("file", "start_line", "origin", "secret")
+
+
 @query("scan_distinct", f"""
     WITH lines AS ({LINES_SQL}), {FOUND_SQL}
     SELECT p.layer, f.fragment_hash, f.origin, f.secret, f.start_line FROM found f
@@ -86,8 +109,7 @@ def finding_entropy(spark, d):
     SELECT DISTINCT l.layer, l.fragment_hash FROM lines l
     WHERE l.fragment_hash IN (SELECT fragment_hash FROM found)""")
 def layer_secret_list(spark, d):
-    f = frags(spark, d)
-    return C.layer_secret_list(C.secret_findings(f, RULES), f)
+    return C.layer_secret_list(C.scan_distinct(frags(spark, d), RULES))
 
 
 @query("decode_pass", """

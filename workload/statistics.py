@@ -223,9 +223,18 @@ def dummy_rank_rule(spark, d):
                       F.col("inside").cast("int").alias("inside"))
 
 
-@query("rank_model")
+@query("rank_model", """
+    WITH r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY seq) AS rank FROM match_rows)
+    SELECT query, rank, max(rank) OVER (PARTITION BY query) - rank + 1 AS label,
+           (('0x' || substr(md5(concat_ws('|', '42', query)), 1, 8))::BIGINT
+            < CAST(floor(0.8 * 4294967296) AS BIGINT))::INTEGER AS is_train,
+           1 AS has_score, 1 AS same_for_equal_features FROM r""")
 def rank_model(spark, d):
-    """Trees fitted on 80 % of the queries, all rows scored."""
+    """Trees fitted on 80 % of the queries, all rows scored. What does not
+    depend on the trees is checked: every row has a finite score, and rows of
+    equal features have the same."""
+    from pyspark.sql import Window
+
     from regspark.functions import textmatch as T
     from regspark.operators import sampling as M
     from regspark.operators import windows as W
@@ -234,7 +243,40 @@ def rank_model(spark, d):
     rows = W.rank_label(T.feature_rows(ranked), "query")
     split = M.group_split(rows, "query")
     model = R.fit_rank_model(split.filter("is_train = 1"), trees=3, depth=3)
-    return R.score_rows(model, split).select("query", "rank", "label", "is_train", "score")
+    alike = Window.partitionBy(*T.FEATURES)
+    score = F.col("score")
+    return R.score_rows(model, split).select(
+        "query", "rank", "label", "is_train",
+        (score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).cast("int").alias("has_score"),
+        (F.max(score).over(alike) == F.min(score).over(alike)).cast("int").alias("same_for_equal_features"))
+
+
+_NULL_NDCG_SQL = """
+    WITH r AS (SELECT p_brand AS query, p_size AS label, p_partkey,
+                      CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 7 AS DOUBLE) END AS score FROM part),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC NULLS FIRST) AS pos,
+                 row_number() OVER (PARTITION BY query ORDER BY label DESC) AS best FROM r),
+    b AS (SELECT query, sum(1 / log2(pos + 1)) * avg(label) AS g FROM p GROUP BY query, score),
+    i AS (SELECT query, sum(label / log2(best + 1)) AS ideal FROM p GROUP BY query)
+    SELECT query, round(sum(g) / any_value(ideal), 6) AS ndcg FROM b JOIN i USING (query) GROUP BY query"""
+
+
+def _null_scores(spark, d):
+    return V.table(spark, d, "part").select(
+        F.col("p_brand").alias("query"), F.col("p_size").alias("label"), F.col("p_partkey").alias("rank"),
+        F.when(F.col("p_partkey") % 5 > 0, (F.col("p_partkey") % 7).cast("double")).alias("score"))
+
+
+@query("ndcg_null_scores", _NULL_NDCG_SQL)
+def ndcg_null_scores(spark, d):
+    return R.ndcg_per_group(_null_scores(spark, d), "query").select("query", r6(F.col("ndcg")).alias("ndcg"))
+
+
+@query("ndcg_null_scores_large_groups", _NULL_NDCG_SQL)
+def ndcg_null_scores_large_groups(spark, d):
+    """As ``ndcg_null_scores``, each group too large for one task."""
+    return R.ndcg_per_group(_null_scores(spark, d), "query", task_rows=3).select(
+        "query", r6(F.col("ndcg")).alias("ndcg"))
 
 
 # --- whole plans ----------------------------------------------------------
