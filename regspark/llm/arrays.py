@@ -21,7 +21,7 @@ _BYTE_VALUE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of text worked on at a time; bounds a task's numpy memory.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -238,11 +238,16 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The passes over one table; every step is written to the shared folder."""
+    """The passes over one table.
+
+    Every step is written to the shared folder; all but the sizes and the last
+    roots are removed at the end.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
         self.texts = _texts(docs, id_col, text_col)
+        self.written: list[tuple[str, str]] = []
         first = self.kept(_sizes(self.texts), "sizes")
         self.members = first.where(F.col("token").isNull()).select("doc_id", "n", "key")
         total = self.members.agg(F.sum("n")).first()[0] or 0
@@ -253,8 +258,18 @@ class _Join:
     def kept(self, frame: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, f"ngrams-{label}")
         frame.write.parquet(path)
+        self.written.append((label, path))
         return self.spark.read.parquet(path)
 
+    def tidy(self) -> None:
+        """Removes what the result does not read."""
+        roots = [path for label, path in self.written if label == "roots"][-1:]
+        context = self.spark.sparkContext
+        for label, path in self.written:
+            if label != "sizes" and path not in roots:
+                place = context._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
     def _met(self) -> DataFrame:
         """Prefix rows of tokens that at least two sets have, with their number."""
         token = Window.partitionBy("token")
@@ -384,6 +399,7 @@ class _Join:
             rest = self.pairs(rooted.where("root_key <> main"), rooted.where(others),
                               F.col("u.root_key") != F.col("v.root_key"))
             self.link(self.verified(self.possible(rest)))
+        self.tidy()
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every document."""

@@ -134,7 +134,7 @@ def learn(row, bucket, toxic, share: float, *, terms: int = 4096, least_chi: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", usable: Column | None = None, per_class: int = 4000, share: float = 0.1, **how) -> Machine | None:
+          label_col: str = "toxic", usable: Column | None = None, per_class: int = 3000, share: float = 0.1, **how) -> Machine | None:
     """The machine learned from the labelled documents for which ``usable`` holds.
 
     ``usable`` is a condition over the label's ``id``. At most ``per_class``
