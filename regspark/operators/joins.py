@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
-from regspark.operators.running import BROADCAST_ROWS, TASK_ROWS, hot_keys, one_row
+from regspark.operators.running import BROADCAST_ROWS, TASK_ROWS, hot_keys, null_safe_join, one_row
 from regspark.operators.sampling import one_per_group
 from regspark.session import cut_lineage
 
 
+# A side of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
                 how: str = "inner", rows_per_task: int = TASK_ROWS) -> DataFrame:
     """Equi-join that splits the hot keys of the left side.
@@ -26,7 +30,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: st
     Rows per key are counted. Without a key beyond ``rows_per_task`` this is a
     plain join. Otherwise each hot key gets as many salts as it fills tasks;
     its left rows are dealt out by ``spread``, which must vary within a key,
-    and only its right rows are repeated, once per salt.
+    and only its right rows are repeated, once per salt. Rows of a null key
+    match nothing, but are dealt out like any other.
     """
     on = list(on)
     found = hot_keys(left, on, rows_per_task)
@@ -35,15 +40,27 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: st
     keys, bound = found
     hot = F.broadcast(keys.select(*on, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    dealt = null_safe_join(left, hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     copies = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
-def is_short(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``rows`` rows; stops reading once it has more."""
-    return df.limit(rows + 1).count() <= rows
+def is_short(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most ``rows`` rows and ``size`` bytes of values;
+    stops reading once it has more rows."""
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if kind.startswith(("array", "map", "struct")):
+            return F.octet_length(F.to_json(F.struct(name)))
+        return F.lit(8)
+
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        total = total + width(name, kind)
+    count, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(total)).first()
+    return count <= rows and (held or 0) <= size
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,

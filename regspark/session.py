@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="regspark-")
     spark.sparkContext.setCheckpointDir(made)
