@@ -176,29 +176,28 @@ def _frequent(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found["count"].to_numpy(np.int64)[order]
 
 
-PREFIXES = "token long, key long, size long, place int, more int"
+#: ``at`` is the set's size and the token's place, 32 bits each. Of the token's
+#: hash 48 bits do: tokens that share them only make a candidate more.
+PREFIXES = "token long, key long, at long"
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Prefix tokens with the set's key and size, their place and the prefix's extension."""
+    """Prefix tokens with the set's key and size, and their place."""
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for row, data, off in arrays.blocks(batch.column(1)):
-                found, keys, sizes, places, mores, seen = [], [], [], [], [], set()
+                found, keys, at, seen = [], [], [], set()
                 for i, tokens in enumerate(token_sets(data, off), row):
                     if not len(tokens) or not ids[i].is_valid or (key := set_key(tokens)) in seen:
                         continue
                     seen.add(key)
-                    ordered, more = prefix(tokens, frequent, counts)
-                    k = len(ordered)
-                    found.append(ordered.astype(np.int64))
-                    keys.append(np.full(k, key))
-                    sizes.append(np.full(k, len(tokens)))
-                    places.append(np.arange(k, dtype=np.int32))
-                    mores.append(np.full(k, more, np.int32))
+                    ordered, _ = prefix(tokens, frequent, counts)
+                    found.append((ordered >> np.uint64(16)).astype(np.int64))
+                    keys.append(np.full(len(ordered), key))
+                    at.append((len(tokens) << 32) + np.arange(len(ordered)))
                 if found:
-                    yield _batch(PREFIXES, *(np.concatenate(c) for c in (found, keys, sizes, places, mores)))
+                    yield _batch(PREFIXES, *(np.concatenate(c) for c in (found, keys, at)))
 
     return texts.mapInArrow(run, PREFIXES)
 
@@ -276,7 +275,8 @@ class _Join:
         rows = _prefixes(self.texts, *self.order).withColumns(
             {"low": F.min("key").over(token), "high": F.max("key").over(token)}).where("low < high")
         rows = rows.drop("low", "high").dropDuplicates(["token", "key"])
-        return rows.withColumn("sets", F.count("*").over(token))
+        return rows.select("token", "key", F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND(
+            F.lit((1 << 32) - 1)).alias("place"), F.count("*").over(token).alias("sets"))
 
     def texts_of(self, pairs: DataFrame) -> DataFrame:
         """Texts of one document for each set in ``pairs``."""
