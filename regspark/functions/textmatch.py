@@ -50,11 +50,13 @@ def char_set(c: Column) -> Column:
 
 
 def char_set_ops(a: Column, b: Column) -> Column:
-    """Sizes of the intersection and the union of two character sets."""
-    left, right = char_set(a), char_set(b)
+    """Sizes of the intersection and the union of two character sets. ``a``,
+    the shorter text, is looked up in ``b`` character by character."""
+    left = char_set(a)
+    common = F.when(b.isNotNull(), F.size(F.filter(left, lambda ch: F.contains(b, ch))))
     return F.struct(
-        F.size(F.array_intersect(left, right)).alias("common"),
-        F.size(F.array_union(left, right)).alias("either"),
+        common.alias("common"),
+        (F.size(left) + F.size(char_set(b)) - common).alias("either"),
     )
 
 
