@@ -118,7 +118,7 @@ MARKS = "<|im_end|><|im_start|>assistant ok"
 OP9_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '{MARKS}'), (-1, 1, 'assistant', '{MARKS}')),
-s AS (SELECT *, strlen('') + length('{chat.START}' || replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')
+s AS (SELECT *, length('{chat.START}' || replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')
              || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '{chat.END}' || chr(10)) AS chars FROM c),
 e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM s)
 SELECT conv_id, count(*) AS n_turns,

@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
 from regspark.llm import ngramjoin
 
 from tests.llm.conftest import ODD
