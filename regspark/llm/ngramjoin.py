@@ -56,7 +56,8 @@ LONGEST = 8
 #: of them meet all others first. Tokens of one of PIVOT_KINDS kinds prefer the
 #: same sets, so a group that shares many tokens has few of them.
 MANY, PIVOTS, PIVOT_KINDS = 16, 2, 8
-#: Ranks from which, in turn, sets of other components meet the rest.
+#: Ranks from which, in turn, sets of other components meet the rest; the last
+#: meeting also makes up for ranks that a set has not met while in the main component.
 MEETINGS = (PIVOTS, 16)
 #: Ids sent to all tasks; more are joined by shuffling.
 SENT_IDS = 1 << 21
@@ -389,16 +390,22 @@ class _Join:
         self.link(self.verified(nearest))
         self.link(self.verified(self.apart(possible.join(nearest, ["a", "b"], "left_anti"))))
 
-        for low, high in zip(MEETINGS, (*MEETINGS[1:], None), strict=True):
-            rooted = self.rooted(many.withColumn("rank", rank), "key")
+        # ``met``: the set has met all others of lower rank, or is in their component. A set of the main
+        # component may be outside the next one, and then still has those ranks before it.
+        rows = many.withColumns({"rank": rank, "met": F.lit(PIVOTS)})
+        for high in (*MEETINGS[1:], None):
+            rooted = self.rooted(rows, "key")
             of_root = rooted.groupBy("token", "root_key").agg(F.count("*").alias("n"))
             main = of_root.groupBy("token").agg(F.max_by("root_key", F.struct("n", "root_key")).alias("main"),
                                                 F.count("*").alias("roots")).where("roots > 1").drop("roots")
             rooted = self.kept(rooted.join(main, "token"), "many")
-            others = F.col("rank") >= low if high is None else (F.col("rank") >= low) & (F.col("rank") < high)
+            others = F.col("rank") >= PIVOTS if high is None else (F.col("rank") >= PIVOTS) & (F.col("rank") < high)
             rest = self.pairs(rooted.where("root_key <> main"), rooted.where(others),
-                              F.col("u.root_key") != F.col("v.root_key"))
+                              (F.col("u.root_key") != F.col("v.root_key")) & (F.col("v.rank") >= F.col("u.met")))
             self.link(self.verified(self.possible(rest)))
+            if high is not None:
+                rows = rooted.withColumn("met", F.when(F.col("root_key") != F.col("main"), high).otherwise(
+                    F.col("met"))).drop("root_key", "main")
         self.tidy()
 
     def result(self) -> DataFrame:

@@ -79,6 +79,29 @@ def test_chain_of_sets_fetched_by_shuffling(documents, monkeypatch):
     assert rows_of(ngramjoin.components(documents(docs))) == expected
 
 
+def test_main_component_that_changes_between_meetings(spark, monkeypatch):
+    """Chains of links under one token each: no pair may be left out between the meetings."""
+    rng, rows, links, expected = random.Random(3), [], [], {}
+    for token in range(300):
+        keys = [token * 100 + i for i in range(rng.randint(20, 60))]
+        rows += [(token, key, 40, 0, len(keys)) for key in keys]
+        rng.shuffle(keys)
+        cuts = sorted(rng.sample(range(1, len(keys)), 3))
+        for chain in (keys[a:b] for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True)):
+            links += [(min(p), max(p)) for p in zip(chain[:-1], chain[1:], strict=True)]
+            expected |= {key: min(chain) for key in chain}
+    linked = spark.createDataFrame(links, "a long, b long")
+    join = object.__new__(ngramjoin._Join)
+    join.spark, join.written, join.roots = spark, [], None
+    join.met = spark.createDataFrame(rows, "token long, key long, size int, place int, sets long")
+    monkeypatch.setattr(ngramjoin._Join, "possible", lambda self, pairs: self.kept(pairs, "possible"))
+    monkeypatch.setattr(ngramjoin._Join, "verified", lambda self, pairs: self.kept(
+        pairs.join(linked, ["a", "b"], "left_semi"), "links"))
+    join.run()
+    got = {r.key: r.root_key for r in join.rooted(join.met.select("key"), "key").collect()}
+    assert sum(got[k] != root for k, root in expected.items()) == 0
+
+
 def test_longer_prefixes_share_more(spark):
     rng = np.random.default_rng(9)
     frequent = np.arange(40, dtype=np.uint64)
