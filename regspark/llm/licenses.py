@@ -4,7 +4,8 @@ One automaton finds all notice phrases and identifier tags in a single pass over
 the words of a text. What follows a tag is read as a license expression, turned
 into postfix order with a stack of operators, and evaluated to its alternatives:
 ``or`` joins alternatives, ``and`` combines them, ``with`` adds an exception to
-the license before it.
+the license before it. An expression ends with its line, unless a parenthesis is
+open. All its licenses give labels, however many alternatives it has.
 
 Texts are scanned where they are read, without a shuffle. Null or empty text has
 no words and no labels. Repeated rows are taken as they come; other columns are
@@ -14,6 +15,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -51,24 +53,35 @@ NOTICES = {
 TAGS = ("spdx license identifier",)
 
 _TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))")
-#: Alternatives an expression may come to; a longer one stays unevaluated.
+#: The way to the next token in a parenthesis: line breaks, each with a mark of a comment or none.
+_BREAK = re.compile(r"(?:[ \t\r]*\n[ \t]*(?:(?:/{2,}|\*+|#+|;+|-{2,}|%+|!+)(?!/))?)+")
+#: Alternatives up to which an expression is written as such; a longer one is written in factored form.
 MOST_ALTERNATIVES = 64
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def tokens(text: str) -> list[str]:
-    """The longest run of identifiers, operators and parentheses at the start of a line."""
-    found, at, operand = [], 0, True
-    while m := _TOKEN.match(text, at):
+def tokens(text: str, at: int = 0) -> list[str]:
+    """The longest run of identifiers, operators and parentheses from ``at``.
+
+    It ends with the line, unless a parenthesis is open there.
+    """
+    found, operand, depth = [], True, 0
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None and depth and (line := _BREAK.match(text, at)):
+            m = _TOKEN.match(text, line.end())
+        if m is None:
+            break
         token = m[1] or m[2].lower()
         if token in BINDS or token == ")":
-            if operand:
+            if operand or token == ")" and not depth:
                 break
             operand = token != ")"
         elif not operand:
             break
         else:
             operand = token == "("
+        depth += {"(": 1, ")": -1}.get(token, 0)
         found.append(token)
         at = m.end()
     return found
@@ -97,37 +110,85 @@ def postfix(found: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def alternatives(found: list[str]) -> list[frozenset[str]] | None:
-    """The sets of licenses an expression lets one choose from; None if malformed."""
+class Choice:
+    """What a part of an expression lets one choose from.
+
+    ``kind`` is the operator that joins ``parts``, the written operands (none: a
+    single license). ``names`` are all its licenses, ``sets`` the alternatives,
+    None if they are too many.
+    """
+
+    def __init__(self, kind: str, parts: set[str], names: set[str], sets: list[frozenset[str]] | None):
+        self.kind, self.parts, self.names, self.sets = kind, parts, names, sets
+
+    @classmethod
+    def of(cls, name: str) -> Choice:
+        return cls("", {name}, {name}, [frozenset([name])])
+
+    def operands(self, kind: str) -> set[str]:
+        if self.kind in (kind, ""):
+            return self.parts
+        return {self.written() if kind == "or" else f"({self.written()})"}
+
+    def written(self) -> str:
+        """The factored form: ``or`` as ``|``, ``and`` as ``&``, an ``or`` within an ``and`` in parentheses."""
+        return (" & " if self.kind == "and" else " | ").join(sorted(self.parts))
+
+    def joined(self, kind: str, right: Choice, most: float) -> Choice:
+        sets = None
+        if self.sets is not None and right.sets is not None:
+            sets = list(dict.fromkeys(self.sets + right.sets if kind == "or" else [
+                a | b for a in self.sets for b in right.sets]))
+        sets = sets if sets is not None and len(sets) <= most else None
+        few, many = sorted((self.operands(kind), right.operands(kind)), key=len)
+        less, names = sorted((self.names, right.names), key=len)
+        names |= less
+        if len(many) == 1 and few == many:
+            return Choice(self.kind, self.parts, names, sets)
+        many |= few
+        return Choice(kind, many, names, sets)
+
+
+def evaluated(found: list[str], most: float = MOST_ALTERNATIVES) -> Choice | None:
+    """The choice of a whole expression; None if malformed."""
     order, stack = postfix(found), []
     for token in order or ():
         if token not in BINDS:
-            stack.append([frozenset([token])])
+            stack.append(Choice.of(token))
             continue
         if len(stack) < 2:
             return None
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(list(dict.fromkeys(left + right)))
-        elif token == "and":
-            stack.append(list(dict.fromkeys(a | b for a in left for b in right)))
-        elif len(left) == len(right) == len(left[0]) == len(right[0]) == 1:
-            stack.append([frozenset([f"{min(left[0])} with {min(right[0])}"])])
+        if token != "with":
+            stack.append(left.joined(token, right, most))
+        elif left.kind == right.kind == "":
+            stack.append(Choice.of(f"{min(left.parts)} with {min(right.parts)}"))
         else:
             return None
-        if len(stack[-1]) > MOST_ALTERNATIVES:
-            return None
     return stack[0] if len(stack) == 1 else None
 
 
+def read(text: str, at: int = 0, most: float = MOST_ALTERNATIVES) -> Choice | None:
+    """The choice of the longest well-formed expression from ``at``."""
+    found, ends, depth = tokens(text, at), [], 0
+    for i, token in enumerate(found):
+        depth += {"(": 1, ")": -1}.get(token, 0)
+        if depth == 0 and token not in BINDS:
+            ends.append(i + 1)
+    # Only a ``with`` between groups makes a whole run malformed, and all longer ones.
+    if ends and (whole := evaluated(found[:ends[-1]], most)) is None:
+        fits = bisect_left(ends, True, key=lambda end: evaluated(found[:end], most) is None)
+        whole = evaluated(found[:ends[fits - 1]], most) if fits else None
+    return whole if ends else None
+
+
 def read_expression(text: str) -> list[frozenset[str]] | None:
-    """Alternatives of the longest well-formed expression at the start of ``text``."""
-    found = tokens(text)
-    while found:
-        if (sets := alternatives(found)) is not None:
-            return sets
-        found.pop()
-    return None
+    """All alternatives of the longest well-formed expression at the start of ``text``.
+
+    They can be very many; ``scan`` writes those of a long expression factored.
+    """
+    whole = read(text, most=float("inf"))
+    return whole and whole.sets
 
 
 def family(identifier: str) -> str:
@@ -156,7 +217,7 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
     joined = np.where(arrays.ALNUM, arrays.LOWER, 0x20).astype(np.uint8)[raw[keep]]
     line = b" " + joined.tobytes() + b" "
     at = np.cumsum(np.concatenate([[0], ends - starts + 1]))
-    base, base_labels, labels, expressions, tags, breaks = [], set(), set(), [], 0, None
+    base, base_labels, labels, expressions, tags, plain = [], set(), set(), [], 0, None
     for end, phrase in finder.iter(line.decode("latin-1")):
         begin = end - len(phrase) - 1
         word = int(np.searchsorted(at, begin))
@@ -167,14 +228,13 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple:
             labels.add(NOTICES[phrase])
         else:
             last = word + phrase.count(" ")
-            breaks = np.flatnonzero(raw == 0x0A) if breaks is None else breaks
-            stop = np.searchsorted(breaks, ends[last])
-            tail = raw[ends[last]:breaks[stop] if stop < len(breaks) else len(raw)].tobytes().decode(errors="ignore")
-            sets = read_expression(tail.removeprefix(":"))
-            if sets:
+            plain = raw.tobytes().decode("latin-1") if plain is None else plain
+            after = int(ends[last])
+            if choice := read(plain, after + plain.startswith(":", after)):
                 tags += 1
-                labels |= {family(x) for s in sets for x in s}
-                expressions.append(" | ".join(sorted(" & ".join(sorted(s)) for s in sets)))
+                labels |= {family(x) for x in choice.names}
+                expressions.append(choice.written() if choice.sets is None else
+                                   " | ".join(sorted(" & ".join(sorted(s)) for s in choice.sets)))
     labels |= base_labels
     places = len(base) + 2 * tags + len(labels - base_labels)
     return (len(starts), len(base), min(base, default=None), max(base, default=None),
@@ -191,7 +251,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Places and labels of license notices, and the expressions after tags.
 
     An expression reads as alternatives joined by ``|``, each a set of licenses
-    joined by ``&``. The score is 1 less one half for each place, added label
+    joined by ``&``; one of more than MOST_ALTERNATIVES alternatives keeps its
+    ``or`` in parentheses instead of being multiplied out. The score is 1 less one half for each place, added label
     and, twice, each expression.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -48,3 +48,24 @@ def test_tags_add_labels(documents):
     assert r.labels == "apache,cc-by,cc-by-sa,gpl,mit" and r.base_labels == "apache,cc-by"
     assert r.expressions == ["gpl-3.0-or-later | mit"]
     assert licenses.scan(documents([(1, text)]).limit(0)).count() == 0
+
+
+def test_long_expressions_stay_whole(documents):
+    tag = "SPDX-License-Identifier: "
+    names = [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    two = " AND ".join(f"({a} OR {b})" for a, b in zip(names[:14:2], names[1:14:2], strict=True))
+    docs = [(1, tag + two), (2, tag + " OR ".join(names)), (3, f"{tag}({' AND '.join(names)}) or x with y"),
+            (4, f"// {tag}(MIT OR\n//   (ISC\n// AND Zlib))\n// AND Apache-2.0"), (5, f"{tag}(MIT OR\n\n"),
+            (6, f"{tag}MIT OR\nISC"), (7, f"/* {tag}(MIT\n */ OR ISC)"), (8, f"{tag}({two}) and ({two}) or {two} and q"),
+            (9, f"{tag}a or (b or c) with d and e")]
+    got = {r.doc_id: r for r in licenses.scan(documents(docs)).collect()}
+    assert set(got[1].labels.split(",")) == set(names[:14])
+    assert got[1].expressions == [" & ".join(f"({a} | {b})" for a, b in zip(names[:14:2], names[1:14:2], strict=True))]
+    assert set(got[2].labels.split(",")) == set(names) and got[2].expressions == [" | ".join(names)]
+    assert set(got[3].labels.split(",")) == {*names, "x"} and got[3].expressions == [" & ".join(names) + " | x with y"]
+    assert got[4].labels == "isc,mit,zlib" and got[4].expressions == ["isc & zlib | mit"]
+    assert got[5].expressions == [] and got[6].expressions == ["mit"] and got[7].expressions == []
+    factored = got[1].expressions[0]
+    assert got[8].expressions == [f"{factored} | {factored} & q"]
+    assert got[9].expressions == ["a | b | c"]
+    assert len(licenses.read_expression(two)) == 128
