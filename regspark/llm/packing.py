@@ -19,6 +19,7 @@ gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
@@ -36,14 +37,23 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "offset long, tier int, sequence_tokens int, step_group long")
 
 
-def byte_pair_encoding(path: str):
-    """The byte-pair vocabulary at ``path`` (ranks); control strings are plain text."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that the tokenizer file at ``path`` adds to its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that depend on what surrounds them")
+    return {t["content"]: t["id"] for t in added}
+
+
+def byte_pair_encoding(path: str, added: dict[str, int]):
+    """The byte-pair vocabulary at ``path`` (ranks), and strings that have ids of their own."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={})
+                             special_tokens=added)
 
 
 class _Packer:
@@ -158,10 +168,12 @@ def step_groups(sequences, tokens: int):
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
-         end_id: int = 1, tiers: tuple[int, ...] = TIERS, least_cut: int = 16, step_tokens: int = 1 << 16,
-         block_tokens: int = 1 << 20) -> DataFrame:
+         added: dict[str, int] | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, least_cut: int = 16,
+         step_tokens: int = 1 << 16, block_tokens: int = 1 << 20) -> DataFrame:
     """One row per piece of a document in a packed sequence.
 
+    Strings of ``added`` in a text are encoded as the id given there: those of
+    ``byte_bpe_50k.json``, unless others are given; with ``{}`` they are plain text.
     ``tiers`` are window sizes, powers of two in rising order. A gap of under
     ``least_cut`` tokens in a longest window is padded; all other windows are
     full. ``block_tokens`` bounds the ids a task holds, ``step_tokens`` is the
@@ -171,12 +183,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
     if not tiers or list(tiers) != sorted(set(tiers)) or any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("tiers must be rising powers of two")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if added is None else added
 
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        encoding = byte_pair_encoding(ranks)
+        encoding, strings = byte_pair_encoding(ranks, added), set(added)
         packer, names, sizes = _Packer(tiers, least_cut), {}, {}
         made = groups = doc = held = 0
 
@@ -205,7 +218,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
         done = []
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end_id], np.uint32)
+                found = encoding.encode(text.as_py() or "", allowed_special=strings, disallowed_special=())
+                ids = np.array([*found, end_id], np.uint32)
                 names[doc], sizes[doc] = name, len(ids)
                 packer.add(doc, ids, done)
                 doc, held = doc + 1, held + len(ids)

@@ -70,3 +70,20 @@ def test_empty_table_and_bad_tiers(documents):
     assert packing.pack(documents(ODD).limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(documents(ODD), tiers=(300, 2048))
+
+
+def test_added_tokens_in_texts_are_those_of_the_tokenizer(documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [(1, "end of one <|endoftext|> next"), (2, "<|endoftext|>"), (3, "a\n <|endoftext|><|endoftext|>\n  b <|endoftext"),
+            (4, "none"), (5, None)]
+    rows = packing.pack(documents(docs)).collect()
+    for name, text in docs:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = [r for r in rows if r.doc_id == name]
+        assert sum(r.length for r in mine) == len(ids) and {r.doc_tokens for r in mine} == {len(ids)}
+        for r in mine:
+            assert zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32
+    plain = {r.doc_id: r.doc_tokens for r in packing.pack(documents(docs), added={}).collect()}
+    assert plain[1] == len(ids_of(docs[0][1])) == 12
