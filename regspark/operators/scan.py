@@ -21,12 +21,14 @@ from regspark.session import cut_lineage
 @dataclass(frozen=True)
 class Rule:
     """A pattern with one group for the secret. Keywords, if any, must occur in
-    the text (lower-cased) before the pattern is tried."""
+    the text (lower-cased) before the pattern is tried. ``most_lines`` is the
+    greatest number of lines a match can span (None: without bound)."""
 
     rule_id: str
     regex: str
     keywords: Sequence[str] = field(default_factory=tuple)
     min_entropy: float | None = None
+    most_lines: int | None = None
 
 
 def fragment_hash(c: Column) -> Column:
@@ -36,17 +38,28 @@ def fragment_hash(c: Column) -> Column:
 
 
 def fragments(df: DataFrame, layer: str = "layer", file: str = "file", text: str = "text",
-              size: str | None = None, unit: str = "line", lines: int = 200, overlap: int = 40) -> DataFrame:
+              size: str | None = None, unit: str = "line", lines: int = 200, overlap: int | None = None,
+              rules: Sequence[Rule] = ()) -> DataFrame:
     """Files to fragments in order; empty ones are skipped.
 
     One per line, one per file (``unit="file"``), or chunks of ``lines`` lines
     (``unit="chunk"``), each running ``overlap`` lines into the next, so that a
-    match of at most that many lines is whole in the chunk it begins in.
+    match of at most that many lines is whole in the chunk it begins in. Without
+    ``overlap``, it is the most lines a match of ``rules`` can span, and chunks
+    are at least twice as long; if a rule has no bound, or no rules are given,
+    files stay whole, so that no match is lost.
     ``own_lines`` is the number of lines a chunk answers for (null: all).
     """
+    if unit == "chunk" and overlap is None:
+        spans = [r.most_lines for r in rules]
+        if spans and None not in spans:
+            overlap = max(spans)
+            lines = max(lines, 2 * overlap)
+        else:
+            unit = "file"
     length = F.col(size) if size else F.octet_length(text)
     split = F.split(F.col(text), "\n")
-    step = lines - overlap
+    step = lines - (overlap or 0)
     if unit == "line":
         body = split
     elif unit == "file":

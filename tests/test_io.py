@@ -118,6 +118,21 @@ def test_a_finding_has_the_line_of_its_own_match(spark):
             assert sorted(map(tuple, mine)) == want, (lines, overlap)
 
 
+def test_long_matches_are_whole_in_chunks(spark):
+    lines = [f"line {i}" for i in range(1, 301)]
+    lines[154:205] = ["-----BEGIN KEY-----", *(f"k{i}" for i in range(49)), "-----END KEY-----"]
+    files = spark.createDataFrame([("l", "f", "\n".join(lines))], "layer string, file string, text string")
+    regex = r"(-----BEGIN KEY-----[\s\S]*?-----END KEY-----)"
+    for most, parts in ((None, 1), (51, 2), (120, 2)):
+        rules = [C.Rule("key", regex, most_lines=most), C.Rule("line", r"(line 29[0-9])", most_lines=1)]
+        cut = C.fragments(files, unit="chunk", rules=rules)
+        assert cut.count() == parts
+        found = [(r.origin, r.start_line) for r in C.secret_findings(cut, rules).collect()]
+        assert sorted(found) == [("key", 155), *(("line", i) for i in range(290, 300))]
+    [hit] = C.secret_findings(C.fragments(files, unit="chunk"), [C.Rule("key", regex)]).collect()
+    assert hit.start_line == 155 and hit.secret == "\n".join(lines[154:205])
+
+
 @pytest.mark.parametrize("text, bits", [("", 0.0), ("aaaa", 0.0), ("abab", 1.0), ("abcd", 2.0)])
 def test_entropy(spark, text, bits):
     df = spark.createDataFrame([(text,)], "t string")
