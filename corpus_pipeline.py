@@ -47,7 +47,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     ``n_chars`` follows the masked text; a null text stays null.
     """
-    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("_spans")))
+    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), pii.merged(F.col("_spans"))))
     found = pii.find(docs, into="_spans").withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long"))

@@ -143,7 +143,8 @@ def of_kind(spans: Column, *names: str) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets.
 
-    Of spans that overlap, the one that starts first stands, then the longest.
+    Of spans that overlap, the one that starts first stands, then the longest;
+    ``merged`` spans don't overlap, so no part of any stays.
     """
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(
         x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
@@ -156,6 +157,22 @@ def masked(text: Column, spans: Column) -> Column:
         F.array_join(done["out"], ""), F.substr(text, done["at"] + 1))).otherwise(text)
 
 
+def merged(spans: Column) -> Column:
+    """Spans in order of start; those that overlap as one, of the kind of the first, then the longest."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(
+        x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
+
+    def step(out, x):
+        last = F.get(out, F.size(out) - 1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], -x["end"]).alias("end"),
+                         last["kind"].alias("kind"))
+        own = F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))
+        return F.when(x["start"] < last["end"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(wider))) \
+            .otherwise(F.concat(out, F.array(own)))
+
+    return F.aggregate(ordered, F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)"), step)
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of all spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(

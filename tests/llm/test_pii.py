@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from regspark.llm import pii
 
@@ -77,3 +78,9 @@ def test_masking_covers_every_span(documents):
 
 def test_empty_table(documents):
     assert pii.find(documents(ODD).limit(0), into="found").count() == 0
+
+
+def test_overlapping_spans_are_masked_whole(spark, documents):
+    docs = [(1, "at +1 (555) 123-4567.jane@corp.com now"), (2, "x 4111 1111 1111 1111@corp.com, +1 098 555 0174"), (3, None)]
+    masked = corpus_pipeline.mask_personal(spark, documents(docs), "")
+    assert {r.doc_id: r.text for r in masked.collect()} == {1: "at [PHONE] now", 2: "x [CARD], [PHONE]", 3: None}
