@@ -8,16 +8,19 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
+import public_tokenizers
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.llm import (
-    chat, fingerprint, langid, licenses, mainhtml, ngramjoin, packing, pii, toxicity, wumanber,
+    bpe, chat, fingerprint, infill, langid, licenses, mainhtml, merkle, ngramjoin, packing, pii, toxicity, wumanber,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -176,3 +179,97 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
 @query("op5_ngram_jaccard_join", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.components(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+             CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, substring(t, 1, least(x, y)) AS prefix,
+             substring(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle,
+             substring(t, greatest(x, y) + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transform(table(spark, folder, "documents"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"),
+                       F.col("middle_units").alias("middle_chars"),
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def _op12_sql(levels: int = 5) -> str:
+    """Levels one by one, each of the groups first and then of the sources: a
+    level is there where it has more than one node, else it is the level before."""
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def climb(name: str, key: str, order: str, first: str) -> str:
+        parts = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            parts.append(f"""{name}s{k} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS m FROM {name}{k}),
+{name}{k + 1} AS (SELECT {key}, CASE WHEN m > 1 THEN i // 16 ELSE i END AS i,
+    CASE WHEN m > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE any_value(node) END AS node
+    FROM {name}s{k} GROUP BY {key}, m, CASE WHEN m > 1 THEN i // 16 ELSE i END)""")
+        return ",\n".join(parts)
+
+    def fold(name: str, out: str, key: str, source: str) -> str:
+        parts, before = [], source
+        for k in range(levels):
+            parts.append(f"""{out}{k} AS (SELECT b.row, b.{key}, b.i // 16 AS i,
+    b.proof || coalesce(string_agg(s.node, '' ORDER BY s.i) FILTER (s.m > 1 AND s.i <> b.i), '') AS proof,
+    CASE WHEN any_value(s.m) > 1 THEN sha256(string_agg(CASE WHEN s.i = b.i THEN b.folded ELSE s.node END, '' ORDER BY s.i))
+         ELSE any_value(b.folded) END AS folded
+    FROM {before} b JOIN {name}s{k} s ON s.{key} IS NOT DISTINCT FROM b.{key} AND s.i // 16 = b.i // 16
+    GROUP BY b.row, b.{key}, b.i, b.proof)""")
+            before = f"{out}{k}"
+        return ",\n".join(parts)
+
+    plain = " || ".join(map(field, merkle.FIELDS))
+    lower = plain.replace("text", f"translate(text, '{UPPER}', '{UPPER.lower()}')")
+    return f"""
+WITH crctable AS MATERIALIZED (SELECT list(v ORDER BY r) AS t FROM (
+    SELECT r, list_reduce(list_prepend(r, range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v
+    FROM range(256) AS x(r))),
+d AS (SELECT row_number() OVER () AS row, doc_id, source, sha256({plain}) AS leaf, sha256({lower}) AS lowered,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda v, c: xor(v // 256, crctable.t[(xor(v, c) & 255) + 1])), 4294967295) % 5 = 0 AS changed
+    FROM documents, crctable),
+{climb("g", "source", "", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS node, row FROM d")},
+top AS (SELECT source, node FROM g{levels}),
+{climb("t", "one", "", "SELECT 1 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, node, source FROM top")},
+begin AS (SELECT g0.row, g0.source, g0.i, '' AS proof, CASE WHEN d.changed THEN lowered ELSE leaf END AS folded
+    FROM g0 JOIN d USING (row)),
+{fold("g", "f", "source", "begin")},
+again AS (SELECT f.row, 1 AS one, t0.i, f.proof, f.folded FROM f{levels - 1} f JOIN t0 ON t0.source IS NOT DISTINCT FROM f.source),
+{fold("t", "u", "one", "again")}
+SELECT doc_id, leaf, top.node AS subroot, r.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = r.node AS verified
+FROM d JOIN u{levels - 1} u USING (row) JOIN top ON top.source IS NOT DISTINCT FROM d.source, t{levels} r
+"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(
+        table(spark, folder, "documents"), where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+        tampered={"text": F.translate("text", UPPER, UPPER.lower())})
+
+
+@query("op13_byte_pair_encoding")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Both directions: the digest of the texts is taken from what the ids decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents"), path=path), path=path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
