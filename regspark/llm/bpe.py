@@ -6,7 +6,8 @@ every inner node the lower of its two children, and the root therefore names the
 leftmost pair of lowest rank. Merging it changes the pairs on its two sides and
 removes one, which are point updates along the path to the root. This goes on
 until the root says that no pair can be merged, so a piece of n bytes costs
-n log n, however long it is.
+n log n, however long it is. Short pieces not met before are worked out together,
+each with a tree of its own in a row of one array.
 
 Strings the tokenizer file adds to its vocabulary are found first and have ids
 of their own. Pieces met before are looked up; what a task remembers is bounded.
@@ -23,9 +24,11 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -38,9 +41,12 @@ SCHEMA = "doc_id long, n_tokens long, ids binary"
 #: Output bytes after which a task sends its rows on.
 BLOCK_BYTES = 1 << 23
 
-#: Pieces a worker remembers, and the longest of them in characters.
+#: Pieces a worker remembers (beside those of one block), and the longest in bytes.
 REMEMBERED, LONGEST = 1 << 19, 64
 
+#: Characters of text whose pieces are worked out together.
+BLOCK_CHARS = 1 << 20
+
 #: A pair that cannot be merged: after every rank.
 NEVER = 1 << 62
 _PLACE = 36  # bits of a leaf that hold the place of its pair
@@ -114,6 +120,61 @@ def merge_all(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]
     return [x for x in ids if x >= 0]
 
 
+class Forest:
+    """Merges of many short pieces at once: one tree a row, one merge a row a step."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int], made: list[int]):
+        self.base = 1 + max(chain((0,), made, *ranks))  # above every id
+        keys = np.array([a * self.base + b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        # A last key that no pair has keeps every search inside the array.
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.ranks = np.append(np.array(list(ranks.values()), np.int64)[order], NEVER)
+        self.made = np.array(made, np.int64)
+
+    def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = np.where((left < 0) | (right < 0), -1, left * self.base + right)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER) | place
+
+    def merge(self, pieces: Sequence[Sequence[int]]) -> list[bytes]:
+        """Encoded ids of pieces, each given as its first ids."""
+        lengths = np.array([len(p) for p in pieces])
+        size = 1 << max(1, int(lengths.max()) - 1).bit_length()
+        rows, width = len(pieces), size + 2  # two columns stay -1: beyond either end
+        ids = np.full((rows, width), -1, np.int64)
+        ids[np.arange(width) < lengths[:, None]] = np.concatenate([np.asarray(p, np.int64) for p in pieces])
+        places = np.arange(size)
+        nodes = np.full((rows, 2 * size), NEVER, np.int64)
+        nodes[:, size:] = self._leaf(ids[:, :size], ids[:, 1:size + 1], places)
+        level = size
+        while level > 1:
+            level //= 2
+            nodes[:, level:2 * level] = np.minimum(nodes[:, 2 * level:4 * level:2], nodes[:, 2 * level + 1:4 * level:2])
+        after = np.tile(np.minimum(np.arange(1, width + 1), size), (rows, 1))
+        before = np.tile(np.arange(-1, width - 1), (rows, 1))
+        flat = nodes.reshape(-1)
+        while len(row := np.flatnonzero(nodes[:, 1] < NEVER)):
+            least = nodes[row, 1]
+            i, new = least & _PLACES, self.made[least >> _PLACE]
+            gone = after[row, i]
+            follows, h = after[row, gone], before[row, i]
+            ids[row, i], ids[row, gone] = new, -1
+            after[row, i], before[row, follows] = follows, i
+            here = self._leaf(new, ids[row, follows], i)
+            there = np.where(h < 0, here, self._leaf(ids[row, h], new, h & _PLACES))
+            tree = np.tile(row * (2 * size), 3)
+            k = np.concatenate([gone, i, np.where(h < 0, i, h)]) + size
+            flat[tree + k] = np.concatenate([NEVER | gone, here, there])
+            while k[0] > 1:
+                k >>= 1
+                child = tree + 2 * k
+                flat[tree + k] = np.minimum(flat[child], flat[child + 1])
+        kept = ids >= 0
+        raw, ends = ids[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(1))
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary.
 
@@ -125,6 +186,11 @@ def byte_characters() -> list[str]:
     return [chr(b if b in shown else next(other)) for b in range(256)]
 
 
+@lru_cache(maxsize=1 << 16)
+def _unassigned(c: str) -> bool:
+    return unicodedata.category(c) == "Cn"
+
+
 class _Pieces(dict):
     """Encoded ids, as bytes, of pieces met before; works others out."""
 
@@ -133,12 +199,7 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
+        return self.encode(piece)
 
 
 class BytePairs:
@@ -164,6 +225,7 @@ class BytePairs:
             regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces = _Pieces(self._piece)
+        self.forest = Forest(self.ranks, self.made)
         self.path = path
         self.own = None
 
@@ -186,7 +248,7 @@ class BytePairs:
         Which characters are letters or digits depends on the Unicode version. Texts
         with characters that Python's does not know are cut by the library itself.
         """
-        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if text.isascii() or not any(map(_unassigned, set(text))):
             return self.pattern.findall(text)
         if self.own is None:
             from tokenizers import Tokenizer
@@ -194,13 +256,35 @@ class BytePairs:
             self.own = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[start:end] for _, (start, end) in self.own.pre_tokenize_str(text)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Remembers the ids of pieces not met before, those of like length together."""
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        classes: dict[int, list[tuple[str, list[int]]]] = {}
+        for piece in {p for p in pieces if p not in self.pieces}:
+            raw = piece.encode("utf-8", "surrogatepass")
+            if len(raw) <= LONGEST:
+                classes.setdefault((len(raw) - 1).bit_length(), []).append((piece, [self.bytes[b] for b in raw]))
+        for members in classes.values():
+            names, ids = zip(*members, strict=True)
+            self.pieces.update(zip(names, self.forest.merge(ids), strict=True))
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = []  # of each text: runs of pieces, and ids of added tokens between them
+        for text in texts:
+            if self.split_added is None or not self.split_added.search(text):
+                parts.append([self._split(text)])
+            else:
+                parts.append([self.added[part] if i % 2 else self._split(part)
+                              for i, part in enumerate(self.split_added.split(text))])
+        self._learn(chain.from_iterable(run for part in parts for run in part if isinstance(run, list)))
         known = self.pieces.__getitem__
-        if self.split_added is None or not self.split_added.search(text):
-            return b"".join(map(known, self._split(text)))
-        return b"".join([self.added[part] if i % 2 else b"".join(map(known, self._split(part)))
-                         for i, part in enumerate(self.split_added.split(text))])
+        return [b"".join([b"".join(map(known, run)) if isinstance(run, list) else run for run in part])
+                for part in parts]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         token = self.tokens.get
@@ -220,22 +304,24 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        tokenizer, rows, held = byte_pairs(path), [], 0
+        tokenizer = byte_pairs(path)
 
-        def sent():
-            names, ids = zip(*rows, strict=True) if rows else ((), ())
+        def sent(names, texts):
+            ids = tokenizer.encode_all(texts)
             return pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()),
                  pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
+        names, texts, chars = [], [], 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append((name, tokenizer.encode(text.as_py() or "")))
-                held += len(rows[-1][1])
-                if held >= BLOCK_BYTES:
-                    yield sent()
-                    rows, held = [], 0
-        yield sent()
+                names.append(name)
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= BLOCK_CHARS:
+                    yield sent(names, texts)
+                    names, texts, chars = [], [], 0
+        yield sent(names, texts)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(run, SCHEMA)

@@ -40,7 +40,17 @@ def test_merges_equal_the_naive_ones(pairs):
     for n in [0, 1, 2, 3, 5, 17, 64, 65, 300]:
         for letters in ("ab", "aeiourstln ", "".join(map(chr, range(256)))):
             ids = [pairs.bytes[b] for b in "".join(rnd.choice(letters) for _ in range(n)).encode("latin-1")]
-            assert list(bpe.merge_all(list(ids), pairs.ranks, pairs.made)) == naive(ids, pairs.ranks, pairs.made)
+            expected = naive(ids, pairs.ranks, pairs.made)
+            assert list(bpe.merge_all(list(ids), pairs.ranks, pairs.made)) == expected
+            if n:
+                assert pairs.forest.merge([ids, ids[:1], ids[:n // 2 + 1]])[0] == np.array(expected, "<u4").tobytes()
+
+
+def test_many_trees_at_once_equal_one_each(pairs):
+    rnd = random.Random(8)
+    pieces = [[pairs.bytes[rnd.choice(b" etaoinshr'.19")] for _ in range(rnd.randrange(1, 40))] for _ in range(2000)]
+    expected = [np.array(bpe.merge_all(list(p), pairs.ranks, pairs.made), "<u4").tobytes() for p in pieces]
+    assert pairs.forest.merge(pieces) == expected
 
 
 def test_tree_names_the_leftmost_least():
@@ -97,7 +107,7 @@ def test_what_is_remembered_is_bounded(pairs, monkeypatch):
     fresh = bpe.BytePairs(PATH)
     for i in range(500):
         assert fresh.encode(f"word{i} and {i}") == pairs.encode(f"word{i} and {i}")
-        assert len(fresh.pieces) <= 50
+        assert len(fresh.pieces) <= 50 + 6
 
 
 def test_odd_rows_and_clashing_columns(documents, library):
