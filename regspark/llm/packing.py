@@ -11,7 +11,8 @@ Each task packs the rows it reads, block by block, and carries open pieces into
 the next block, so there is no shuffle, a hot source costs what its rows cost,
 and a lost task repeats only itself. Memory: one block of token ids.
 
-Null or empty text is a document of the end id alone. Repeated rows and repeated
+A text of any length, runs of one character included, has the ids it has in the
+tokenizer. Null or empty text is a document of the end id alone. Repeated rows and repeated
 or null ids are packed as they come; other columns are ignored. An empty table
 gives no rows.
 """
@@ -24,6 +25,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +58,20 @@ def byte_pair_encoding(path: str, added: dict[str, int]):
                              special_tokens=added)
 
 
+def token_ids(encoding, added: dict[str, int], text: str) -> list[int]:
+    """Ids of a text. One with a run of blanks too long for the encoder's own
+    pattern matcher is cut by the same pattern here and encoded piece by piece."""
+    try:
+        return encoding.encode(text, allowed_special=set(added), disallowed_special=())
+    except ValueError:
+        import regex
+
+        parts = regex.split("(" + "|".join(map(regex.escape, added)) + ")", text) if added else [text]
+        pieces = regex.compile(public_tokenizers.PATTERN).findall
+        return [i for k, part in enumerate(parts) for i in (
+            [added[part]] if k % 2 else chain.from_iterable(map(encoding._encode_single_piece, pieces(part))))]
+
+
 class _Packer:
     """Packs the pieces of one task; ``done`` gets (tier, [pieces]) per window."""
 
@@ -189,7 +205,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        encoding, strings = byte_pair_encoding(ranks, added), set(added)
+        encoding = byte_pair_encoding(ranks, added)
         packer, names, sizes = _Packer(tiers, least_cut), {}, {}
         made = groups = doc = held = 0
 
@@ -218,8 +234,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
         done = []
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encoding.encode(text.as_py() or "", allowed_special=strings, disallowed_special=())
-                ids = np.array([*found, end_id], np.uint32)
+                ids = np.array([*token_ids(encoding, added, text.as_py() or ""), end_id], np.uint32)
                 names[doc], sizes[doc] = name, len(ids)
                 packer.add(doc, ids, done)
                 doc, held = doc + 1, held + len(ids)

@@ -87,3 +87,17 @@ def test_added_tokens_in_texts_are_those_of_the_tokenizer(documents):
             assert zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32
     plain = {r.doc_id: r.doc_tokens for r in packing.pack(documents(docs), added={}).collect()}
     assert plain[1] == len(ids_of(docs[0][1])) == 12
+
+
+@pytest.mark.parametrize("text", [
+    " " * 1_000_000 + "a", "\n" * 2_000_000 + "end", "a" + "\t " * 600_000 + "<|endoftext|>" + " " * 1_200_000 + "b", " " * 1_500_000],
+    ids=["blanks", "lines", "mixed", "only"])
+def test_runs_of_blanks_of_any_length_have_the_ids_of_the_tokenizer(documents, text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    rows = packing.pack(documents([(1, text), (2, "next")])).where("doc_id = 1").orderBy("start").collect()
+    assert sum(r.length for r in rows) == len(ids) == rows[0].doc_tokens
+    for r in rows:
+        assert zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32
