@@ -1,6 +1,8 @@
 """Secret scanning over extracted layer files, one finding per distinct fragment.
 
-Rules are a short list the caller supplies. However many layers, files or
+Rules are a list the caller supplies, of any length if they have keywords: the
+text is searched for all keywords at once, and only the rules whose keyword it
+holds are tried. However many layers, files or
 copies hold a fragment, its findings are reported once and return to the
 layers through the fragment hash.
 """
@@ -104,44 +106,111 @@ def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _rule_hits(text: Column, rule: Rule) -> Column:
-    """Matches with the 1-based line the secret begins on. The text between the
-    matches tells the place of each, so equal secrets keep lines of their own."""
-    pattern = F.lit(rule.regex)
-    gaps = F.split(text, rule.regex, -1)
-    secrets = F.regexp_extract_all(text, pattern, F.lit(1))
-
-    def place(whole: Column, i: Column) -> Column:
-        secret = F.get(secrets, i)
-        lead = F.substr(whole, F.lit(1), F.greatest(F.position(secret, whole) - 1, F.lit(0)))
-        return F.struct(_breaks(F.get(gaps, i)).alias("gap"), _breaks(whole).alias("inside"),
-                        _breaks(lead).alias("lead"), secret.alias("secret"))
-
-    placed = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), place)
-    start = F.struct(F.lit(1).alias("line"),
-                     F.array().cast("array<struct<origin:string,secret:string,line:int>>").alias("out"))
-    found = F.aggregate(placed, start, lambda s, m: F.struct(
-        (s["line"] + m["gap"] + m["inside"]).alias("line"),
-        F.concat(s["out"], F.array(F.struct(
-            F.lit(rule.rule_id).alias("origin"), m["secret"].alias("secret"),
-            (s["line"] + m["gap"] + m["lead"]).alias("line")))).alias("out")))["out"]
-    named = found if rule.min_entropy is None else F.filter(
-        found, lambda h: finding_entropy(h["secret"]) >= F.lit(rule.min_entropy))
-    if not rule.keywords:
-        return named
-    low = F.lower(text)
-    keyed = F.contains(low, F.lit(rule.keywords[0].lower()))
-    for word in rule.keywords[1:]:
-        keyed = keyed | F.contains(low, F.lit(word.lower()))
-    return F.when(keyed, named).otherwise(F.array().cast("array<struct<origin:string,secret:string,line:int>>"))
+_HITS = "array<struct<origin:string,secret:string,line:int>>"
+
+# Put before each match to count the matches of a line by its added length.
+_MARK = "\ue000"
+
+
+def _match_lines(text: Column, pattern: Column) -> Column:
+    """1-based line each match begins on, in order, in one pass over the lines."""
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(_MARK + "$0")), "\n", -1)
+    counts = F.zip_with(marked, F.split(text, "\n", -1), lambda m, t: F.length(m) - F.length(t))
+    return F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i + 1, n)))
+
+
+def _rule_hits(text: Column, rule: Column) -> Column:
+    """Matches of a rule, given as a struct, with the line the secret begins on.
+
+    The arrays of matches, secrets and lines are made once each and walked
+    together, so the cost grows with the text and not with text times matches.
+    """
+    pattern = rule["regex"]
+    secrets = F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(1)),
+        lambda whole, secret: F.struct(secret.alias("secret"), _breaks(F.substr(
+            whole, F.lit(1), F.greatest(F.position(secret, whole) - 1, F.lit(0)))).alias("lead")))
+    found = F.zip_with(secrets, _match_lines(text, pattern), lambda m, line: F.struct(
+        rule["rule_id"].alias("origin"), m["secret"].alias("secret"), (line + m["lead"]).alias("line")))
+    least = rule["min_entropy"]
+    strong = F.filter(found, lambda h: least.isNull() | (finding_entropy(h["secret"]) >= least))
+    return F.when(F.regexp_like(text, pattern), strong).otherwise(F.array().cast(_HITS))
+
+
+def _as_struct(rule: Rule) -> Column:
+    return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.regex).alias("regex"),
+                    F.lit(rule.min_entropy).cast("double").alias("min_entropy"))
+
+
+def _quoted(c: str) -> str:
+    return c if c.isalnum() or not c.isascii() else "\\" + c
+
+
+def _prefix_pattern(words: Sequence[str]) -> str:
+    """A pattern for the longest of ``words`` at a place, branching letter by
+    letter, so that its cost does not grow with their number."""
+    if list(words) == [""]:
+        return ""
+    branches: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            branches.setdefault(w[0], []).append(w[1:])
+    parts = [_quoted(c) + _prefix_pattern(rest)
+             for c, rest in sorted(branches.items())]
+    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
+
+
+def keyword_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    """Numbers of the rules, ascending, of which a keyword stands in the text.
+
+    One pattern finds the longest keyword at every place; keywords it begins with
+    stand there too, and keywords inside it are found at places of their own.
+    """
+    owners: dict[str, set[int]] = {}
+    for number, rule in enumerate(rules):
+        for word in rule.keywords:
+            owners.setdefault(word.lower(), set()).add(number)
+    index = F.create_map(*(x for word in owners for x in (
+        F.lit(word), F.array(*(F.lit(n) for n in sorted(set().union(
+            *(held for begin, held in owners.items() if word.startswith(begin)))))))))
+    # Most places fail on the letters that keywords begin with, before any branch.
+    begins = "".join(f"[{''.join(_quoted(c) for c in sorted(set(letters)))}]"
+                     for letters in list(zip(*owners, strict=False))[:4])
+    places = F.lit(f"(?={begins})(?=({_prefix_pattern(sorted(owners))}))")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), places, F.lit(1)))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.element_at(index, w)))))
+
+
+def candidates(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(layer, file, fragment_no, rule_id) of every pattern a scan tries."""
+    keyed, always = [r for r in rules if r.keywords], [r.rule_id for r in rules if not r.keywords]
+    names = F.array(*map(F.lit, always)).cast("array<string>")
+    if keyed:
+        table = F.array(*(F.lit(r.rule_id) for r in keyed))
+        names = F.concat(names, F.transform(keyword_rules(F.col("raw"), keyed), lambda k: F.get(table, k)))
+    return frags.select("layer", "file", "fragment_no", F.explode(names).alias("rule_id"))
+
+
+def _hits(text: Column, rules: Sequence[Rule]) -> Column:
+    """Matches of all rules. Rules with keywords are looked up by those that stand
+    in the text, so however many there are, only theirs are tried."""
+    found = [_rule_hits(text, _as_struct(r)) for r in rules if not r.keywords]
+    keyed = [r for r in rules if r.keywords]
+    if keyed:
+        table = F.array(*map(_as_struct, keyed))
+        chosen = F.transform(keyword_rules(text, keyed), lambda k: F.get(table, k))
+        found.append(F.flatten(F.transform(chosen, lambda rule: _rule_hits(text, rule))))
+    return F.concat(*found) if found else F.array().cast(_HITS)
 
 
 def _matched(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Fragments with a match. A chunk's matches in lines it does not answer for
     are the next chunk's; chunks of equal text but different ends stay apart."""
-    hits = F.concat(*(_rule_hits(F.col("raw"), r) for r in rules))
+    hits = _hits(F.col("raw"), rules)
     own = F.coalesce("own_lines", F.lit(2**31 - 1))
-    return frags.withColumn("_hits", F.filter(hits, lambda h: h["line"] <= own)).filter(F.size("_hits") > 0).withColumn(
+    # Computed by a generator, since a filter would be moved below and compute the matches again.
+    once = F.explode(F.array(F.filter(hits, lambda h: h["line"] <= own)))
+    return frags.select("*", once.alias("_hits")).filter(F.size("_hits") > 0).withColumn(
         "digest", F.concat_ws("-", "digest", F.col("own_lines").cast("string")))
 
 
@@ -188,27 +257,92 @@ def layer_secret_list(found: DataFrame) -> DataFrame:
 # Decoded text counts only if it is readable.
 _PRINTABLE = r"^[\t\n\r -~]+$"
 
+_LETTER = "[A-Za-z0-9+/]"
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def decode_spans(frags: DataFrame, rounds: int = 3, least_token: int = 16, readable: str = _PRINTABLE) -> DataFrame:
+    """Fragments, and one row for every base64 token in them and in what tokens
+    decode to, up to ``rounds`` levels deep.
+
+    ``raw`` is the text or what the token decodes to, ``round`` its depth. The
+    columns of the fragment stay those of the original, ``spans`` are the token's
+    (start, end) in its parent, from the original inwards (code points, end
+    exclusive), and ``line`` is the original's line that the outermost token is
+    on. Tokens shorter than ``least_token`` are not decoded; decoded text that does
+    not match ``readable`` is dropped.
+    """
+    token = F.lit(f"{_LETTER}{{{least_token},}}={{0,2}}")
+    # The first letter of each token is masked, so its place is where texts differ.
+    first = F.lit(f"(?<!{_LETTER}){_LETTER}(?={_LETTER}{{{least_token - 1},}})")
+
+    def tokens(text: Column) -> Column:
+        masked = F.split(F.regexp_replace(text, first, F.lit(_MARK)), "")
+        differs = F.zip_with(masked, F.split(text, ""), lambda m, t: m != t)
+        starts = F.filter(F.transform(differs, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+        lines = F.flatten(F.transform(F.split(text, "\n", -1), lambda t, i: F.array_repeat(
+            i + 1, F.size(F.regexp_extract_all(t, token, F.lit(0))))))
+        placed = F.zip_with(starts, lines, lambda at, line: F.struct(at.alias("start"), line.alias("line")))
+        whole = F.zip_with(placed, F.regexp_extract_all(text, token, F.lit(0)), lambda p, t: F.struct(
+            F.struct(p["start"].alias("start"), (p["start"] + F.length(t)).alias("end")).alias("span"),
+            p["line"].alias("line"), F.try_to_binary(t, F.lit("base64")).cast("string").alias("raw")))
+        return F.when(F.regexp_like(text, token), F.filter(
+            whole, lambda t: t["raw"].isNotNull() & t["raw"].rlike(readable)))
+
+    kept = [c for c in frags.columns if c not in ("raw", "round", "spans", "line")]
+    level = frags.select(*kept, "raw", F.lit(0).alias("round"), F.array().cast(_SPANS).alias("spans"),
+                         F.lit(None).cast("int").alias("line"))
+    out = level
+    for r in range(1, rounds + 1):
+        level = level.select(*kept, "spans", "line", F.explode(tokens(F.col("raw"))).alias("_t")).select(
+            *kept, F.col("_t.raw").alias("raw"), F.lit(r).alias("round"),
+            F.concat("spans", F.array("_t.span")).alias("spans"), F.coalesce("line", "_t.line").alias("line"))
+        out = out.unionByName(level)
+    return out
+
+
+def decoded_findings(frags: DataFrame, rules: Sequence[Rule], rounds: int = 3, least_token: int = 16,
+                     readable: str = _PRINTABLE) -> DataFrame:
+    """Rule matches in each distinct fragment and in all that its tokens decode to.
+
+    Every match is reported once, under the original fragment and the line its
+    outermost token is on, with the ``round`` it was found in and the ``spans``
+    that lead to it. Copies of a fragment have the same matches; they are described
+    at the first place by (layer, file, number).
+    """
+    own = F.coalesce("own_lines", F.lit(2**31 - 1))
+    hits = decode_spans(frags, rounds, least_token, readable).select(
+        "digest", "own_lines", "round", "spans", "line",
+        F.struct("layer", "file", "fragment_no", "fragment_hash", "file_size", "start_line").alias("place"),
+        F.posexplode(_hits(F.col("raw"), rules)).alias("number", "hit"))
+    # A span in the original is found with the line it is on; deeper lines are not the original's.
+    placed = hits.withColumn("line", F.coalesce("line", "hit.line")).where(F.col("line") <= own)
+    once = placed.groupBy("digest", "own_lines", "round", "spans", "number", "line", "hit.origin", "hit.secret").agg(
+        F.min("place").alias("place"))
+    return once.select(
+        "place.fragment_hash", "place.file", P.file_ext(F.col("place.file")).alias("file_type"), "place.file_size",
+        "origin", "secret", (F.col("place.start_line") + F.col("line") - 1).alias("start_line"), "round", "spans")
+
 
 def decode_pass(frags: DataFrame, rounds: int = 3, least_token: int = 16, readable: str = _PRINTABLE) -> DataFrame:
-    """Fragments plus what their base64 tokens decode to, up to ``rounds``
-    levels deep; ``round`` 0 is the fragment itself. Decoded tokens of one
-    fragment form one new fragment, a token per line. Tokens shorter than
-    ``least_token`` are not decoded; decoded text that does not match
-    ``readable`` is dropped."""
-    token = f"([A-Za-z0-9+/]{{{least_token},}}={{0,2}})"
+    """Fragments plus what their tokens decode to, up to ``rounds`` levels deep;
+    ``round`` 0 is the fragment itself. The decoded tokens of one fragment form
+    one new fragment, a token per line, with a digest of its own and the
+    ``parent`` digest it came from. ``decoded_findings`` leads findings back to
+    the original instead."""
+    token = f"({_LETTER}{{{least_token},}}={{0,2}})"
 
     def decoded(text: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1))
         plain = F.transform(tokens, lambda t: F.try_to_binary(t, F.lit("base64")).cast("string"))
         return F.concat_ws("\n", F.filter(plain, lambda t: t.isNotNull() & t.rlike(readable)))
 
-    level = frags.withColumn("fragment_hash", fragment_hash(F.col("raw"))).withColumn("round", F.lit(0))
-    levels = [level]
+    level = frags.withColumns({"digest": F.md5("raw"), "fragment_hash": fragment_hash(F.col("raw")),
+                               "round": F.lit(0), "parent": F.lit(None).cast("string")})
+    out = level
     for r in range(1, rounds + 1):
-        level = level.withColumn("raw", decoded(F.col("raw"))).filter(F.col("raw") != "").withColumn(
-            "fragment_hash", fragment_hash(F.col("raw"))).withColumn("round", F.lit(r))
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
+        level = level.withColumns({"raw": decoded(F.col("raw")), "parent": F.col("digest")}).filter(
+            F.col("raw") != "").withColumns({
+                "digest": F.md5("raw"), "fragment_hash": fragment_hash(F.col("raw")), "round": F.lit(r)})
+        out = out.unionByName(level)
     return out

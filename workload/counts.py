@@ -144,7 +144,7 @@ def layer_file_summary(spark, d):
 
     files = V.files(spark, d)
     frags = C.fragments(files)
-    hits = C.layer_secret_list(C.secret_findings(frags, RULES[:1]), frags)
+    hits = C.layer_secret_list(C.scan_distinct(frags, RULES[:1]))
     return A.layer_file_summary(files, hits)
 
 

@@ -129,3 +129,64 @@ def decode_pass(spark, d):
     twice = b64(F.concat(F.lit("wrap "), b64(F.concat(F.lit("token of "), segment, name))))
     rows = V.table(spark, d, "customer").select("c_custkey", F.concat(once, F.lit(" "), twice).alias("raw"))
     return C.decode_pass(rows).select("c_custkey", "round", "raw")
+
+
+# Customers, each a file of one line and one of two, with a secret as it is, encoded, and encoded twice.
+_NESTED_SQL = """
+    src AS (SELECT c_custkey, md5(c_name) AS plain, md5(c_name || 'b') AS once, md5(c_name || 'c') AS twice FROM customer),
+    e AS (SELECT *, to_base64(encode('key=' || once || ' end')) AS b1,
+                 to_base64(encode('wrap ' || to_base64(encode('key=' || twice)))) AS b2 FROM src)"""
+
+
+def nested(spark, d):
+    """Files that hold a plain, an encoded and a twice encoded secret, the last two on a line of their own
+    for every third customer."""
+    def b64(*parts):
+        return F.base64(F.concat(*parts).cast("binary"))
+
+    def key(c):
+        return F.concat(F.lit("key="), F.md5(F.concat("c_name", F.lit(c))))
+
+    once, twice = b64(key("b"), F.lit(" end")), b64(F.lit("wrap "), b64(key("c")))
+    between = F.when(F.col("c_custkey") % 3 == 0, F.lit("\n")).otherwise(F.lit(" "))
+    return V.table(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("layer"), F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit(".cfg")).alias("file"),
+        F.concat(key(""), between, once, F.lit(" "), twice).alias("text"))
+
+
+KEYS = (C.Rule("key-hex32", r"key=([0-9a-f]{32})", ("key=",)),)
+
+
+@query("decoded_findings", f"""
+    WITH {_NESTED_SQL},
+    f AS (SELECT *, 'c/' || c_custkey || '.cfg' AS file, 36 AS p, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS line FROM e)
+    SELECT file, '.cfg' AS file_type, 'key-hex32' AS origin, plain AS secret, 1 AS start_line, 0 AS round, '' AS spans FROM f
+    UNION ALL SELECT file, '.cfg', 'key-hex32', once, line, 1, (p + 1) || '-' || (p + 1 + length(b1)) FROM f
+    UNION ALL SELECT file, '.cfg', 'key-hex32', twice, line, 2,
+        (p + 2 + length(b1)) || '-' || (p + 2 + length(b1) + length(b2)) || ',5-'
+        || (5 + length(to_base64(encode('key=' || twice)))) FROM f""")
+def decoded_findings(spark, d):
+    """Every secret once, under its file and line, however deep it was encoded."""
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return C.decoded_findings(C.fragments(nested(spark, d), unit="file"), KEYS).select(
+        "file", "file_type", "origin", "secret", "start_line", "round", spans.alias("spans"))
+
+
+def many_rules(n: int = 200) -> list[C.Rule]:
+    """A rule for each of ``n`` pairs of syllables that begin a word."""
+    words = [a + b + c + d for a in "bdfghlmnrst" for b in "aei" for c in "dlnrst" for d in "aei"][:n]
+    return [C.Rule(f"word-{w}", rf"(?:^| )({w}[a-z]{{1,8}})\b", (w,)) for w in words]
+
+
+@query("secret_findings_many_rules", f"""
+    WITH lines AS ({LINES_SQL}), first AS ({_FIRST_SQL}),
+    rules AS (SELECT a || b || c || d AS w FROM (SELECT unnest(string_split('bdfghlmnrst', '')) AS a),
+        (SELECT unnest(string_split('aei', '')) AS b), (SELECT unnest(string_split('dlnrst', '')) AS c),
+        (SELECT unnest(string_split('aei', '')) AS d) ORDER BY a, b, c, d LIMIT 200),
+    words AS (SELECT fragment_hash, file, start_line, unnest(string_split(raw, ' ')) AS word FROM first)
+    SELECT fragment_hash, file, start_line, 'word-' || w AS origin, regexp_extract(word, '^[a-z]{{5,12}}') AS secret
+    FROM words JOIN rules ON left(word, 4) = w WHERE regexp_matches(word, '^[a-z]{{5,12}}($|[^a-zA-Z0-9_\\x{{80}}-\\x{{10FFFF}}])')""")
+def secret_findings_many_rules(spark, d):
+    """Two hundred rules: only those whose keyword a fragment holds are tried on it."""
+    return C.secret_findings(frags(spark, d), many_rules()).select(
+        "fragment_hash", "file", "start_line", "origin", "secret")

@@ -292,6 +292,8 @@ def _long(tables: dict, skip=()):
     SELECT 'repos_with_secret_per_month' AS name, (SELECT count(DISTINCT month_key) FROM study) AS n
     UNION ALL SELECT 'top20_secret_origin', (SELECT least(20, count(DISTINCT coalesce(nullif(trim(origin), ''), '?')))
         FROM secrets WHERE secret_id IN (SELECT secret_id FROM occurrences))
+    UNION ALL SELECT 'secret_origin_counts', (SELECT count(DISTINCT coalesce(nullif(trim(origin), ''), '?'))
+        FROM secrets WHERE secret_id IN (SELECT secret_id FROM occurrences))
     UNION ALL SELECT 'secret_repo_counts_per_secret', (SELECT count(*) FROM ({K.COUNTS_SQL}))
     UNION ALL SELECT 'secret_repo_counts_distribution', (SELECT count(DISTINCT repo_count) FROM ({K.COUNTS_SQL}))
     UNION ALL SELECT 'secret_repo_layer_counts_weighted', (SELECT count(*) FROM ({K.COUNTS_SQL}))
@@ -302,7 +304,7 @@ def _long(tables: dict, skip=()):
     UNION ALL SELECT 'contingency_is_official_cat', (SELECT count(DISTINCT is_official_cat) FROM study)
     UNION ALL SELECT 'contingency_is_automated_cat', (SELECT count(DISTINCT is_automated_cat) FROM study)""")
 def run_study(spark, d):
-    """Row counts of the twelve study tables."""
+    """Row counts of the thirteen study tables."""
     tables = {
         "repositories": V.repositories(spark, d), "tags": V.tags(spark, d), "layers": V.layers(spark, d),
         "repo_layers": V.repo_layers(spark, d), "secrets": V.secrets(spark, d),
