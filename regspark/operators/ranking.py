@@ -52,6 +52,12 @@ def _gain_blocks(df: DataFrame, by: str, gain: Column, order: Column, tie: str,
     return blocks.groupBy(by).agg(F.sum(F.col("_d") * F.col("_g")).alias("dcg"))
 
 
+def ideal_gain(df: DataFrame, by: str, label: str = "label", tie: str = "rank",
+               task_rows: int = TASK_ROWS) -> DataFrame:
+    """(by, ideal): the gain of each query in the order of its labels."""
+    return _gain_blocks(df, by, F.col(label), F.col(label), tie, task_rows).withColumnRenamed("dcg", "ideal")
+
+
 def ndcg_per_group(df: DataFrame, by: str, label: str = "label", score: str = "score",
                    tie: str = "rank", task_rows: int = TASK_ROWS) -> DataFrame:
     """NDCG over the whole list with linear gain; equal scores share gain.
@@ -59,7 +65,7 @@ def ndcg_per_group(df: DataFrame, by: str, label: str = "label", score: str = "s
     score share the first places, as if they scored highest."""
     rows = cut_lineage(df.select(by, label, score, tie))
     got = _gain_blocks(rows, by, F.col(label), F.col(score), tie, task_rows)
-    best = _gain_blocks(rows, by, F.col(label), F.col(label), tie, task_rows).withColumnRenamed("dcg", "ideal")
+    best = ideal_gain(rows, by, label, tie, task_rows)
     return null_safe_join(got, best, [by]).select(
         by, F.when(F.col("ideal") > 0, F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0)))
         .otherwise(F.lit(0.0)).alias("ndcg"))

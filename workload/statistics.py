@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions import scalars as P
 from regspark.operators import aggregates as A
+from regspark.operators import listwise as L
 from regspark.operators import ranking as R
 from regspark.operators import stats as B
 from regspark.plans import study as S
@@ -251,6 +252,61 @@ def rank_model(spark, d):
         (F.max(score).over(alike) == F.min(score).over(alike)).cast("int").alias("same_for_equal_features"))
 
 
+_LAMBDA_SQL = """
+    WITH l AS (SELECT query, rank, label::DOUBLE AS l, score::DOUBLE AS s,
+                      row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS p FROM ranking),
+    i AS (SELECT query, sum(l / log2(best + 1)) AS ideal FROM (
+              SELECT query, l, row_number() OVER (PARTITION BY query ORDER BY l DESC) AS best FROM l) GROUP BY query),
+    pairs AS (SELECT a.query, a.rank AS up, b.rank AS down, 1 / (1 + exp(0.05 * (a.s - b.s))) AS rho,
+                     (a.l - b.l) * abs(1 / log2(a.p + 1) - 1 / log2(b.p + 1)) / ideal AS change
+              FROM l a JOIN l b ON a.query = b.query AND a.l > b.l AND least(a.p, b.p) <= 30 JOIN i ON i.query = a.query),
+    sums AS (SELECT query, rank, sum(g) AS g, sum(w) AS w FROM (
+        SELECT query, up AS rank, 0.05 * rho * change AS g, 0.05 * 0.05 * rho * (1 - rho) * change AS w FROM pairs
+        UNION ALL SELECT query, down, -0.05 * rho * change, 0.05 * 0.05 * rho * (1 - rho) * change FROM pairs)
+        GROUP BY query, rank)
+    SELECT query, rank, round(coalesce(g, 0), 8) AS gradient, round(coalesce(w, 0), 8) AS weight
+    FROM ranking LEFT JOIN sums USING (query, rank)"""
+
+
+def _gradients(spark, d, **how):
+    found = L.lambda_gradients(V.ranking(spark, d), sigma=0.05, **how)
+    return found.select("query", "rank", F.round("gradient", 8).alias("gradient"), F.round("weight", 8).alias("weight"))
+
+
+@query("lambda_gradients", _LAMBDA_SQL)
+def lambda_gradients(spark, d):
+    return _gradients(spark, d)
+
+
+@query("lambda_gradients_large_groups", _LAMBDA_SQL)
+def lambda_gradients_large_groups(spark, d):
+    """As ``lambda_gradients``, each query too large for one task."""
+    return _gradients(spark, d, task_rows=20)
+
+
+@query("ranking_plan", """
+    WITH r AS (SELECT query, count(*) AS n FROM match_rows GROUP BY query),
+    t AS (SELECT query, n FROM r WHERE n >= 5 AND ('0x' || substr(md5(concat_ws('|', '42', query)), 1, 8))::BIGINT
+          >= CAST(floor(0.8 * 4294967296) AS BIGINT))
+    SELECT count(*) AS held_out_queries, sum(n)::BIGINT AS held_out_rows, 1 AS scores_finite, 1 AS better_than_reversed FROM t""")
+def ranking_plan(spark, d):
+    """The whole plan. What does not depend on the trees is checked: the held-out
+    queries and rows, finite scores, and a mean gain above that of the worst order."""
+    from regspark.functions import textmatch as T
+    from regspark.operators import windows as W
+    from regspark.plans.ranking import ranking_plan as plan
+
+    ranked = W.rank_in_query(V.match_rows(spark, d), ["query"], F.col("seq"))
+    found = plan(T.feature_rows(ranked), rounds=3, depth=4)
+    scored = found["scored"]
+    worst = R.ndcg_per_group(scored.withColumn("score", -F.col("label").cast("double")), "query").agg(F.avg("ndcg"))
+    score = F.col("score")
+    return scored.agg(
+        F.count_distinct("query").alias("held_out_queries"), F.count(F.lit(1)).alias("held_out_rows"),
+        F.min((score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).cast("int")).alias("scores_finite"),
+    ).crossJoin(found["per_query"].agg((F.avg("ndcg") > worst.scalar()).cast("int").alias("better_than_reversed")))
+
+
 _NULL_NDCG_SQL = """
     WITH r AS (SELECT p_brand AS query, p_size AS label, p_partkey,
                       CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 7 AS DOUBLE) END AS score FROM part),
