@@ -106,7 +106,8 @@ def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-_HITS = "array<struct<origin:string,secret:string,line:int>>"
+#: Matches of a fragment: rule, secret, and the line of the fragment it is on.
+HITS = "array<struct<origin:string,secret:string,line:int>>"
 
 # Put before each match to count the matches of a line by its added length.
 _MARK = "\ue000"
@@ -134,7 +135,7 @@ def _rule_hits(text: Column, rule: Column) -> Column:
         rule["rule_id"].alias("origin"), m["secret"].alias("secret"), (line + m["lead"]).alias("line")))
     least = rule["min_entropy"]
     strong = F.filter(found, lambda h: least.isNull() | (finding_entropy(h["secret"]) >= least))
-    return F.when(F.regexp_like(text, pattern), strong).otherwise(F.array().cast(_HITS))
+    return F.when(F.regexp_like(text, pattern), strong).otherwise(F.array().cast(HITS))
 
 
 def _as_struct(rule: Rule) -> Column:
@@ -200,16 +201,20 @@ def _hits(text: Column, rules: Sequence[Rule]) -> Column:
         table = F.array(*map(_as_struct, keyed))
         chosen = F.transform(keyword_rules(text, keyed), lambda k: F.get(table, k))
         found.append(F.flatten(F.transform(chosen, lambda rule: _rule_hits(text, rule))))
-    return F.concat(*found) if found else F.array().cast(_HITS)
+    return F.concat(*found) if found else F.array().cast(HITS)
 
 
-def _matched(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Fragments with a match. A chunk's matches in lines it does not answer for
-    are the next chunk's; chunks of equal text but different ends stay apart."""
-    hits = _hits(F.col("raw"), rules)
+def own_hits(rules: Sequence[Rule]) -> Column:
+    """Matches of a fragment. A chunk's matches in lines it does not answer for
+    are the next chunk's."""
     own = F.coalesce("own_lines", F.lit(2**31 - 1))
+    return F.filter(_hits(F.col("raw"), rules), lambda h: h["line"] <= own)
+
+
+def _matched(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Fragments with a match; chunks of equal text but different ends stay apart."""
     # Computed by a generator, since a filter would be moved below and compute the matches again.
-    once = F.explode(F.array(F.filter(hits, lambda h: h["line"] <= own)))
+    once = F.explode(F.array(own_hits(rules)))
     return frags.select("*", once.alias("_hits")).filter(F.size("_hits") > 0).withColumn(
         "digest", F.concat_ws("-", "digest", F.col("own_lines").cast("string")))
 
@@ -242,7 +247,12 @@ def scan_distinct(frags: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings for every layer holding the fragment. Every copy of a matching
     fragment matches, so its layers are known without joining all fragments;
     a fragment held by very many layers is split by layer."""
-    matched = cut_lineage(_matched(frags, rules))
+    return per_layer(_matched(frags, rules))
+
+
+def per_layer(found: DataFrame) -> DataFrame:
+    """Findings of matched fragments for every layer holding them."""
+    matched = cut_lineage(found)
     places = cut_lineage(matched.select("digest", "layer").distinct())
     return spread_join(places, _described(matched), ["digest"], "layer").drop("digest")
 

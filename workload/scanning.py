@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regspark.operators import scan as C
+from regspark.operators.findings import FindingStore
+from regspark.session import fresh_path
 from workload import views as V
 from workload.registry import query
 
@@ -85,6 +87,19 @@ def scan_distinct(spark, d):
     return C.scan_distinct(frags(spark, d), RULES).select("layer", "fragment_hash", "origin", "secret", "start_line")
 
 
+@query("scan_across_runs", f"""
+    WITH lines AS ({LINES_SQL}), {FOUND_SQL}
+    SELECT p.layer, f.fragment_hash, f.origin, f.secret, f.start_line FROM found f
+    JOIN (SELECT DISTINCT layer, fragment_hash FROM lines) p ON p.fragment_hash = f.fragment_hash""")
+def scan_across_runs(spark, d):
+    """The findings of all files, after the English ones came in an earlier run."""
+    store = FindingStore(spark, fresh_path(spark, "findings"))
+    every = V.files(spark, d)
+    store.scan(C.fragments(every.filter(F.col("file").startswith("srv/en/"))), RULES, "first")
+    return store.scan(C.fragments(every), RULES, "second").select(
+        "layer", "fragment_hash", "origin", "secret", "start_line")
+
+
 @query("finding_line", """
     SELECT doc_id, len(string_split(substr(text, 1, instr(text, word) - 1), chr(10))) AS line
     FROM (SELECT doc_id, text, string_split(text, ' ')[-1] AS word FROM documents)""")
