@@ -176,3 +176,25 @@ def test_upserts_over_batches(spark, tmp_path):
     base = spark.createDataFrame([("b", 0, 0), ("z", 3, 3)], "k string, v int, w int")
     folded = Q.compact(base, spark, out, "k", "seq", "coalesce").select("k", "v", "w")
     assert sorted(map(tuple, folded.collect())) == [("a", 5, 7), ("b", 1, 1), ("z", 3, 3)]
+
+
+def test_stored_dedup_equals_batch_distinct_over_restarts_and_replays(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    batches = [[("a", 2), ("a", 1), (None, 1), ("b", 1)], [("b", 9), ("c", 3), (None, 0)], [("a", 0), ("c", 1)], [("d", 5)]]
+    for rows in batches:
+        _write(spark, src, [(k, 0, 0, seq) for k, seq in rows])
+        Q.stream_dedup_stored(_stream(spark, src), "k", out, cp).awaitTermination()
+        Q.stream_dedup_stored(_stream(spark, src), "k", out, cp).awaitTermination()
+    expected = [("a", 1), ("b", 1), ("c", 3), ("d", 5), (None, 1)]
+
+    def found():
+        return sorted(((r.k, r.seq) for r in Q.read_stored(spark, out).collect()), key=str)
+
+    assert found() == sorted(expected, key=str)
+    # A batch that died half way, and one that is run again.
+    again = spark.createDataFrame([("d", 0, 0, 5), ("a", 0, 0, 0)], "k string, v int, w int, seq long")
+    (tmp_path / "out" / "batch=3" / "_SUCCESS").unlink()
+    Q.admit_new(again, 3, "k", out)
+    Q.admit_new(again, 3, "k", out)
+    assert found() == sorted(expected, key=str)
+    assert spark.read.parquet(f"{out}/batch=2").count() == 0

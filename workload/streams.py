@@ -25,6 +25,15 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("stream_dedup_stored", """
+    SELECT user_id, min(event_type) AS event_type FROM events GROUP BY user_id""")
+def stream_dedup_stored(spark, d):
+    root = fresh_path(spark, "dedup-stored")
+    users = _source(spark, d, "events").select("user_id", "event_type")
+    Q.stream_dedup_stored(users, "user_id", f"{root}/out", f"{root}/cp").awaitTermination()
+    return Q.read_stored(spark, f"{root}/out")
+
+
 @query("stream_histogram", "SELECT event_type AS key, count(*) AS count FROM events GROUP BY event_type")
 def stream_histogram(spark, d):
     root = fresh_path(spark, "histogram")
