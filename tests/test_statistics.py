@@ -232,3 +232,31 @@ def test_group_split_keeps_groups_whole(spark):
     marks = M.group_split(df, "q").groupBy("q").agg(F.countDistinct("is_train").alias("n"), F.max("is_train").alias("t"))
     got = marks.collect()
     assert {r.n for r in got} == {1} and 0.7 < sum(r.t for r in got) / len(got) < 0.9
+
+
+def test_exact_two_sample_p_equals_enumeration(spark):
+    from itertools import combinations
+
+    def gap(first, size):
+        n, m, most = len(first), size - len(first), 0.0
+        for x in range(size):
+            i = sum(f <= x for f in first)
+            most = max(most, abs(i / n - (x + 1 - i) / m))
+        return most
+
+    for n, m in ((1, 1), (1, 4), (3, 3), (2, 5), (4, 6), (6, 4)):
+        gaps = [gap(c, n + m) for c in combinations(range(n + m), n)]
+        rows = spark.createDataFrame([(g, n, m) for g in sorted(set(gaps))] + [(0.0, n, m)], "d double, n long, m long")
+        for r in rows.select("d", B.ks_exact_p(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect():
+            assert r.p == pytest.approx(sum(g >= r.d - 1e-9 for g in gaps) / len(gaps))
+
+
+def test_two_sample_method_is_chosen_by_size(spark):
+    a = spark.createDataFrame([(float(i * 3 % 17),) for i in range(17)], "v double")
+    b = spark.createDataFrame([(float(i) + 0.5,) for i in range(5)], "v double")
+    exact, plain = (B.ks_2samp(a, b, "v", method=m).first().pvalue for m in ("exact", "asymptotic"))
+    assert exact != plain and B.ks_2samp(a, b, "v", method="auto").first().pvalue == exact
+    assert B.ks_2samp(a, b, "v", method="auto", most_exact=10).first().pvalue == plain
+    assert B.ks_2samp(a.limit(0), b, "v", method="exact").first().pvalue is None
+    with pytest.raises(ValueError):
+        B.ks_2samp(a, b, "v", method="other")

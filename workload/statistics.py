@@ -86,6 +86,26 @@ def ks_2samp(spark, d):
     return rounded(B.ks_2samp(epochs(V.tags(spark, d)), epochs(V.sample_tags(spark, d)), "e"), "n_full", "n_sample")
 
 
+@query("ks_2samp_exact", """
+    WITH RECURSIVE v AS (SELECT s_acctbal AS x, s_nationkey < 12 AS first FROM supplier),
+    g AS (SELECT x, sum(sum(first::INT)) OVER (ORDER BY x) AS ca, sum(sum((NOT first)::INT)) OVER (ORDER BY x) AS cb
+          FROM v GROUP BY x),
+    t AS (SELECT count(*) FILTER (WHERE first) AS n, count(*) FILTER (WHERE NOT first) AS m FROM v),
+    d AS (SELECT max(abs(ca / n - cb / m)) AS d, any_value(n)::BIGINT AS n, any_value(m)::BIGINT AS m FROM g, t),
+    paths AS (SELECT 0::BIGINT AS k, n, m, round(d * n * m)::BIGINT AS h, list_transform(range(0, n + 1), lambda i: 0.0::DOUBLE) AS q
+              FROM d
+        UNION ALL SELECT k + 1, n, m, h, list_transform(range(0, n + 1), lambda i:
+            CASE WHEN k + 1 - i < 0 OR k + 1 - i > m THEN 0.0 WHEN abs(i * m - (k + 1 - i) * n) >= h THEN 1.0
+                 ELSE (i * coalesce(q[i], 0.0) + (k + 1 - i) * q[i + 1]) / (k + 1) END::DOUBLE)
+        FROM paths WHERE k < n + m)
+    SELECT round(d, 6) AS statistic, d.n AS n_full, d.m AS n_sample, round(q[d.n + 1], 6) AS pvalue
+    FROM d, paths WHERE k = d.n + d.m""")
+def ks_2samp_exact(spark, d):
+    """Balances of the suppliers of some nations against those of the others."""
+    rows, first = V.table(spark, d, "supplier"), F.col("s_nationkey") < 12
+    return rounded(B.ks_2samp(rows.filter(first), rows.filter(~first), "s_acctbal", method="auto"), "n_full", "n_sample")
+
+
 @query("chi2_gof", """
     WITH e AS (SELECT count_sample AS o, count_full / sum(count_full) OVER () * sum(count_sample) OVER () AS e
                FROM bias_status),
