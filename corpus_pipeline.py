@@ -10,6 +10,8 @@ through empty. Repeated rows count as copies: one stays.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,11 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     ``n_chars`` follows the masked text; a null text stays null.
     """
-    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), pii.merged(F.col("_spans"))))
-    found = pii.find(docs, into="_spans").withColumn("text", text)
+    spans = f"_spans_{uuid.uuid4().hex}"  # no column of the input has this name
+    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), pii.merged(F.col(spans))))
+    found = pii.find(docs, into=spans).withColumn("text", text)
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long"))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long"))
                                  .otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
