@@ -69,3 +69,9 @@ def test_odd_tables_pass(spark):
             if name == "ngram_jaccard_join":
                 assert docs.count() == (4 if n else 0)
         assert docs.select("doc_id").distinct().count() == (4 if n else 0)
+
+
+def test_masking_keeps_a_column_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@example.com now", "mine")], "doc_id long, text string, _spans string")
+    row = corpus_pipeline.mask_personal(spark, docs, "").first()
+    assert row["_spans"] == "mine" and "example" not in row.text
