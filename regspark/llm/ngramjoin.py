@@ -14,7 +14,10 @@ frequent tokens. The passes are
 3. pairs that meet under a token at places from which enough of both sets can
    still be shared. Under a token of many sets, all meet a few of them first;
    later only sets of different components do, the largest one left out on one
-   side, so a large group of copies never makes all its pairs;
+   side, so a large group of copies never makes all its pairs. There every set
+   has its parities with it, a bit per token (the parity of how many tokens fall
+   on a bit): two sets differ in at least as many tokens as their parities do in
+   bits, so most pairs of sets that only share a passage are never made;
 4. a pair must share the tokens its prefixes require, and the bit maps of its
    sets must leave the similarity possible; then the sets are compared in full.
 
@@ -59,6 +62,8 @@ MANY, PIVOTS, PIVOT_KINDS = 16, 2, 8
 #: Ranks from which, in turn, sets of other components meet the rest; the last
 #: meeting also makes up for ranks that a set has not met while in the main component.
 MEETINGS = (PIVOTS, 16)
+#: The most bits of a set's parities; larger sets are told apart by their bit maps.
+MOST_PARITIES = 1 << 12
 #: Ids sent to all tasks; more are joined by shuffling.
 SENT_IDS = 1 << 21
 
@@ -115,6 +120,34 @@ def bit_map(tokens: np.ndarray) -> list[int]:
     return word.astype(np.int64).tolist()
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of tokens falls on it, as 64-bit words.
+
+    One to two bits per token, a power of two in all, up to MOST_PARITIES.
+    """
+    bits = min(MOST_PARITIES, max(64, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing(p: Column, q: Column) -> Column:
+    """The bits in which two sets' parities differ; their sets differ in as many tokens or more.
+
+    The wider parities are folded to the width of the others.
+    """
+    def folded(bits, other):
+        return F.aggregate(F.sequence(F.lit(1), F.floor(F.size(bits) / F.size(other)).cast("int") - 1),
+                           F.slice(bits, F.lit(1), F.size(other)),
+                           lambda x, i: F.zip_with(x, F.slice(bits, i * F.size(other) + 1, F.size(other)),
+                                                   lambda a, b: a.bitwiseXOR(b)))
+
+    def count(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+
+    return F.when(F.size(p) == F.size(q), count(p, q)).when(
+        F.size(p) > F.size(q), count(folded(p, q), q)).otherwise(count(p, folded(q, p)))
+
+
 def overlap_needed(n: Column, m: Column) -> Column:
     """The least intersection of similar sets of sizes ``n`` and ``m``."""
     return F.ceil(F.lit(ABOVE) * (n + m) / F.lit(ABOVE + BELOW))
@@ -131,11 +164,11 @@ def _batch(kinds: str, *columns) -> pa.RecordBatch:
                                       [n for n, _ in names])
 
 
-SIZES = "doc_id long, n int, key long, token long, count long"
+SIZES = "doc_id long, n int, key long, token long, count long, parity array<long>"
 
 
 def _sizes(texts: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, key), and rows of counted tokens (token, count)."""
+    """A row per document (doc_id, n, key; parity, once a task for each set), and rows of counted tokens."""
     def run(batches):
         held, size, seen = [], 0, set()
 
@@ -145,25 +178,27 @@ def _sizes(texts: DataFrame) -> DataFrame:
             return tokens[often].astype(np.int64).tolist(), count[often].tolist()
 
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
+            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [], [])
             for row, data, off in arrays.blocks(batch.column(1)):
                 for i, tokens in enumerate(token_sets(data, off), row):
                     key = set_key(tokens) if len(tokens) and ids[i] is not None else None
-                    for column, value in zip(out, (ids[i], len(tokens), key, None, None), strict=True):
+                    new = key is not None and key not in seen
+                    for column, value in zip(out, (ids[i], len(tokens), key, None, None,
+                                                   parities(tokens) if new else None), strict=True):
                         column.append(value)
-                    if key is not None and key not in seen:
+                    if new:
                         seen.add(key)
                         held.append(tokens)
                         size += len(tokens)
                 if size >= COUNTED:
                     tokens, count = counted()
                     none = [None] * len(tokens)
-                    yield _batch(SIZES, none, none, none, tokens, count)
+                    yield _batch(SIZES, none, none, none, tokens, count, none)
                     held, size, seen = [], 0, set()
             yield _batch(SIZES, *out)
         tokens, count = counted()
         none = [None] * len(tokens)
-        yield _batch(SIZES, none, none, none, tokens, count)
+        yield _batch(SIZES, none, none, none, tokens, count, none)
 
     return texts.mapInArrow(run, SIZES)
 
@@ -250,6 +285,7 @@ class _Join:
         self.written: list[tuple[str, str]] = []
         first = self.kept(_sizes(self.texts), "sizes")
         self.members = first.where(F.col("token").isNull()).select("doc_id", "n", "key")
+        self.parity = first.where(F.col("parity").isNotNull()).select("key", "parity").dropDuplicates(["key"])
         total = self.members.agg(F.sum("n")).first()[0] or 0
         self.order = _frequent(first.where(F.col("token").isNotNull()), total)
         self.met = self.kept(self._met(), "prefixes")
@@ -290,12 +326,14 @@ class _Join:
         return self.texts.join(ids, "doc_id", "left_semi")
 
     def pairs(self, left: DataFrame, right: DataFrame, apart: Column | None = None) -> DataFrame:
-        """Distinct pairs (a < b) of sets that meet where they can still be similar."""
+        """Distinct pairs (a < b) of sets that meet where they can still be similar, and whose parities allow it."""
         u, v = left.alias("u"), right.alias("v")
-        possible = F.least(F.col("u.size") - F.col("u.place"), F.col("v.size") - F.col("v.place")) >= overlap_needed(
-            F.col("u.size"), F.col("v.size"))
-        joined = u.join(v, (F.col("u.token") == F.col("v.token")) & possible
-                        & (apart if apart is not None else F.col("u.key") < F.col("v.key")))
+        needed = overlap_needed(F.col("u.size"), F.col("v.size"))
+        possible = F.least(F.col("u.size") - F.col("u.place"), F.col("v.size") - F.col("v.place")) >= needed
+        meet = possible & (apart if apart is not None else F.col("u.key") < F.col("v.key"))
+        if "parity" in left.columns:
+            meet &= differing(F.col("u.parity"), F.col("v.parity")) <= F.col("u.size") + F.col("v.size") - 2 * needed
+        joined = u.join(v, (F.col("u.token") == F.col("v.token")) & meet)
         return joined.select(F.least("u.key", "v.key").alias("a"), F.greatest("u.key", "v.key").alias("b")).distinct()
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -381,7 +419,8 @@ class _Join:
 
     def run(self) -> None:
         rank = F.pmod(F.xxhash64(F.pmod("token", F.lit(PIVOT_KINDS)), "key"), F.lit(1 << 31)) * F.col("sets") / F.lit(1 << 31)
-        few, many = self.met.where(F.col("sets") <= MANY), self.met.where(F.col("sets") > MANY)
+        few = self.met.where(F.col("sets") <= MANY)
+        many = self.kept(self.met.where(F.col("sets") > MANY).join(self.parity, "key"), "many")
         first = self.pairs(few, few).unionAll(
             self.pairs(many, many.where(rank < PIVOTS), F.col("u.key") != F.col("v.key"))).distinct()
         possible = self.possible(first)

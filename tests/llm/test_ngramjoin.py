@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from regspark.llm import ngramjoin
 
 from tests.llm.conftest import ODD
@@ -94,6 +96,7 @@ def test_main_component_that_changes_between_meetings(spark, monkeypatch):
     join = object.__new__(ngramjoin._Join)
     join.spark, join.written, join.roots = spark, [], None
     join.met = spark.createDataFrame(rows, "token long, key long, size int, place int, sets long")
+    join.parity = join.met.select("key", F.array(F.lit(0).cast("long")).alias("parity"))
     monkeypatch.setattr(ngramjoin._Join, "possible", lambda self, pairs: self.kept(pairs, "possible"))
     monkeypatch.setattr(ngramjoin._Join, "verified", lambda self, pairs: self.kept(
         pairs.join(linked, ["a", "b"], "left_semi"), "links"))
@@ -116,6 +119,51 @@ def test_longer_prefixes_share_more(spark):
     assert (np.diff(counts[ordered.astype(int)]) >= 0).all()
 
 
+def test_parities_never_differ_more_than_the_sets(spark):
+    rng, rows = np.random.default_rng(4), []
+    for n in (1, 30, 63, 64, 65, 130, 700, 3000, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for m in (1, n // 2 + 1, n):
+            b = np.unique(np.concatenate([a[:m], rng.integers(0, 1 << 63, n // 3 + 1, dtype=np.uint64)]))
+            rows += [(x.tolist(), y.tolist(), len(np.setxor1d(a, b))) for x, y in (
+                [ngramjoin.parities(a), ngramjoin.parities(b)], [ngramjoin.parities(b), ngramjoin.parities(a)])]
+    found = spark.createDataFrame(rows, "p array<long>, q array<long>, apart long").select(
+        "apart", ngramjoin.differing(F.col("p"), F.col("q")).alias("bits")).collect()
+    assert all(r.bits <= r.apart for r in found)
+    assert all(r.bits > 0 for r in found if r.apart > 0)
+
+
+def crowd(kind, sets, seed=11):
+    """Texts made of one passage and words of their own, or altered copies of one text, in a crowd of others."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(120)]
+    docs = []
+    for i in range(sets):
+        if kind == "passage":
+            start = rng.randrange(30)
+            text = passage[start:start + 85] + [f"o{i}.{j}" for j in range(12)]
+        else:
+            text = list(passage)
+            for _ in range(3):
+                text[rng.randrange(120)] = f"o{rng.random()}"
+        docs.append((i, " ".join(text)))
+    return docs
+
+
+@pytest.mark.parametrize("kind", ["passage", "copies"])
+def test_few_candidates_in_a_crowd(documents, monkeypatch, kind):
+    made, counts, docs = ngramjoin._Join.pairs, [], crowd(kind, 400)
+
+    def counted(self, *args):
+        frame = self.kept(made(self, *args), "counted")
+        counts.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(ngramjoin._Join, "pairs", counted)
+    assert rows_of(ngramjoin.components(documents(docs))) == brute(docs)
+    assert sum(counts) <= 20 * len(docs)
+
+
 def test_one_of_each(documents):
     docs = documents([*ODD, (50, "same text for two rows of  IT"), (60, "another text of its own, quite long")])
     kept = ngramjoin.one_of_each(docs)
