@@ -63,3 +63,19 @@ def test_nothing_to_learn_from(spark, documents):
     assert toxicity.train(documents(ODD), labels) is None
     assert {r.score for r in toxicity.score(documents(ODD), None).collect()} == {0.0}
     assert toxicity.score(documents(ODD).limit(0), None).count() == 0
+
+
+def test_scores_are_the_sum_over_all_pairs_of_terms():
+    rng = np.random.default_rng(8)
+    buckets = np.sort(rng.choice(toxicity.BUCKETS, 50, replace=False))
+    machine = toxicity.Machine(-0.3, buckets, rng.normal(0, 0.5, 50), rng.normal(0, 0.4, (50, 4)))
+    at = {b: i for i, b in enumerate(buckets.tolist())}
+    unknown = next(b for b in range(toxicity.BUCKETS) if b not in at)
+    texts = [rng.choice(buckets, k).tolist() + [unknown] * (k % 2) for k in (0, 1, 2, 7, 20)]
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    scores = machine.scores(row, np.array([b for t in texts for b in t], np.int64), len(texts))
+    for terms, score in zip(texts, scores, strict=True):
+        own = sorted({at[b] for b in terms if b in at})
+        total = machine.bias + sum(machine.weights[i] for i in own) + sum(
+            machine.factors[i] @ machine.factors[j] for n, i in enumerate(own) for j in own[n + 1:])
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
