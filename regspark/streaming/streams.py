@@ -15,6 +15,7 @@ from regspark.functions import scalars as P
 from regspark.operators.joins import is_short
 from regspark.operators.merge import latest, upsert_coalesce, upsert_replace
 from regspark.operators.running import null_safe_join
+from regspark.operators.stored import KeyedTable
 from regspark.session import cut_lineage
 
 
@@ -123,3 +124,12 @@ def compact(base: DataFrame, spark: SparkSession, path: str, key: str, seq: str,
         "_seq", F.struct("batch", seq)).drop("batch")
     merge = upsert_replace if mode == "replace" else upsert_coalesce
     return merge(base, deltas, key, "_seq")
+
+
+def stream_merge(sdf: DataFrame, table: KeyedTable, seq: str | None, checkpoint: str,
+                 source: str = "stream") -> StreamingQuery:
+    """Folds every batch into a table as it comes, by the table's mode. Only buckets the
+    batch has keys in are rewritten, and a batch repeated after a restart is not folded
+    twice, so nothing is left to compact."""
+    return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        lambda batch, batch_id: table.merge(batch, seq, source, batch_id) and None).start()
