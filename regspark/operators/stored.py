@@ -8,8 +8,8 @@ of other buckets are neither read nor written.
 The newest manifest is the table. It appears by one rename, so a merge that dies
 leaves the table as it was, and of two writers of one version the second fails
 (``FileAlreadyExistsException``) and can merge again. The file system must have an
-atomic rename. A manifest also holds the last batch of each source that was folded
-in: a batch repeated after a restart changes nothing.
+atomic rename. A manifest also holds how far each source was folded in: a batch
+repeated after a restart changes nothing.
 """
 
 from __future__ import annotations
@@ -62,12 +62,15 @@ class KeyedTable:
         return max(self.versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
-        """Number of buckets, folder of each bucket that has rows, last batch of each source."""
+        """Number of buckets, folder of each bucket that has rows, and the mark of each source."""
         version = self.version() if version is None else version
         if version == 0:
             return {"buckets": self._buckets, "folders": {}, "folded": {}}
-        text = self.spark.read.text(f"{self.path}/manifests/{version:020d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        stream = self._files().open(self._file(f"{self.path}/manifests/{version:020d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _commit(self, version: int, manifest: dict) -> None:
         draft = f"{self.path}/manifests/.{uuid.uuid4().hex}"
@@ -84,7 +87,7 @@ class KeyedTable:
 
     def _read(self, folders: Sequence[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{f}" for f in folders))
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -101,6 +104,11 @@ class KeyedTable:
             self._read(come).withColumn("_n", F.lit(1)))
         return signed.groupBy(*self.schema.names).agg(F.sum("_n").cast("int").alias("_n")).filter("_n <> 0")
 
+    def key_changes(self, since: int, until: int | None = None) -> DataFrame:
+        """Keys that went (``_n`` -1) or came (1) between two versions."""
+        found = self.changes(since, until).groupBy(*self.key).agg(F.sum("_n").cast("int").alias("_n"))
+        return found.filter("_n <> 0")
+
     def _bucket(self, buckets: int):
         return F.pmod(F.xxhash64(*self.key), F.lit(buckets)).cast("int")
 
@@ -149,18 +157,18 @@ class KeyedTable:
         found = [s.getPath().getName() for s in self._files().listStatus(self._file(f"{self.path}/data/{run}"))]
         return {n.removeprefix("_bucket="): f"{run}/{n}" for n in found if n.startswith("_bucket=")}
 
-    def merge(self, batch: DataFrame, seq: str | None = None, source: str = "", batch_id: int | None = None) -> int:
+    def merge(self, batch: DataFrame, seq: str | None = None, marks: dict[str, int] | None = None) -> int:
         """Folds a batch in by the table's mode and returns the version that holds it.
 
         ``seq`` orders the rows of one batch: the last of a key counts (``ignore``: the
-        first). Batches of a source come with rising ``batch_id``; one not above the
-        last is already folded in, and nothing is done. The batch is reduced to one row
+        first). ``marks`` says how far the batch goes, as a rising number per source; if
+        the table is already that far, nothing is done. The batch is reduced to one row
         per key and checked for the buckets it touches (at most the number of buckets
         comes to the driver) before old rows are read.
         """
         version = self.version()
         now = self.manifest(version)
-        if batch_id is not None and batch_id <= now["folded"].get(source, -1):
+        if marks and all(now["folded"].get(s, -1) >= n for s, n in marks.items()):
             return version
         kept = f"{self.path}/batches/{uuid.uuid4().hex}"
         self._reduced(batch, seq).write.parquet(kept)
@@ -170,8 +178,7 @@ class KeyedTable:
         folders = {b: f for b, f in now["folders"].items() if b not in touched}
         if touched:
             folders |= self._write(self._merged(old, new, now["buckets"]))
-        folded = now["folded"] | ({} if batch_id is None else {source: batch_id})
-        self._commit(version + 1, now | {"folders": folders, "folded": folded})
+        self._commit(version + 1, now | {"folders": folders, "folded": now["folded"] | (marks or {})})
         self._files().delete(self._file(kept), True)
         return version + 1
 

@@ -132,4 +132,4 @@ def stream_merge(sdf: DataFrame, table: KeyedTable, seq: str | None, checkpoint:
     batch has keys in are rewritten, and a batch repeated after a restart is not folded
     twice, so nothing is left to compact."""
     return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
-        lambda batch, batch_id: table.merge(batch, seq, source, batch_id) and None).start()
+        lambda batch, batch_id: table.merge(batch, seq, {source: batch_id}) and None).start()

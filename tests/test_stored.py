@@ -39,7 +39,7 @@ def test_merges_equal_row_by_row(spark, mode):
     assert table.read().count() == 0
     given = batches(7)
     for i, batch in enumerate(given):
-        table.merge(spark.createDataFrame(batch, SCHEMA + ", seq int"), "seq", batch_id=i)
+        table.merge(spark.createDataFrame(batch, SCHEMA + ", seq int"), "seq", marks={"in": i})
         assert rows(table.read()) == expected(mode, given[:i + 1])
     assert rows(table.read(1)) == expected(mode, given[:1])
 
@@ -61,13 +61,13 @@ def test_untouched_buckets_keep_their_files_and_are_not_read(spark):
 def test_a_repeated_batch_changes_nothing(spark):
     table = KeyedTable(spark, fresh_path(spark, "table"), "k string, n long", "k", "add", buckets=4)
     batch = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n long")
-    assert table.merge(batch, source="one", batch_id=0) == 1
-    assert table.merge(batch, source="one", batch_id=0) == 1
-    assert table.merge(batch, source="two", batch_id=0) == 2
+    assert table.merge(batch, marks={"one": 0}) == 1
+    assert table.merge(batch, marks={"one": 0}) == 1
+    assert table.merge(batch, marks={"two": 0}) == 2
     assert rows(table.read()) == [("a", 8), ("b", 4)]
-    table.merge(spark.createDataFrame([("b", -4)], "k string, n long"), source="one", batch_id=1)
+    table.merge(spark.createDataFrame([("b", -4)], "k string, n long"), marks={"one": 1})
     assert rows(table.read()) == [("a", 8)]
-    table.merge(batch.limit(0), source="one", batch_id=2)
+    table.merge(batch.limit(0), marks={"one": 2})
     assert rows(table.read()) == [("a", 8)] and table.manifest()["folded"] == {"one": 2, "two": 0}
 
 
@@ -75,13 +75,13 @@ def test_a_merge_that_dies_leaves_the_table(spark, monkeypatch):
     table = KeyedTable(spark, fresh_path(spark, "table"), SCHEMA, "k", buckets=4)
     first, second, _ = batches(3)
     frame = lambda b: spark.createDataFrame(b, SCHEMA + ", seq int")
-    table.merge(frame(first), "seq", batch_id=0)
+    table.merge(frame(first), "seq", marks={"in": 0})
     with monkeypatch.context() as patched:
         patched.setattr(table, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
-            table.merge(frame(second), "seq", batch_id=1)
+            table.merge(frame(second), "seq", marks={"in": 1})
     assert rows(table.read()) == expected("replace", [first])
-    table.merge(frame(second), "seq", batch_id=1)
+    table.merge(frame(second), "seq", marks={"in": 1})
     table.vacuum(keep=1)
     assert table.versions() == [2] and rows(table.read()) == expected("replace", [first, second])
 

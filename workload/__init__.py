@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("columns", "keyed", "counts", "scanning", "ordered", "statistics", "files", "streams")
+MODULES = ("columns", "keyed", "counts", "scanning", "ordered", "statistics", "files", "streams", "stored")
 
 
 def _load() -> None:
