@@ -12,7 +12,7 @@ from regspark.operators import aggregates as A
 from regspark.operators import stats as B
 from regspark.operators import windows as W
 from regspark.session import fresh_path
-from regspark.sources import readers, writers
+from regspark.sources import lists, readers, writers
 from workload import keyed as K
 from workload import views as V
 from workload.registry import query
@@ -65,6 +65,13 @@ def wrapped_list_scan(spark, d):
     return readers.read_list(spark, path, "repos", "repo")
 
 
+@query("long_list_scan", "SELECT p_name AS repo FROM part WHERE p_name <> ''")
+def long_list_scan(spark, d):
+    path = fresh_path(spark, "lists")
+    writers.write_list(V.table(spark, d, "part"), "p_name", path, "repos")
+    return lists.read_long_list(spark, path, "repos", "repo")
+
+
 @query("array_line_scan", """
     SELECT s_suppkey AS fragment, i AS start_line FROM supplier, (SELECT unnest([1, 2]) AS i)
     WHERE s_nationkey >= 5""")
