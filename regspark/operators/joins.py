@@ -122,10 +122,11 @@ def seen_anti(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def link_pairs(selection: DataFrame, repos: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (repo_id, layer_id) from ``selection(digest, repos)``, and the
     (digest, repo) pairs one side of which is unknown. ``repos`` has
-    ``repo_id, repo_name``; ``layers`` has ``layer_id, digest``."""
-    pairs = selection.select("digest", F.explode("repos").alias("repo")).select(
-        "digest", F.trim("repo").alias("repo")).filter(F.col("repo") != "").distinct()
-    with_layer = pairs.join(layers.select("digest", "layer_id"), "digest", "left")
+    ``repo_id, repo_name``; ``layers`` has ``layer_id, digest``. A layer of very
+    many repositories is split by repository."""
+    pairs = cut_lineage(selection.select("digest", F.explode("repos").alias("repo")).select(
+        "digest", F.trim("repo").alias("repo")).filter(F.col("repo") != "").distinct())
+    with_layer = lookup_join(pairs, layers.select("digest", "layer_id"), ["digest"], "repo", "left")
     resolved = alias_lookup(with_layer, "repo", repos, "repo_name", "repo_id", "digest", "repo_id")
     complete = F.col("repo_id").isNotNull() & F.col("layer_id").isNotNull()
     links = resolved.filter(complete).select("repo_id", "layer_id").distinct()
@@ -234,10 +235,11 @@ def frag_weight_merge(counts: DataFrame, pairs: DataFrame, uniq: DataFrame,
                       weights: DataFrame) -> DataFrame:
     """Sum the layer weights of each fragment's layers onto its counts.
     ``weights`` is one row ``w_unique, w_nonunique``; a layer without a
-    uniqueness row counts as not unique."""
+    uniqueness row counts as not unique. A layer of very many fragments is split
+    by fragment."""
     w = one_row(weights.select("w_unique", "w_nonunique"))
-    weighted = pairs.select("fragment_hash", "layer_id").distinct().join(
-        uniq, "layer_id", "left").groupBy("fragment_hash").agg(
+    held = cut_lineage(pairs.select("fragment_hash", "layer_id").distinct())
+    weighted = lookup_join(held, uniq, ["layer_id"], "fragment_hash", "left").groupBy("fragment_hash").agg(
         F.count_if(F.col("is_unique") == 1).alias("_u"), F.count(F.lit(1)).alias("_n"))
     return counts.join(weighted, "fragment_hash", "left").select(
         *counts.columns,

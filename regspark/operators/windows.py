@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regspark.operators.joins import spread_join
 from regspark.operators.running import (
     TASK_ROWS,
     null_safe_join,
@@ -187,7 +188,9 @@ def _thin_by_pointers(instants: DataFrame, by: str, tie: str, gap: int,
     while not jump.isEmpty():
         onward = null_safe_join(reached, jump, [by, "_t"]).select(by, F.col("_next").alias("_t"))
         reached = cut_lineage(reached.unionByName(onward).distinct())
-        second = jump.select(by, F.col("_t").alias("_next"), F.col("_next").alias("_next2"))
-        jump = cut_lineage(null_safe_join(jump, second, [by, "_next"]).select(
-            by, "_t", F.col("_next2").alias("_next")))
+        # All instants of one gap may point at the same one: such a key is split by instant.
+        key = F.struct(by).alias("_by")
+        second = jump.select(key, F.col("_t").alias("_next"), F.col("_next").alias("_next2"))
+        jump = cut_lineage(spread_join(jump.select("*", key), second, ["_by", "_next"], "_t", rows_per_task=task_rows)
+                           .select(by, "_t", F.col("_next2").alias("_next")))
     return null_safe_join(reached, instants, [by, "_t"]).select(by, "_t", tie)

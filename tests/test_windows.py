@@ -99,3 +99,22 @@ def test_ranks_and_labels(spark):
     assert sorted(map(tuple, ranked.collect())) == [
         ("p", 5, 1, 1), ("q", 10, 1, 3), ("q", 20, 2, 2), ("q", 30, 3, 1)]
     assert W.min_group_filter(df, "query", 2).count() == 3
+
+
+def test_pointers_at_one_instant_are_split(spark, monkeypatch):
+    """Half of all instants point at the same one; null is a group like any other."""
+    times = [*range(0, 4000, 10), *range(20_000, 20_400), 40_000, 60_000]
+    rows = [(g, t, i) for g in ("r", None) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "repo string, _t long, id long")
+    salts = []
+    spread = W.spread_join
+
+    def watched(left, right, on, by, **more):
+        out = spread(left, right, on, by, **more)
+        salts.append("_salts" in out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(W, "spread_join", watched)
+    got = sorted(((r.repo, r["_t"]) for r in W._thin_by_pointers(df, "repo", "id", 15_000, task_rows=100).collect()), key=repr)
+    assert got == sorted([(g, t) for g in ("r", None) for t in (60_000, 40_000, 20_399, 3990)], key=repr)
+    assert salts[0]
