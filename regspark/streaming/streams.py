@@ -77,15 +77,19 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
+def _counted(rows: DataFrame, c: str, month: bool) -> DataFrame:
+    """(key, count) of a column's values, or of a timestamp's months."""
+    if month:
+        key, rows = P.month_key(F.col(c)), rows.filter(F.col(c).isNotNull())
+    else:
+        key = P.blank_to_unknown(F.col(c))
+    return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def stream_histogram(sdf: DataFrame, c: str, path: str, checkpoint: str, month: bool = False) -> StreamingQuery:
     """Counts per value (or per month of a timestamp), kept current at
     ``path``; every batch replaces the small result."""
-    if month:
-        key = P.month_key(F.col(c))
-        rows = sdf.filter(F.col(c).isNotNull())
-    else:
-        key, rows = P.blank_to_unknown(F.col(c)), sdf
-    counts = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    counts = _counted(sdf, c, month)
 
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
@@ -133,3 +137,12 @@ def stream_merge(sdf: DataFrame, table: KeyedTable, seq: str | None, checkpoint:
     twice, so nothing is left to compact."""
     return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         lambda batch, batch_id: table.merge(batch, seq, {source: batch_id}) and None).start()
+
+
+def stream_counts(sdf: DataFrame, c: str, table: KeyedTable, checkpoint: str, month: bool = False,
+                  source: str = "stream") -> StreamingQuery:
+    """Counts as ``stream_histogram``, added batch by batch to a table of mode ``add``
+    with the columns ``key`` and ``count``. The stream holds no counts itself, and a
+    reader of the table sees all of a batch or nothing of it."""
+    return sdf.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        lambda batch, batch_id: table.merge(_counted(batch, c, month), marks={source: batch_id}) and None).start()

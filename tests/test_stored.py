@@ -123,3 +123,14 @@ def test_stream_folds_every_batch_once(spark):
         source = spark.readStream.schema(SCHEMA + ", seq int").parquet(f"{root}/in/*")
         Q.stream_merge(source, table, "seq", f"{root}/cp").awaitTermination()
     assert rows(table.read()) == expected("coalesce", given)
+
+
+def test_counts_of_a_stream_are_added_once(spark):
+    root = fresh_path(spark, "counts")
+    table = KeyedTable(spark, f"{root}/table", "key string, count long", "key", "add", buckets=2)
+    for i, batch in enumerate([["a", "a", None], ["a", " ", "b"]]):
+        spark.createDataFrame([(v,) for v in batch], "c string").coalesce(1).write.parquet(f"{root}/in/{i}")
+        source = spark.readStream.schema("c string").parquet(f"{root}/in/*")
+        Q.stream_counts(source, "c", table, f"{root}/cp").awaitTermination()
+    assert rows(table.read()) == [("a", 3), ("b", 1), ("unknown", 2)]
+    assert rows(table.read(1)) == [("a", 2), ("unknown", 1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regspark.operators.stored import KeyedTable
 from regspark.session import fresh_path
 from regspark.streaming import streams as Q
 from workload import views as V
@@ -68,3 +69,21 @@ def stream_upsert_coalesce(spark, d):
         "user_id", "event_id", F.when(F.col("event_type") == "view", F.col("value")).alias("viewed"))
     Q.stream_upsert(rows, f"{root}/out", "user_id", "event_id", f"{root}/cp").awaitTermination()
     return Q.read_upserted(spark, f"{root}/out", "user_id", "event_id", mode="coalesce")
+
+
+@query("stream_counts", "SELECT event_type AS key, count(*) AS count FROM events GROUP BY event_type")
+def stream_counts(spark, d):
+    root = fresh_path(spark, "counts")
+    table = KeyedTable(spark, f"{root}/table", "key string, count long", "key", "add", buckets=4)
+    Q.stream_counts(_source(spark, d, "events"), "event_type", table, f"{root}/cp").awaitTermination()
+    return table.read()
+
+
+@query("stream_merge", """
+    SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
+def stream_merge(spark, d):
+    root = fresh_path(spark, "merged")
+    rows = _source(spark, d, "events").select("user_id", "event_id", "event_type").withColumn("seq", F.col("event_id"))
+    table = KeyedTable(spark, f"{root}/table", rows.drop("seq").schema, "user_id", buckets=8)
+    Q.stream_merge(rows, table, "seq", f"{root}/cp").awaitTermination()
+    return table.read()
