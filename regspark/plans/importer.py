@@ -91,7 +91,12 @@ def import_secrets(selection: DataFrame, layers: DataFrame, records: DataFrame,
     Records are made distinct before they meet the layers of their fragment."""
     held = layers.select("digest", "secrets", F.col("digest").alias("layer_id"), "seq")
     last = U.latest(held.filter(F.size("secrets") > 0), "digest", "seq")
-    reach = J.fragment_layers(last, selection)
+    return import_held(J.fragment_layers(last, selection), records, old)
+
+
+def import_held(reach: DataFrame, records: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``import_secrets``, where the layers' fragments are already rows
+    (fragment_hash, layer_id)."""
     flat = records.select(F.trim("fragment_hash").alias("fragment_hash"), "seq", *(
         P.strip_nul(F.col(f"secrets.{c}")).alias(c) for c in ("origin", "secret", "file", "file_type")),
         F.col("secrets.file_size").alias("file_size"), F.col("secrets.start_line").alias("start_line"))

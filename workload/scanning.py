@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from regspark.operators import scan as C
 from regspark.operators.findings import FindingStore
+from regspark.plans import importer as I
+from regspark.plans.scan_import import scan_to_import
 from regspark.session import fresh_path
 from workload import views as V
 from workload.registry import query
@@ -205,3 +207,31 @@ def secret_findings_many_rules(spark, d):
     """Two hundred rules: only those whose keyword a fragment holds are tried on it."""
     return C.secret_findings(frags(spark, d), many_rules()).select(
         "fragment_hash", "file", "start_line", "origin", "secret")
+
+
+@query("scan_to_import", f"""
+    WITH lines AS ({LINES_SQL}), {FOUND_SQL},
+    kept AS (SELECT fragment_hash, origin, secret FROM found QUALIFY row_number() OVER (
+             PARTITION BY fragment_hash ORDER BY start_line DESC, origin DESC, secret DESC) = 1),
+    places AS (SELECT DISTINCT fragment_hash, file, file_type, start_line FROM found)
+    SELECT DISTINCT CAST(l.layer AS VARCHAR) AS digest, p.fragment_hash, p.file, p.file_type, p.start_line, k.origin, k.secret
+    FROM lines l JOIN places p ON l.fragment_hash = p.fragment_hash JOIN kept k ON k.fragment_hash = p.fragment_hash""")
+def imported_secrets(spark, d):
+    _, held, records = scan_to_import(V.files(spark, d), RULES)
+    secrets, occurrences = I.import_held(held, records)
+    return occurrences.join(secrets.select("fragment_hash", "origin", "secret"), "fragment_hash").select(
+        "digest", "fragment_hash", "file", "file_type", "start_line", "origin", "secret")
+
+
+@query("scan_to_import_layers", """
+    SELECT CAST(layer AS VARCHAR) AS digest, count(*) AS file_count,
+           max(len(string_split(file, '/'))) AS max_depth, sum(strlen(text)) AS uncompressed_size
+    FROM files GROUP BY 1""")
+def imported_layers(spark, d):
+    files = V.files(spark, d)
+    selection = files.select(
+        F.col("layer").alias("digest"), F.lit(1).cast("long").alias("size"), F.array(F.lit("app")).alias("repos"),
+        F.lit(0).cast("long").alias("seq")).distinct()
+    counts, _, _ = scan_to_import(files, RULES)
+    return I.import_layers(I.clean_selection(selection), counts).select(
+        "digest", "file_count", "max_depth", "uncompressed_size")
