@@ -38,7 +38,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: st
     if found is None:
         return left.join(right, on, how)
     keys, bound = found
-    hot = F.broadcast(keys.select(*on, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")))
+    hot = F.broadcast(keys.select(*on, F.ceil(F.col("_key_rows") / bound).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     dealt = null_safe_join(left, hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     copies = right.join(hot, on, "left").withColumn(

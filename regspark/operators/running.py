@@ -32,16 +32,16 @@ BROADCAST_ROWS = 100_000
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], rows: int) -> tuple[DataFrame, int] | None:
-    """The keys with more than ``rows`` rows, with their counts ``_n`` and the
+    """The keys with more than ``rows`` rows, with their counts ``_key_rows`` and the
     bound actually used, or None if there are none. At most BROADCAST_ROWS keys
     can exceed total / BROADCAST_ROWS rows, so the bound is raised to that and
     the result is always short enough to broadcast."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_key_rows"))
+    most, total = counts.agg(F.max("_key_rows"), F.sum("_key_rows")).first()
     bound = max(rows, (total or 0) // BROADCAST_ROWS)
     if (most or 0) <= bound:
         return None
-    return cut_lineage(counts.filter(F.col("_n") > bound)), bound
+    return cut_lineage(counts.filter(F.col("_key_rows") > bound)), bound
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -1,3 +1,6 @@
+from functools import partial
+
+import pytest
 from pyspark.sql import functions as F
 
 from regspark.operators import joins as J
@@ -55,6 +58,24 @@ def test_alias_semi(spark):
     assert rows(J.alias_semi(df, "n", listed, "n", "n")) == [("library/nginx",), ("library/o/x",), ("nginx",)]
 
 
+@pytest.mark.parametrize("rows_per_task", [2, 1000])
+def test_alias_joins_of_long_lists(spark, monkeypatch, rows_per_task):
+    """The lists are too long to broadcast; with two rows a task, names are split as well."""
+    monkeypatch.setattr(J, "is_short", lambda df: False)
+    monkeypatch.setattr(J, "spread_join", partial(J.spread_join, rows_per_task=rows_per_task))
+    names = [("d1", " nginx"), ("d2", "NGINX"), ("d3", "library/nginx"), ("d4", "nginx "), ("d5", "x"), ("d6", None)]
+    df = spark.createDataFrame(names, "d string, n string")
+    ids = spark.createDataFrame([("Nginx", 1), ("o/x", 2)], "name string, id int")
+    assert rows(J.alias_lookup(df, "n", ids, "name", "id", "d")) == [
+        ("d1", " nginx", 1), ("d2", "NGINX", 1), ("d3", "library/nginx", 1), ("d4", "nginx ", 1),
+        ("d5", "x", None), ("d6", None, None)]
+    assert rows(J.alias_semi(df, "n", ids, "name", "d")) == names[:4]
+    sel = df.groupBy("d").agg(F.collect_list("n").alias("repos")).withColumnRenamed("d", "digest")
+    layers = spark.createDataFrame([(f"d{i}", i) for i in range(1, 5)], "digest string, layer_id int")
+    found, missing = J.link_pairs(sel, ids.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name")), layers)
+    assert rows(found) == [(1, 1), (1, 2), (1, 3), (1, 4)] and rows(missing) == [("d5", "x")]
+
+
 def test_bin_weight_edges(spark):
     inf, nan = float("inf"), float("nan")
     bins = spark.createDataFrame([(0.0, 1.0, 2.0), (1.0, 2.0, inf), (2.0, 3.0, 0.5)],
