@@ -58,6 +58,38 @@ def test_untouched_buckets_keep_their_files_and_are_not_read(spark):
     assert {p.split("_bucket=")[1].split("/")[0] for p in plan} == set(changed)
 
 
+def by_comparison(table, since, until):
+    before, after = rows(table.read(since)), rows(table.read(until))
+    return sorted([(*r, -1) for r in before if r not in after] + [(*r, 1) for r in after if r not in before], key=repr)
+
+
+@pytest.mark.parametrize("mode", ["replace", "coalesce", "ignore"])
+def test_changes_of_one_merge_are_read_as_they_lie(spark, mode):
+    table = KeyedTable(spark, fresh_path(spark, "table"), SCHEMA, "k", mode, buckets=3)
+    for batch in batches(9):
+        table.merge(spark.createDataFrame(batch[:12], SCHEMA + ", seq int"), "seq")
+    table.resize(4)
+    for since, until in ((0, 1), (1, 2), (2, 3), (0, 3), (1, 3), (3, 4), (2, 4)):
+        told, keys = table.changes(since, until), table.key_changes(since, until)
+        wanted = by_comparison(table, since, until)
+        assert rows(told) == wanted
+        whole = [r for r in wanted if sum(w[0] == r[0] for w in wanted) == 1]
+        assert rows(keys) == sorted(((r[0], r[3]) for r in whole), key=repr)
+        shuffled = "Exchange" in told._jdf.queryExecution().toString()
+        assert shuffled == (since > 0 and until - since > 1)
+
+
+def test_changes_of_sums_that_move_and_vanish(spark):
+    table = KeyedTable(spark, fresh_path(spark, "table"), "k string, n long", "k", "add", buckets=2)
+    table.merge(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("z", 0)], "k string, n long"))
+    table.merge(spark.createDataFrame([("a", -1), ("b", 1), ("c", 0), ("d", 5), ("y", None)], "k string, n long"))
+    assert rows(table.read()) == [("b", 3), ("c", 3), ("d", 5)]
+    assert rows(table.changes(1)) == [("a", 1, -1), ("b", 2, -1), ("b", 3, 1), ("d", 5, 1)]
+    assert rows(table.key_changes(1)) == [("a", -1), ("d", 1)]
+    table.vacuum(keep=1)
+    assert rows(table.read()) == [("b", 3), ("c", 3), ("d", 5)]
+
+
 def test_a_repeated_batch_changes_nothing(spark):
     table = KeyedTable(spark, fresh_path(spark, "table"), "k string, n long", "k", "add", buckets=4)
     batch = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n long")
