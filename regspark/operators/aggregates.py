@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regspark.functions import scalars as P
 from regspark.operators.joins import frag_weight_merge, lookup_join, spread_join
 from regspark.operators.running import quantiles_of_counts, value_counts
-from regspark.session import cut_lineage
+from regspark.session import cut_lineage, stored
 
 
 def value_histogram(df: DataFrame, c: str | Column, fill: bool = True) -> DataFrame:
@@ -83,24 +83,31 @@ def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(a, b).distinct()
 
 
-def _reached_repos(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame) -> DataFrame:
+def held_pairs(occ: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Distinct (fragment_hash, layer_id) of the secrets' occurrences."""
+    held = occ.select("secret_id", "layer_id").distinct()
+    return lookup_join(held, secrets.select("secret_id", "fragment_hash"), ["secret_id"], "layer_id").select(
+        "fragment_hash", "layer_id").distinct()
+
+
+def _reached_repos(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame,
+                   links: DataFrame | None = None, holds: DataFrame | None = None) -> DataFrame:
     """(fragment_hash, repo_count, layer_count) over layers that some
     repository has. A secret in one layer only takes that layer's repository
     count; only secrets spread over several layers need their (secret, repo)
     pairs, and hot layers in that join are split by repository. Both pair sets
-    are stored once, as three steps read them."""
-    links = cut_lineage(distinct_pairs(repo_layers, "layer_id", "repo_id"))
-    per_layer = links.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_repos"))
-    held = occ.select("secret_id", "layer_id").distinct()
-    holds = cut_lineage(lookup_join(
-        held, secrets.select("secret_id", "fragment_hash"), ["secret_id"], "layer_id").select(
-        "fragment_hash", "layer_id").distinct())
+    are stored once, as three steps read them, unless they come stored already:
+    ``links`` (``distinct_pairs``) and ``holds`` (``held_pairs``)."""
+    links = stored(distinct_pairs(repo_layers, "layer_id", "repo_id")) if links is None else links
+    per_layer = cut_lineage(links.groupBy("layer_id").agg(F.count(F.lit(1)).alias("_repos")))
+    holds = stored(held_pairs(occ, secrets)) if holds is None else holds
     reachable = holds.join(per_layer, "layer_id")
     per_secret = reachable.groupBy("fragment_hash").agg(
         F.count(F.lit(1)).alias("layer_count"), F.max("_repos").alias("_repos"))
     many = per_secret.filter(F.col("layer_count") > 1).select("fragment_hash")
     scattered = holds.join(many, "fragment_hash", "left_semi")
-    counted = spread_join(links, scattered, ["layer_id"], "repo_id").select(
+    counted = spread_join(links, scattered, ["layer_id"], "repo_id",
+                          counts=per_layer.withColumnRenamed("_repos", "_key_rows")).select(
         "fragment_hash", "repo_id").distinct().groupBy("fragment_hash").agg(
         F.count(F.lit(1)).alias("_counted"))
     return per_secret.join(counted, "fragment_hash", "left").select(
@@ -118,8 +125,10 @@ def repos_per_secret(occ: DataFrame, repo_layers: DataFrame, secrets: DataFrame,
 
 
 def secret_repo_layer_counts(secrets: DataFrame, occ: DataFrame, repo_layers: DataFrame,
-                             where: Column | None = None) -> DataFrame:
-    return _reached_repos(occ, repo_layers, _filtered(secrets, where))
+                             where: Column | None = None, links: DataFrame | None = None,
+                             holds: DataFrame | None = None) -> DataFrame:
+    """``links`` and ``holds`` are the distinct pairs of layers, if stored already."""
+    return _reached_repos(occ, repo_layers, _filtered(secrets, where), links, holds)
 
 
 def count_distribution(df: DataFrame, c: str = "repo_count", out: str = "secret_count") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from regspark.functions import scalars as P
 from regspark.operators.running import BROADCAST_ROWS, TASK_ROWS, hot_keys, null_safe_join, one_row
 from regspark.operators.sampling import one_per_group
-from regspark.session import cut_lineage
+from regspark.session import cut_lineage, stored
 
 
 # A side of at most this many bytes may be broadcast.
@@ -24,17 +24,17 @@ BROADCAST_BYTES = 64 << 20
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
-                how: str = "inner", rows_per_task: int = TASK_ROWS) -> DataFrame:
+                how: str = "inner", rows_per_task: int = TASK_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Equi-join that splits the hot keys of the left side.
 
-    Rows per key are counted. Without a key beyond ``rows_per_task`` this is a
+    Rows per key are counted, unless ``counts`` has them (``hot_keys``). Without a key beyond ``rows_per_task`` this is a
     plain join. Otherwise each hot key gets as many salts as it fills tasks;
     its left rows are dealt out by ``spread``, which must vary within a key,
     and only its right rows are repeated, once per salt. Rows of a null key
     match nothing, but are dealt out like any other.
     """
     on = list(on)
-    found = hot_keys(left, on, rows_per_task)
+    found = hot_keys(left, on, rows_per_task, counts)
     if found is None:
         return left.join(right, on, how)
     keys, bound = found
@@ -232,13 +232,13 @@ def key_union(full: DataFrame, sample: DataFrame, key: str = "key", count: str =
 
 
 def frag_weight_merge(counts: DataFrame, pairs: DataFrame, uniq: DataFrame,
-                      weights: DataFrame) -> DataFrame:
+                      weights: DataFrame, is_stored: bool = False) -> DataFrame:
     """Sum the layer weights of each fragment's layers onto its counts.
     ``weights`` is one row ``w_unique, w_nonunique``; a layer without a
     uniqueness row counts as not unique. A layer of very many fragments is split
-    by fragment."""
+    by fragment. ``is_stored`` says that the pairs are distinct and stored already."""
     w = one_row(weights.select("w_unique", "w_nonunique"))
-    held = cut_lineage(pairs.select("fragment_hash", "layer_id").distinct())
+    held = pairs if is_stored else stored(pairs.select("fragment_hash", "layer_id").distinct())
     weighted = lookup_join(held, uniq, ["layer_id"], "fragment_hash", "left").groupBy("fragment_hash").agg(
         F.count_if(F.col("is_unique") == 1).alias("_u"), F.count(F.lit(1)).alias("_n"))
     return counts.join(weighted, "fragment_hash", "left").select(

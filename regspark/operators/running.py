@@ -31,12 +31,15 @@ TASK_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows: int) -> tuple[DataFrame, int] | None:
+def hot_keys(df: DataFrame, on: Sequence[str], rows: int,
+             counts: DataFrame | None = None) -> tuple[DataFrame, int] | None:
     """The keys with more than ``rows`` rows, with their counts ``_key_rows`` and the
     bound actually used, or None if there are none. At most BROADCAST_ROWS keys
     can exceed total / BROADCAST_ROWS rows, so the bound is raised to that and
-    the result is always short enough to broadcast."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_key_rows"))
+    the result is always short enough to broadcast. ``counts`` are the keys with their
+    ``_key_rows``, where they are known already."""
+    if counts is None:
+        counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_key_rows"))
     most, total = counts.agg(F.max("_key_rows"), F.sum("_key_rows")).first()
     bound = max(rows, (total or 0) // BROADCAST_ROWS)
     if (most or 0) <= bound:

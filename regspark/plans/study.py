@@ -12,25 +12,27 @@ from regspark.operators import aggregates as A
 from regspark.operators import stats as B
 from regspark.operators import windows as W
 from regspark.operators.joins import frag_weight_merge
-from regspark.session import cut_lineage
+from regspark.session import stored
 
 
 def run_study(tables: dict[str, DataFrame], biases: dict[str, DataFrame] | None = None,
               unique_share: DataFrame | None = None, where: Column | None = None,
               seed: str | int = 42,
-              keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> dict[str, DataFrame]:
+              keep: Callable[[DataFrame], DataFrame] = stored) -> dict[str, DataFrame]:
     """``tables``: repositories, tags, layers, repo_layers, secrets,
     occurrences. ``where`` selects the secrets that count (default all).
-    ``keep`` stores the study frame and the counts per secret, which feed
-    several results; all results are lazy."""
+    ``keep`` stores what feeds several results: the distinct links and held pairs,
+    the layers' uniqueness, the study frame and the counts per secret; all results
+    are lazy."""
     t = tables
     chosen = t["secrets"] if where is None else t["secrets"].filter(where)
-    study = keep(B.repo_study_frame(t["repositories"], t["tags"], t["repo_layers"], t["occurrences"],
+    links = keep(A.distinct_pairs(t["repo_layers"], "layer_id", "repo_id"))
+    pairs = keep(A.held_pairs(t["occurrences"], chosen))
+    unique = keep(A.layer_uniqueness(links))
+    study = keep(B.repo_study_frame(t["repositories"], t["tags"], links, t["occurrences"],
                                     biases, seed))
-    counts = keep(A.secret_repo_layer_counts(chosen, t["occurrences"], t["repo_layers"]))
+    counts = keep(A.secret_repo_layer_counts(chosen, t["occurrences"], links, links=links, holds=pairs))
     per_secret = counts.select("fragment_hash", "repo_count")
-    pairs = t["occurrences"].join(chosen.select("secret_id", "fragment_hash"), "secret_id").select(
-        "fragment_hash", "layer_id").distinct()
     share = unique_share if unique_share is not None else t["layers"].sparkSession.range(1).select(
         F.lit(None).cast("double").alias("unique_share_sample"))
     weights = B.unique_bias_weights(share)
@@ -41,7 +43,7 @@ def run_study(tables: dict[str, DataFrame], biases: dict[str, DataFrame] | None
         "secret_repo_counts_per_secret": per_secret,
         "secret_repo_counts_distribution": A.count_distribution(per_secret),
         "secret_repo_layer_counts_weighted": frag_weight_merge(
-            counts, pairs, A.layer_uniqueness(t["repo_layers"]), weights),
+            counts, pairs, unique, weights, is_stored=True),
         "metadata_association_metrics": B.association_metrics(study),
         "secrets_filetype_frequency": A.filetype_frequency(t["occurrences"]),
         "secrets_file_stats": A.file_size_stats(t["occurrences"]),

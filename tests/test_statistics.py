@@ -260,3 +260,35 @@ def test_two_sample_method_is_chosen_by_size(spark):
     assert B.ks_2samp(a.limit(0), b, "v", method="exact").first().pvalue is None
     with pytest.raises(ValueError):
         B.ks_2samp(a, b, "v", method="other")
+
+
+def test_study_reads_links_and_held_pairs_once(spark):
+    """What several results need is stored: only the storing reads the links."""
+    from regspark.plans.study import run_study
+    from regspark.session import fresh_path
+
+    def table(rows, schema):
+        path = fresh_path(spark, "study")
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        return spark.read.parquet(path)
+
+    links = table([(1, 10), (1, 10), (2, 10), (2, 20), (None, 20), (3, 30)], "repo_id long, layer_id long")
+    tables = {
+        "repositories": table([(i, i, i, True, False) for i in (1, 2, 3)],
+                              "repo_id long, pull_count long, star_count long, is_official boolean, is_automated boolean"),
+        "tags": table([(i, i, "2024-01-05 00:00:00", "x") for i in (1, 2, 3)],
+                      "tag_id long, repo_id long, last_pushed string, status string"),
+        "layers": table([(i, 1, 1, 1) for i in (10, 20, 30)],
+                        "layer_id long, max_depth long, file_count long, uncompressed_size long"),
+        "repo_layers": links,
+        "secrets": table([(1, "a", "t"), (2, "b", "t"), (3, "a", "t")], "secret_id long, fragment_hash string, origin string"),
+        "occurrences": table([(10, 1, "f", 1), (10, 3, "f", 1), (20, 1, "f", 1), (20, 2, "f", 1), (99, 2, "f", 1)],
+                             "layer_id long, secret_id long, file_type string, file_size long")}
+    tables["tags"] = tables["tags"].withColumn("last_pushed", F.col("last_pushed").cast("timestamp"))
+    out = run_study(tables)
+    sources = set(links.inputFiles())
+    assert not any(sources & set(df.inputFiles()) for df in out.values())
+    got = sorted((r.fragment_hash, r.repo_count, r.layer_count) for r in out["secret_repo_layer_counts_weighted"].collect())
+    assert got == sorted(tuple(r) for r in A.secret_repo_layer_counts(
+        tables["secrets"], tables["occurrences"], links).select("fragment_hash", "repo_count", "layer_count").collect())
+    assert [r.weighted_layer_count for r in out["secret_repo_layer_counts_weighted"].orderBy("fragment_hash").collect()] == [2.0, 2.0]
