@@ -51,22 +51,26 @@ def lambda_gradients(df: DataFrame, by: str = "query", label: str = "label", sco
         ideal = ideal_gain(df, by, label, tie, task_rows)
     place, mine, own = F.col("_place"), F.col("_s"), F.col("_l")
     rows = df.withColumns({"_s": F.col(score).cast("double"), "_l": F.col(label).cast("double")})
-    placed = cut_lineage(positions(rows, [by], -mine, F.col(tie), "_place", task_rows))
+    placed = cut_lineage(positions(rows, [by], -mine, F.col(tie), "_place", task_rows).withColumn(
+        "_discount", _discount(place)))  # stored, so that no pair computes it again
     first = placed.filter((place <= top) & F.col(by).isNotNull()).groupBy(by).agg(F.sort_array(F.collect_list(
-        F.struct("_place", F.col("_l").alias("l"), F.col("_s").alias("s")))).alias("_first"))
+        F.struct("_place", F.col("_l").alias("l"), F.col("_s").alias("s"), F.col("_discount").alias("d")))).alias("_first"))
     lists = first.join(ideal.select(by, F.col("ideal").alias("_ideal")), by)
     met = spread_join(placed, lists, [by], tie, "left", task_rows)
 
-    def push(h: Column) -> Column:
+    def meet(h: Column) -> Column:
         ahead = F.when(h["l"] > own, h["s"] - mine).otherwise(mine - h["s"])
         rho = 1.0 / (1.0 + F.exp(sigma * ahead))
-        change = F.abs(h["l"] - own) * F.abs(_discount(h["_place"]) - _discount(place)) / F.col("_ideal")
-        pair = (h["_place"] < place) & (h["l"] != own) & (ahead.isNotNull()) & (F.col("_ideal") > 0)
-        return F.when(pair, F.struct((F.signum(h["l"] - own) * sigma * rho * change).alias("g"),
-                                     (sigma * sigma * rho * (1.0 - rho) * change).alias("w"))).otherwise(
+        change = F.abs(h["l"] - own) * F.abs(h["d"] - F.col("_discount")) / F.col("_ideal")
+        pair = (h["_place"] < place) & (h["l"] != own) & h["s"].isNotNull() & mine.isNotNull() & (F.col("_ideal") > 0)
+        return F.when(pair, F.struct((F.signum(h["l"] - own) * sigma).alias("way"), rho.alias("rho"), change.alias("change")))
+
+    def push(p: Column) -> Column:
+        return F.when(p.isNotNull(), F.struct((p["way"] * p["rho"] * p["change"]).alias("g"),
+                                              (sigma * sigma * p["rho"] * (1.0 - p["rho"]) * p["change"]).alias("w"))).otherwise(
             F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("w")))
 
-    pairs = met.withColumn("_pairs", F.transform("_first", push))
+    pairs = met.withColumn("_pairs", F.transform(F.transform("_first", meet), push))
 
     def total(field: str) -> Column:
         return F.coalesce(F.aggregate("_pairs", F.lit(0.0), lambda s, p: s + p[field]), F.lit(0.0))

@@ -104,3 +104,13 @@ def test_short_lists_and_equal_labels_give_no_trees(spark):
                                "query string, rank long, useful double, size double, kind int, label double")
     model = L.fit_listwise(df, features=FEATURES, categorical=("kind",), rounds=3)
     assert model.trees == () and {r.score for r in model.score(df).collect()} == {0.0}
+
+
+def test_discounts_are_not_computed_again_for_every_pair(spark):
+    from regspark.operators.listwise import lambda_gradients
+    from regspark.operators.ranking import ideal_gain
+    from regspark.session import cut_lineage
+
+    df = spark.createDataFrame([("a", i, i, float(i % 3)) for i in range(9)], "query string, rank long, label long, score double")
+    found = lambda_gradients(df, ideal=cut_lineage(ideal_gain(df, "query")))
+    assert "LOG2" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
