@@ -31,6 +31,7 @@ ORIGIN_RULES = (
 )
 
 LIBRARY = "library/"
+_SHA256 = "sha256:"
 
 
 def norm_name(c: Column) -> Column:
@@ -99,6 +100,22 @@ def valid_digest(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c)).rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
 
 
+def pack_digest(c: Column) -> Column:
+    """A text as bytes, a digest in 33 instead of 71: a leading byte tells whether
+    the bytes of a digest follow or those of any other text. Equal texts, and only
+    these, are equal bytes; the order of texts is not kept."""
+    shaped = F.startswith(c, F.lit(_SHA256)) & (F.octet_length(c) == len(_SHA256) + 64) & (c == F.lower(c))
+    digits = F.unhex(F.when(shaped, F.substr(c, F.lit(len(_SHA256) + 1))))  # null if one is no digit
+    return F.coalesce(F.concat(F.lit(b"\x01"), digits), F.concat(F.lit(b"\x00"), c.cast("binary")))
+
+
+def unpack_digest(c: Column) -> Column:
+    """The text ``pack_digest`` made these bytes from."""
+    rest = F.substr(c, F.lit(2))
+    return F.when(F.substr(c, F.lit(1), F.lit(1)) == F.lit(b"\x01"), F.concat(F.lit(_SHA256), F.lower(F.hex(rest)))
+                  ).otherwise(rest.cast("string"))
+
+
 def platform_filter(df: DataFrame, images: str, arch: str = "amd64",
                     os: str = "linux") -> DataFrame:
     """One row per image of the wanted platform."""

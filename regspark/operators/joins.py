@@ -64,12 +64,14 @@ def is_short(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: str,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", counts: DataFrame | None = None, by_size: bool = True) -> DataFrame:
     """Join to a table of distinct keys: broadcast if it was found short, else
-    shuffled with the hot keys of the left side split by ``spread``."""
+    shuffled with the hot keys of the left side split by ``spread``. Without
+    ``by_size`` a longer table is not broadcast for its estimated size either, as
+    that of stored names says little of their rows."""
     if is_short(right):
         return left.join(F.broadcast(right), list(on), how)
-    return spread_join(left, right, on, spread, how)
+    return spread_join(left, right if by_size else right.hint("merge"), on, spread, how, counts=counts)
 
 
 def selection_join(layers: DataFrame, selection: DataFrame, on: str = "digest") -> DataFrame:
@@ -108,8 +110,23 @@ def alias_lookup(df: DataFrame, name: str, ids: DataFrame, id_name: str, id_col:
     return lookup_join(keyed, best, ["_n"], spread, "left").select(*df.columns, out)
 
 
-def ensure_missing(target: DataFrame, required: DataFrame, key: str) -> DataFrame:
-    """Add a minimal row (the required columns only) for every absent key."""
+def ensure_missing(target: DataFrame, required: DataFrame, key: str, once: bool = False) -> DataFrame:
+    """Add a minimal row (the required columns only) for every absent key. With
+    ``once`` the target is computed a single time, by an outer join: for targets
+    that are joined by the key already and have few rows of one key."""
+    if once:
+        wanted = required.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(
+            key, *(F.col(c).alias(f"_new_{c}") for c in required.columns if c != key))
+        both = target.withColumn("_held", F.lit(True)).join(wanted, key, "full_outer")
+
+        def value(c: str) -> Column:
+            new = F.col(f"_new_{c}") if c in required.columns else F.lit(None)
+            return F.when(F.col("_held"), F.col(c) if c in target.columns else F.lit(None)).otherwise(new).alias(c)
+
+        columns = [*target.columns, *(c for c in required.columns if c not in target.columns)]
+        unnamed = required.filter(F.col(key).isNull()).limit(1)  # null equals no key
+        return both.select(*(F.col(key) if c == key else value(c) for c in columns)).unionByName(
+            unnamed, allowMissingColumns=True)
     wanted = required.dropDuplicates([key])
     absent = wanted.join(target.select(key), key, "left_anti")
     return target.unionByName(absent, allowMissingColumns=True)
@@ -140,12 +157,14 @@ def fragment_layers(layers: DataFrame, selection: DataFrame | None = None) -> Da
     return chosen.select(F.explode("secrets").alias("fragment_hash"), "layer_id").distinct()
 
 
-def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame) -> DataFrame:
+def secret_occurrences(secrets: DataFrame, frag_layers: DataFrame, is_stored: bool = False) -> DataFrame:
     """Secret records times the layers holding their fragment. A fragment in
-    very many layers is split over tasks by layer."""
+    very many layers is split over tasks by layer. ``is_stored`` says that the
+    layers' fragments are stored already."""
     records = secrets.withColumn("fragment_hash", F.trim("fragment_hash")).filter(
         F.col("fragment_hash") != "")
-    return spread_join(cut_lineage(frag_layers), records, ["fragment_hash"], "layer_id")
+    held = frag_layers if is_stored else cut_lineage(frag_layers)
+    return spread_join(held, records, ["fragment_hash"], "layer_id")
 
 
 def secret_repos(repo_layers: DataFrame, occ: DataFrame) -> DataFrame:

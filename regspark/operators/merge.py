@@ -71,8 +71,10 @@ def surrogate_ids(df: DataFrame, key: str, out: str = "id") -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, seq: str | Column) -> DataFrame:
-    """Last row per key in input order."""
+    """Last row per key in input order. A column the rows are ordered by is its own
+    maximum, so they do not carry it a second time."""
     order = F.col(seq) if isinstance(seq, str) else seq
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(
-        key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    rest = [c for c in df.columns if c not in (key, seq if isinstance(seq, str) else None)]
+    found = df.groupBy(key).agg(*([F.max_by(F.struct(*rest), order).alias("_r")] if rest else []), F.max(order).alias("_seq"))
+    return found.select(*(F.col(c) if c == key else F.col("_seq").alias(c) if c not in rest else F.col(f"_r.{c}").alias(c)
+                          for c in (key, *(c for c in df.columns if c != key))))

@@ -3,9 +3,11 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from regspark.operators import aggregates as A
 from regspark.operators import joins as J
 from regspark.operators import merge as U
 from regspark.plans import importer as I
+from regspark.session import stored
 
 
 def rows(df):
@@ -149,6 +151,88 @@ def test_import_secrets_only_needs_known_layers(spark):
     assert both["occurrences"].count() == 2
 
 
+def test_links_repeat_only_within_a_row(spark):
+    """Two names of a row may stand for one repository; names known to none are told, null ones too."""
+    selection = spark.createDataFrame(
+        [("sha256:" + "a" * 64, ["nginx", "library/nginx", "Own/App"]), ("d2", ["own/app", " OWN/APP", "nginx"]),
+         ("d3", ["gone", "own/app"]), ("d4", []), ("d5", ["library/nginx"])], "digest string, repos array<string>")
+    repos = spark.createDataFrame([("nginx",), ("own/app",)], "repo_name string")
+    want = [("nginx", "d2"), ("nginx", "d5"), ("nginx", "sha256:" + "a" * 64), ("own/app", "d2"), ("own/app", "d3"),
+            ("own/app", "sha256:" + "a" * 64)]
+    links, unresolved = I.import_links(selection, repos, is_clean=True)
+    assert rows(links) == want and rows(unresolved) == [("d3", "gone")]
+    twice = selection.unionByName(selection).unionByName(
+        spark.createDataFrame([("d6", [None, "gone"])], selection.schema))
+    links, unresolved = I.import_links(twice, repos)
+    assert rows(links) == want
+    assert rows(unresolved) == [("d3", "gone"), ("d3", "gone"), ("d6", "gone"), ("d6", None)]
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 1000])
+def test_import_of_long_lists(spark, monkeypatch, rows_per_task):
+    """No list is short enough to broadcast; with one row a task, every name is split as well."""
+    want = {name: rows(df) for name, df in I.import_all(*_inputs(spark)).items()}
+    monkeypatch.setattr(J, "is_short", lambda df: False)
+    monkeypatch.setattr(J, "spread_join", partial(J.spread_join, rows_per_task=rows_per_task))
+    assert {name: rows(df) for name, df in I.import_all(*_inputs(spark)).items()} == want
+
+
+def test_missing_rows_of_a_target_computed_once(spark):
+    target = spark.createDataFrame([("a", 1), ("a", None), (None, 3)], "k string, v int")
+    wanted = spark.createDataFrame([("a", 7, "x"), ("b", 8, "y"), ("b", 8, "y"), (None, 9, "z"), (None, 9, "z")],
+                                   "k string, v int, w string")
+    once = J.ensure_missing(target, wanted, "k", once=True)
+    assert rows(once) == rows(J.ensure_missing(target, wanted, "k"))
+    assert sorted(once.columns) == ["k", "v", "w"] and once.count() == 5
+
+
+def test_last_row_keeps_its_order(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", None, "y"), (None, 3, "z")],
+                               "k string, seq int, v string")
+    assert rows(U.latest(df, "k", "seq")) == sorted([("a", 2, "x"), ("b", None, None), (None, 3, "z")], key=repr)
+    assert U.latest(df, "k", "seq").columns == ["k", "seq", "v"]
+
+
+def _shuffled(spark) -> int:
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (blocks.apply(i) for i in range(blocks.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_stored_frames_give_back_what_they_shuffled(spark):
+    before = _shuffled(spark)
+    kept = stored(spark.range(20000).withColumn("h", F.md5(F.col("id").cast("string"))).repartition(4, "h"))
+    assert _shuffled(spark) <= before and kept.count() == 20000
+
+
+def test_import_shuffles_few_bytes_a_layer(spark):
+    """Digests are shuffled as bytes, and neither the lines of layers nor the pairs of names and digests twice."""
+    n, sha = 20000, lambda c: F.concat(F.lit("sha256:"), F.sha2(c.cast("string"), 256))
+    ids = spark.range(n).select(F.col("id"), sha(F.col("id")).alias("digest"), F.col("id").alias("seq"))
+    name = F.concat(F.lit("owner/app"), (F.col("id") % 5000).cast("string"))
+    selection = ids.select("digest", F.lit(1).cast("long").alias("size"), F.array(name).alias("repos"), "seq")
+    repos = spark.range(5000).select(
+        name.alias("repo_name"), F.lit("o").alias("repo_owner"), F.lit("").alias("short_description"),
+        F.lit(False).alias("is_automated"), F.lit(False).alias("is_official"), F.lit(1).alias("pull_count"),
+        F.lit(1).alias("star_count"), F.col("id").alias("seq"))
+    tags = ids.select(name.alias("repo_name"), "digest", F.lit("").alias("architecture"), F.lit("").alias("os"),
+                      F.lit(1).alias("size"), F.lit("").alias("status"), F.lit("").alias("last_pulled"),
+                      F.lit("").alias("last_pushed"), "seq")
+    fragment = F.substr(F.md5((F.col("id") % 100).cast("string")), F.lit(1), F.lit(16))
+    lines = ids.select("digest", F.lit(1).alias("file_count"), F.lit(1).alias("max_depth"),
+                       F.lit(1).cast("long").alias("uncompressed_size"), F.array(fragment).alias("secrets"), "seq")
+    records = spark.range(100).select(
+        fragment.alias("fragment_hash"), F.struct(
+            F.lit("f").alias("file"), F.lit("").alias("file_type"), F.lit(1).cast("long").alias("file_size"),
+            F.lit("o").alias("origin"), F.lit("s").alias("secret"), F.lit(1).alias("start_line")).alias("secrets"),
+        F.col("id").alias("seq"))
+    before = _shuffled(spark)
+    tables = I.import_all(selection, repos, tags, lines, records)
+    whole = A.union_all(*(df.select(F.lit(t).alias("t"), F.xxhash64(*df.columns).alias("h")) for t, df in tables.items()))
+    counts = {r.t: r["count"] for r in whole.groupBy("t").count().collect()}
+    assert counts == {"repositories": 5000, "layers": n, "repo_layers": n, "tags": n, "secrets": 100, "occurrences": n}
+    assert (_shuffled(spark) - before) / n < 220
+
+
 def test_secret_occurrences_joins_every_layer(spark):
     reach = spark.createDataFrame([("h", i) for i in range(30)] + [("g", 1)], "fragment_hash string, layer_id int")
     records = spark.createDataFrame([(" h", "a"), ("h ", "b"), ("x", "c"), ("", "d")], "fragment_hash string, file string")

@@ -16,6 +16,16 @@ def test_aliases(spark):
     assert got == [["library/nginx", "nginx"], ["nginx", "library/nginx"], ["a/b"], ["library/a/b", "a/b"]]
 
 
+def test_packed_digests_are_shorter_and_lose_nothing(spark):
+    sha = "sha256:" + "0123456789abcdef" * 4
+    odd = ["", "sha256:", "0", "00", "000", "0a", "0A", "sha256:0A", "sha256:0a", "sha256:0", "sha256:0a\n", "0a\n", "x", "é",
+           "\x00", "\x01", "\x02", "\x010a", "sha256:sha256:0a", " 0a", "0g", "SHA256:0a", sha, sha[:-1], sha + "0", sha + "\n",
+           sha.upper(), sha[:70] + "F", sha[:70] + "g", sha[:69] + "é", " " + sha, sha[7:], None]
+    assert column(spark, odd, "string", lambda c: P.unpack_digest(P.pack_digest(c))) == odd
+    packed = [v if v is None else bytes(v) for v in column(spark, odd, "string", P.pack_digest)]
+    assert len(set(packed)) == len(odd) and len(packed[odd.index(sha)]) == 33
+
+
 def test_reverse_aliases_agree_with_aliases(spark):
     names = ["nginx", "library/nginx", "a/b", "library/a/b", "library/library/x", "library/x"]
     forward = dict(zip(names, column(spark, names, "string", P.expand_aliases)))
